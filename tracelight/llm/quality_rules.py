@@ -37,8 +37,8 @@ class Metric:
 
 METRICS = (
     Metric("symbols", "n_symbols", "word_chars", 10_000, 500),
-    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000, 3_000),
-    Metric("repeats", "n_repeat_words", "n_words", 10_000, 2_000),
+    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000, 5_000),
+    Metric("repeats", "n_repeat_words", "n_words", 10_000, 3_000),
     Metric("word_length", "word_chars", "n_words", 100, 300),
 )
 #: Documents that a group needs for a sketch of its own.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, quality_rules, token_counts, url_rules
+from . import byte_bpe, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,17 +27,36 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_and_decode(table(spark, sf_dir, "documents"), tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN, outputs=())
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(table(spark, sf_dir, "documents")).select(*license_scan.COLUMNS)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_rules, op4_byte_bpe, op6_quality_rules, op10_license_scan)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_token_counts,
+            op2_url_rules,
+            op4_byte_bpe,
+            op5_mixing,
+            op6_quality_rules,
+            op9_quality_classifier,
+            op10_license_scan,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_rules": url_rules.SQL, "op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql()}
+    return {"op2_url_rules": url_rules.SQL, "op5_mixing": mixing.sql(), "op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql()}
