@@ -10,7 +10,7 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,9 +83,17 @@ class Store:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def grouped(run: Callable) -> Callable:
+    """Marks (key, batches) -> batches for ``applyInArrow``, which reads type hints to stream a group's batches."""
+    import pyarrow as pa
+
+    run.__annotations__ = {"key": tuple[pa.Scalar, ...], "rows": Iterator[pa.RecordBatch], "return": Iterator[pa.RecordBatch]}
+    return run
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The planner's estimate of the size of a table in bytes, from file sizes; no job runs."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return size if size < 1 << 60 else 1 << 32
 
 

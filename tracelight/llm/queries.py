@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_rules
+from . import byte_bpe, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).select(*quality_rules.COLUMNS)
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_near_duplicates(table(spark, sf_dir, "documents")).select(*jaccard_join.COLUMNS)
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -52,6 +56,7 @@ def queries() -> dict:
             op4_byte_bpe,
             op5_mixing,
             op6_quality_rules,
+            op7_jaccard_join,
             op9_quality_classifier,
             op10_license_scan,
         )
@@ -59,4 +64,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_rules": url_rules.SQL, "op5_mixing": mixing.sql(), "op6_quality_rules": quality_rules.sql(), "op10_license_scan": license_scan.sql()}
+    return {"op2_url_rules": url_rules.SQL, "op5_mixing": mixing.sql(), "op6_quality_rules": quality_rules.sql(), "op7_jaccard_join": jaccard_join.sql(), "op10_license_scan": license_scan.sql()}
