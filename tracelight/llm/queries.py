@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, license_scan, mixing, quality_classifier, quality_rules, token_counts, url_rules
+from . import byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_counts, url_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scoring.score_texts(table(spark, sf_dir, "documents")).select(*lm_scoring.COLUMNS)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as tokenizers
 
@@ -53,6 +57,7 @@ def queries() -> dict:
         for f in (
             op1_token_counts,
             op2_url_rules,
+            op3_lm_scoring,
             op4_byte_bpe,
             op5_mixing,
             op6_quality_rules,
