@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_counts, url_rules
+from . import byte_bpe, jaccard_join, license_scan, lm_scoring, mixing, quality_classifier, quality_rules, token_counts, url_rules, vector_graph
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join_near_duplicates(table(spark, sf_dir, "documents")).select(*jaccard_join.COLUMNS)
 
 
+def op8_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_graph.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -62,6 +66,7 @@ def queries() -> dict:
             op5_mixing,
             op6_quality_rules,
             op7_jaccard_join,
+            op8_vector_graph,
             op9_quality_classifier,
             op10_license_scan,
         )
