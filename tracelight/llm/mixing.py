@@ -139,6 +139,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets
     )
 
 
+def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping = TARGETS, rounds: int = ROUNDS, rate: float = RATE, driver_cells: int = DRIVER_CELLS) -> DataFrame:
+    """The sampled rows of ``docs`` with all their columns; texts are read twice and not shuffled for a small table of cells."""
+    store = Store(docs.sparkSession)
+    cells = calibrate(store, docs.select(*cell_keys(docs, text_col), count_tokens(text_or_empty(text_col)).alias("n_tokens")), targets, rounds, rate, driver_cells)
+    rows = docs.select(F.struct(*docs.columns).alias("__doc"), draw(F.col(id_col)).alias("__u"), *cell_keys(docs, text_col))
+    kept = rows.join(cells, list(MARGINS)).where(F.col("__u") < F.col("probability"))
+    return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))
+
+
 def sql(rounds: int = ROUNDS) -> str:
     """DuckDB SQL for ``mix`` over documents with the production targets."""
     lang = " ".join(f"WHEN '{k}' THEN {v}" for k, v in TARGETS["lang"].items())

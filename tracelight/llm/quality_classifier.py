@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -168,6 +169,24 @@ def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, h
     return model
 
 
+def scorer(model: Model):
+    """A column function text -> score, which sends only the texts to Python."""
+
+    @F.pandas_udf("double")
+    def score(texts: pd.Series) -> pd.Series:
+        import numpy as np
+
+        return pd.Series(model.score(np.array([statistics(t or "") for t in texts], np.float32).astype(float).reshape(len(texts), -1)))
+
+    return score
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``. Two passes, no shuffle of texts."""
+    model = fit(document_statistics(docs, id_col, text_col), labels, max_labelled)
+    return docs.where(scorer(model)(text_or_empty(text_col)) >= threshold)
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(id, held_out, score, predicted) for each row of ``docs``.
 

@@ -148,6 +148,15 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return judge(counts, limits(sketch(counts), least_group))
 
 
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the rules keep. Rows are written with their counts once, and only
+    the limits (a row a language and source) are joined to them."""
+    keep = [F.struct(*docs.columns).alias("__doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")]
+    counts = Store(docs.sparkSession).put(base_counts(docs, keep, text_col))
+    kept = judge(counts, limits(sketch(counts.drop("__doc")), least_group)).where("kept")
+    return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))
+
+
 COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
 
 
