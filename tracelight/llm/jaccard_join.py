@@ -8,9 +8,11 @@
    n - ceil(t n) + 1 of each. Classes whose own shingles fill that prefix can link with nothing and go. The others
    give prefixes under three orders (rarest first with three tie-breaks of different strength). A pair is a
    candidate only if its prefixes meet under all three.
+   It also needs an intersection that fits in the shared shingles of either.
 4. Large groups of near copies would make a quadratic number of pairs. So classes first meet only the leader of
-   their group (the classes with the same smallest hash, for several hash functions); verified links merge
-   them into components, and the join of step 3 then makes pairs between different components only.
+   their group (the classes with the same smallest hash, for several hash functions): the class with the least
+   share of shingles of its own, as an original has among its edited copies. Verified links merge
+   classes into components, and the join of step 3 then makes pairs between different components only.
 """
 
 from __future__ import annotations
@@ -186,7 +188,7 @@ def _assemble(percent: int, orders: int, leaders: int):
             ranks = (d, np.floor(np.log2(d)).astype(np.uint32), d > 16)
             prefixes = [t[np.lexsort((mix64(t, k + 1), ranks[k]))[:free]].view(np.int64) for k in range(orders)]
             keys = np.array([mix64(t, 50 + k).min() for k in range(leaders)], np.uint64).view(np.int64)
-            out.append((sig[a : a + 1].view(np.int64)[0], n, t.view(np.int64), keys, *prefixes))
+            out.append((sig[a : a + 1].view(np.int64)[0], n, m, int(d.sum()) // n, t.view(np.int64), keys, *prefixes))
             if len(out) == 500:
                 yield batch(out, pa)
                 out = []
@@ -195,7 +197,7 @@ def _assemble(percent: int, orders: int, leaders: int):
 
     def batch(out, pa):
         cols = list(zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *(pa.array(c, pa.list_(pa.int64())) for c in cols[2:])], ["sig", "n", "toks", "leaders", *(f"p{k}" for k in range(orders))])
+        return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), *(pa.array(c, pa.list_(pa.int64())) for c in cols[4:])], ["sig", "n", "m", "common", "toks", "leaders", *(f"p{k}" for k in range(orders))])
 
     return grouped(run)
 
@@ -229,31 +231,32 @@ def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     store.tidy()  # the shuffle of all shingles goes here
     classes = back.where(F.col("owner") < 0).select("doc_id", "sig", "n")
     shared = back.where(F.col("owner") >= 0).select("owner", "sigs", "sizes", "refs", "toks", "dfs")
-    sets = shared.groupBy("owner").applyInArrow(_assemble(percent, ORDERS, LEADERS), "sig long, n long, toks array<long>, leaders array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    sets = shared.groupBy("owner").applyInArrow(_assemble(percent, ORDERS, LEADERS), "sig long, n long, m long, common long, toks array<long>, leaders array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
     sets = store.put(sets)
     classes = store.put(classes)
     store.drop(back)
 
     # every class against the leaders of its groups
-    keyed = sets.select("sig", F.posexplode("leaders").alias("k", "key"))
-    leader = keyed.groupBy("k", "key").agg(F.min("sig").alias("v"), F.count("*").alias("size")).where("size > 1")
+    rank = F.struct((1_000_000 * F.col("m") / F.col("n")).cast("long").alias("share"), F.col("common"), F.col("sig"))
+    keyed = sets.select("sig", rank.alias("rank"), F.posexplode("leaders").alias("k", "key"))
+    leader = keyed.groupBy("k", "key").agg(F.max("rank").alias("top"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("top.sig").alias("v"))
     stars = keyed.join(leader, ["k", "key"]).where(F.col("sig") != F.col("v")).select(F.col("sig").alias("u"), "v").distinct()
     links = store.put(_verified(stars, sets, percent))
     parts = store.put(connected_components(store, links))
 
     # pairs of different components whose prefixes meet under all orders
-    at = sets.select("sig", "n", *(f"p{k}" for k in range(ORDERS))).join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
+    at = sets.select("sig", "n", "m", *(f"p{k}" for k in range(ORDERS))).join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
 
     def under(k: int):
         return F.transform(f"p{k}", lambda t: F.struct(F.lit(k).alias("k"), t.alias("tok")))
 
     prefix = F.explode(F.concat(*map(under, range(ORDERS))))
-    posts = at.select("sig", "n", "part", prefix.alias("p")).select("sig", "n", "part", "p.k", "p.tok")
+    posts = at.select("sig", "n", "m", "part", prefix.alias("p")).select("sig", "n", "m", "part", "p.k", "p.tok")
     mixed = posts.groupBy("k", "tok").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("k", "tok")
     posts = store.put(posts.join(mixed, ["k", "tok"], "left_semi"))
-    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("part").alias("pu"))
-    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("part").alias("pv"))
-    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & (100 * F.least("nu", "nv") >= percent * F.greatest("nu", "nv")))
+    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("part").alias("pu"))
+    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("part").alias("pv"))
+    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & ((100 + percent) * F.least("mu", "mv") >= percent * (F.col("nu") + F.col("nv"))))
     pairs = meet.groupBy("u", "v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1).select("u", "v")
     more = store.put(_verified(pairs, sets, percent))
     parts = connected_components(store, links.union(more))
@@ -270,6 +273,20 @@ def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     )
 
 
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, less all but the smallest id of each component.
+
+    Of several rows with one id one stays; rows with a null id stay, as no result names them.
+    """
+    store = Store(docs.sparkSession)
+    out = join_near_duplicates(docs, id_col, text_col, percent)
+    of = store.put(out.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")))
+    gone = of.where((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)).select(F.col(id_col).alias("__id"))
+    again = of.where((F.col("least") == F.col(id_col)) & (F.col("rows") > 1)).select(F.col(id_col).alias("__id"))
+    same = F.col(id_col).cast("long") == F.col("__id")
+    return docs.join(gone, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col]))
+
+
 COLUMNS = ["doc_id", "n_shingles", "component_id"]
 
 
