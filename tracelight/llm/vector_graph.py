@@ -304,9 +304,10 @@ def audit_recall(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
     found = both.join(asked.select(F.col("node").alias("u")), "u", "left_semi").count()
     # the rows of a label, dealt by a salt, each part against the blocks of the label's queries
     salts = 16
-    blocks = asked.withColumn("b", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), (F.lit(asked.count()) / block).cast("int")))).groupBy("label", "b").agg(F.collect_list(F.struct("node", "vec")).alias("q"))
+    kind = F.concat_ws("/", "label", F.size("vec"))
+    blocks = asked.withColumn("label", kind).withColumn("b", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), (F.lit(asked.count()) / block).cast("int")))).groupBy("label", "b").agg(F.collect_list(F.struct("node", "vec")).alias("q"))
     blocks = blocks.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "q")
-    dealt = nodes.select(F.col("label").alias("l"), F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(salts)).cast("long").alias("s"), "node", "vec")
+    dealt = nodes.select(kind.alias("l"), F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(salts)).cast("long").alias("s"), "node", "vec")
 
     def compare(left, right):
         import numpy as np
