@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -71,16 +72,31 @@ class Store:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
-        """Delete tables that no later step reads, and let Spark clean the shuffles that are no longer reachable."""
+        """Delete tables that no later step reads."""
         jvm = self.spark.sparkContext._jvm
         for df in tables:
             p = jvm.org.apache.hadoop.fs.Path(df._tracelight_path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        self.tidy()
 
     def tidy(self) -> None:
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        """Free the shuffle files of plans that nothing refers to; Spark's cleaner does so after a collection, in its own thread."""
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
+
+
+def give_back() -> None:
+    """Return memory that a Python worker has freed to the system, as the worker lives on for other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+    if trim:
+        trim(0)
 
 
 def grouped(run: Callable) -> Callable:

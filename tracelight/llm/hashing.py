@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 #: Words of up to so many bytes are remembered by a worker, so many at most; then it starts anew.
-CACHED_LENGTH, CACHED = 40, 300_000
+CACHED_LENGTH, CACHED = 40, 100_000
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 

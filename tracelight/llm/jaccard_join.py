@@ -11,18 +11,19 @@
    It also needs an intersection that fits in the shared shingles of either.
 4. Large groups of near copies would make a quadratic number of pairs. So classes first meet only the leader of
    their group (the classes with the same smallest hash, for several hash functions): the class with the least
-   share of shingles of its own, as an original has among its edited copies. Verified links merge
-   classes into components, and the join of step 3 then makes pairs between different components only.
+   share of shingles of its own, as an original has among its edited copies. What does not link with the
+   leader meets the group by what it differs in, and only links leave that join. Links merge classes into
+   components, and the join of step 3 then makes pairs between different components and groups only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, connected_components, grouped, plan_bytes, power_of_two, text_or_empty
+from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, text_or_empty
 
 #: Shingles in a batch of documents that is sent at once, and bytes of input for each bucket.
 BATCH, BUCKET_BYTES = 1_000_000, 6 << 20
@@ -93,6 +94,8 @@ def _send(size: int, buckets: int, shingle: int):
                         ids, sigs, ns, sets, n = [], [], [], [], 0
         if ids:
             yield from flush(ids, sigs, ns, sets)
+        del ids, sigs, ns, sets
+        give_back()
 
     return run
 
@@ -155,6 +158,8 @@ def _return(owners: int):
                 table, where, refs = np.unique(sig[p], return_index=True, return_inverse=True)
                 made = [table, size[p][where].astype(np.uint32), refs.astype(np.uint32), tok[p], np.minimum(df[p], 1 << 31).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names)
+        del tok, sig, size, df, owner, order, keep, first, same, at
+        give_back()
 
     return grouped(run)
 
@@ -202,12 +207,43 @@ def _assemble(percent: int, orders: int, leaders: int):
     return grouped(run)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) of classes whose shingle sets have the similarity asked for."""
-    left = sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("toks").alias("tu"))
-    right = sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("toks").alias("tv"))
-    both = F.size(F.array_intersect("tu", "tv"))
-    return pairs.join(left, "u").join(right, "v").where(100 * both >= percent * (F.col("nu") + F.col("nv") - both)).select("u", "v")
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (u, v) of classes with the sizes (n), shared sizes (m) and shared shingles (t) of both, and the size of their intersection."""
+    left = sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("toks").alias("tu"))
+    right = sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("toks").alias("tv"))
+    return pairs.join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("tu", "tv")))
+
+
+def _similar(both: Column, n: Column, percent: int) -> Column:
+    return 100 * both >= percent * (n - both)
+
+
+def _leader_links(store: Store, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The links within groups of near copies, and the members (u, v) of each group v in which all links are found.
+
+    Every class meets the leader of each of its groups. Of a group in which the leader links with a third or more, members that
+    are half like the leader meet the members that do not link with it. Both sets are the leader's but for a few
+    shingles, and from these differences alone the size of an intersection follows.
+    """
+    rank = F.struct((1_000_000 * F.col("m") / F.col("n")).cast("long").alias("share"), F.col("common"), F.col("sig"))
+    keyed = sets.select("sig", rank.alias("rank"), F.posexplode("leaders").alias("k", "key"))
+    leader = keyed.groupBy("k", "key").agg(F.max("rank").alias("top"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("top.sig").alias("v"))
+    pairs = keyed.join(leader, ["k", "key"]).where(F.col("sig") != F.col("v")).select(F.col("sig").alias("u"), "v").distinct()
+    sizes = F.col("nu") + F.col("nv")
+    differ = F.concat(F.array_except("tu", "tv"), F.array_except("tv", "tu"))
+    near = _with_sets(pairs, sets).where(_similar(F.col("both"), sizes, 50))
+    near = store.put(near.select("u", "v", F.col("nu").alias("n"), F.col("mu").alias("m"), _similar(F.col("both"), sizes, percent).alias("linked"), differ.alias("differ")))
+    links = near.where("linked").select("u", "v")
+    groups = near.groupBy("v").agg(F.count("*").alias("all"), F.count_if("linked").alias("some")).where("3 * some >= all").select("v")
+    members = near.join(groups, "v", "left_semi")
+    one = members.where(~F.col("linked")).select("v", *(F.col(c).alias(f"{c}1") for c in ("u", "n", "m", "differ")))
+    two = members.select("v", *(F.col(c).alias(f"{c}2") for c in ("u", "n", "m", "linked", "differ")))
+    shared = F.size(F.array_intersect("differ1", "differ2"))
+    both = (F.col("m1") + F.col("m2") - F.size("differ1") - F.size("differ2") + 2 * shared) / 2
+    bound = (100 + percent) * F.least("m1", "m2") >= percent * (F.col("n1") + F.col("n2"))
+    once = F.when(F.col("linked2"), F.lit(True)).otherwise(F.col("u1") < F.col("u2"))
+    more = one.join(two, "v").where(once & bound & _similar(both, F.col("n1") + F.col("n2"), percent))
+    return links.union(more.select("u1", "u2")).distinct(), members.select("u", "v").union(members.select("v", F.col("v").alias("w")).distinct())
 
 
 def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, batch: int = BATCH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -236,29 +272,27 @@ def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     classes = store.put(classes)
     store.drop(back)
 
-    # every class against the leaders of its groups
-    rank = F.struct((1_000_000 * F.col("m") / F.col("n")).cast("long").alias("share"), F.col("common"), F.col("sig"))
-    keyed = sets.select("sig", rank.alias("rank"), F.posexplode("leaders").alias("k", "key"))
-    leader = keyed.groupBy("k", "key").agg(F.max("rank").alias("top"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("top.sig").alias("v"))
-    stars = keyed.join(leader, ["k", "key"]).where(F.col("sig") != F.col("v")).select(F.col("sig").alias("u"), "v").distinct()
-    links = store.put(_verified(stars, sets, percent))
+    links, members = _leader_links(store, sets, percent)
+    links, members = store.put(links), store.put(members)
     parts = store.put(connected_components(store, links))
 
-    # pairs of different components whose prefixes meet under all orders
-    at = sets.select("sig", "n", "m", *(f"p{k}" for k in range(ORDERS))).join(parts, F.col("sig") == F.col("node"), "left").withColumn("part", F.coalesce("component", "sig"))
-
+    # pairs of different components, of no group that is done, whose prefixes meet under all orders
     def under(k: int):
         return F.transform(f"p{k}", lambda t: F.struct(F.lit(k).alias("k"), t.alias("tok")))
 
     prefix = F.explode(F.concat(*map(under, range(ORDERS))))
-    posts = at.select("sig", "n", "m", "part", prefix.alias("p")).select("sig", "n", "m", "part", "p.k", "p.tok")
+    done = members.groupBy(F.col("u").alias("sig")).agg(F.collect_set("v").alias("done"))  # LEADERS + 1 at most
+    at = sets.join(parts, F.col("sig") == F.col("node"), "left").join(done, "sig", "left")
+    at = at.withColumn("part", F.coalesce("component", "sig")).withColumn("done", F.coalesce("done", F.array().cast("array<bigint>")))
+    posts = at.select("sig", "n", "m", "part", "done", prefix.alias("p")).select("sig", "n", "m", "part", "done", "p.k", "p.tok")
     mixed = posts.groupBy("k", "tok").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("k", "tok")
     posts = store.put(posts.join(mixed, ["k", "tok"], "left_semi"))
-    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("part").alias("pu"))
-    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("part").alias("pv"))
-    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & ((100 + percent) * F.least("mu", "mv") >= percent * (F.col("nu") + F.col("nv"))))
+    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("part").alias("pu"), F.col("done").alias("du"))
+    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("part").alias("pv"), F.col("done").alias("dv"))
+    bound = (100 + percent) * F.least("mu", "mv") >= percent * (F.col("nu") + F.col("nv"))
+    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & bound & ~F.arrays_overlap("du", "dv"))
     pairs = meet.groupBy("u", "v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1).select("u", "v")
-    more = store.put(_verified(pairs, sets, percent))
+    more = store.put(_with_sets(pairs, sets).where(_similar(F.col("both"), F.col("nu") + F.col("nv"), percent)).select("u", "v"))
     parts = connected_components(store, links.union(more))
 
     # the smallest id of each class and component
