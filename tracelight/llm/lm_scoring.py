@@ -17,13 +17,15 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, fold, grouped, plan_bytes, power_of_two, text_or_empty
+from .common import Store, fold, give_back, grouped, plan_bytes, power_of_two, text_or_empty
 
 #: Tokens of a batch; bytes of input for each bucket; the fold that is never learned from, and the deleted one.
 BATCH, BUCKET_BYTES, HELD_FOLD, DELETED_FOLD = 1_000_000, 6 << 20, 1, 2
 EM_ROUNDS = 40
 #: Counts enter EM in steps of 1 / STEPS of a power of two.
-STEPS = 8
+STEPS = 4
+#: Bits of a word's and of a bigram's hash.
+WORD_BITS, PAIR_BITS = 64, 54
 END, BEGIN = 0x5EED0F0E4D, 0x5EED0BE617  # hashes of the end token and of the context before the first word
 
 
@@ -42,26 +44,23 @@ def _unzip(b: bytes, kind):
 
 
 def _pack(sorted_hashes) -> bytes:
-    """Sorted distinct hashes as differences of six bytes, or of eight where one is too large."""
+    """Sorted distinct hashes as differences of five or six bytes, or of eight where one is too large."""
     import numpy as np
 
     gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    if (gaps[1:] < np.uint64(1 << 48)).all():
-        return b"6" + gaps[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
-    return b"8" + gaps.tobytes()
+    most = int(gaps[1:].max()) if len(gaps) > 1 else 0
+    width = 5 if most < 1 << 40 else 6 if most < 1 << 48 else 8
+    return bytes([width]) + gaps[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpack(b: bytes):
     import numpy as np
 
-    if b[:1] == b"8":
-        gaps = np.frombuffer(b[1:], np.uint64)
-    else:
-        wide = np.zeros(((len(b) - 9) // 6 + 1, 8), np.uint8)
-        wide[0] = np.frombuffer(b[1:9], np.uint8)
-        wide[1:, :6] = np.frombuffer(b[9:], np.uint8).reshape(-1, 6)
-        gaps = wide.view(np.uint64)[:, 0]
-    return np.cumsum(gaps, dtype=np.uint64)
+    width = b[0]
+    wide = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(b[1:9], np.uint8)
+    wide[1:, :width] = np.frombuffer(b[9:], np.uint8).reshape(-1, width)
+    return np.cumsum(wide.view(np.uint64)[:, 0], dtype=np.uint64)
 
 
 def _batches(size: int):
@@ -78,16 +77,21 @@ def _batches(size: int):
         end = np.array([END], np.uint64)
 
         def flush(ids, folds, docs):
-            vocab, where = np.unique(np.concatenate([x for d in docs for x in (d, end)]), return_inverse=True)
+            vocab, where, counts = np.unique(np.concatenate([x for d in docs for x in (d, end)]), return_inverse=True, return_counts=True)
+            # frequent words get small numbers, whose byte planes compress best; the counts give the order again
+            rank = np.empty(len(vocab), np.uint32)
+            rank[np.argsort(-counts, kind="stable")] = np.arange(len(vocab), dtype=np.uint32)
+            planes = np.ascontiguousarray(rank[where].view(np.uint8).reshape(-1, 4).T)
             cols = [
                 pa.array([part << 32 | seq], pa.int64()),
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([np.array(folds, np.uint8).tobytes()], pa.binary()),
                 pa.array([np.array([len(d) + 1 for d in docs], np.uint32).tobytes()], pa.binary()),
                 pa.array([_pack(vocab)], pa.binary()),
-                pa.array([_zip(where.astype(np.uint32))], pa.binary()),
+                pa.array([_zip(counts.astype(np.uint32))], pa.binary()),
+                pa.array([_zip(planes)], pa.binary()),
             ]
-            return pa.RecordBatch.from_arrays(cols, ["batch", "doc_ids", "folds", "lens", "vocab", "tokens"])
+            return pa.RecordBatch.from_arrays(cols, ["batch", "doc_ids", "folds", "lens", "vocab", "counts", "tokens"])
 
         ids, folds, docs, n = [], [], [], 0
         for whole in rows:
@@ -104,6 +108,8 @@ def _batches(size: int):
                         ids, folds, docs, n = [], [], [], 0
         if ids:
             yield flush(ids, folds, docs)
+        del ids, folds, docs
+        give_back()
 
     return run
 
@@ -118,7 +124,9 @@ class _Batch:
         self.folds = np.frombuffer(row["folds"], np.uint8)
         self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
         self.vocab = _unpack(row["vocab"])
-        self.tokens = _unzip(row["tokens"], np.uint32).astype(np.int64)
+        order = np.argsort(-_unzip(row["counts"], np.uint32).astype(np.int64), kind="stable")
+        planes = _unzip(row["tokens"], np.uint8).reshape(4, -1)
+        self.tokens = order[np.ascontiguousarray(planes.T).view(np.uint32)[:, 0]]
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         fold_of = self.folds[self.doc]
         self.deleted = fold_of == DELETED_FOLD
@@ -136,7 +144,7 @@ class _Batch:
         context[np.cumsum(self.lens) - self.lens] = v
         code, place = np.unique(context * (v + 1) + self.tokens, return_inverse=True)
         hashes = np.append(self.vocab, np.uint64(BEGIN))
-        h = mix64(mix64(hashes[code // (v + 1)], 1) + hashes[code % (v + 1)], 2)
+        h = mix64(mix64(hashes[code // (v + 1)], 1) + hashes[code % (v + 1)], 2) >> np.uint64(64 - PAIR_BITS)
         order = np.argsort(h, kind="stable")
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
@@ -159,11 +167,11 @@ _REQUEST = "bucket int, batch long, hashes binary, kept binary, deleted binary,
 _REPLY = "batch long, bucket int, kept binary, total binary, h0 int, h1 int, h2 int, weight long, kept_sum long, total_sum long, distinct long"
 
 
-def _request(batch: int, buckets: int, hashes, kept, deleted, context, word):
+def _request(batch: int, buckets: int, bits: int, hashes, kept, deleted, context, word):
     import numpy as np
     import pyarrow as pa
 
-    shift = np.uint64(64 - (buckets.bit_length() - 1))
+    shift = np.uint64(bits - (buckets.bit_length() - 1))
     cut = np.searchsorted(hashes >> shift, np.arange(buckets + 1, dtype=np.uint64))
     rows = []
     for b in range(buckets):
@@ -184,7 +192,7 @@ def _send_words(buckets: int):
                 x = _Batch(r)
                 kept, deleted = x.counts(x.tokens, len(x.vocab))
                 none = np.zeros(len(x.vocab), np.uint8)
-                yield _request(r["batch"], buckets, x.vocab, kept, deleted, none, none)
+                yield _request(r["batch"], buckets, WORD_BITS, x.vocab, kept, deleted, none, none)
 
     return run
 
@@ -213,7 +221,8 @@ def _send_pairs(buckets: int):
             kept, deleted = x.counts(place, len(h))
             # the number of documents, which the context before the first word has, is not known here
             c[-1] = 255
-            out.append(_request(r["batch"], buckets, h, kept, deleted, c[context], c[word]))
+            # EM needs what stands around deleted counts only
+            out.append(_request(r["batch"], buckets, PAIR_BITS, h, kept, deleted, *(np.where(deleted > 0, c[at], np.uint8(0)) for at in (context, word))))
         return pa.Table.from_batches(out)
 
     return run
@@ -242,7 +251,10 @@ def _count(with_history: bool):
             cols = [[r["batch"]], [r["bucket"]], [_zip(kept[p].astype(np.uint32)) if not with_history else None], [_zip(total[p].astype(np.uint32))]]
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(pa.nulls(1, pa.int32()) for _ in range(3)), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
-        context, word = (np.concatenate([_unzip(r[k], np.uint8) for r in asked])[first].astype(np.int64) for k in ("context", "word"))
+        context, word = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        for to, k in ((context, "context"), (word, "word")):
+            steps = np.concatenate([_unzip(r[k], np.uint8) for r in asked])
+            to[place[steps > 0]] = steps[steps > 0]  # a pair has the same in every batch with deleted counts of it
         seen = deleted > 0 if with_history else np.zeros(len(first), bool)
         code, back = np.unique(np.stack([context[seen], _steps(kept[seen]).astype(np.int64), word[seen]]), axis=1, return_inverse=True)
         weight = np.bincount(back.ravel(), deleted[seen], code.shape[1]).astype(np.int64)
@@ -250,6 +262,8 @@ def _count(with_history: bool):
         h = [pa.array([*code[k].tolist(), None], pa.int32()) for k in range(3)]
         sums = [pa.array([*[None] * (n - 1), int(s)], pa.int64()) for s in (kept.sum(), total.sum(), (total > 0).sum())]
         yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *h, pa.array([*weight.tolist(), None], pa.int64()), *sums], names)
+        del asked, hashes, where, first, place, kept, deleted, total, context, word, code, back
+        give_back()
 
     return grouped(run)
 
@@ -321,13 +335,13 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null or empty text is one end token. Null ids and repeated rows stay (a null id is in the fold of the
     empty text). Without training documents N = V = 0 and every token has probability 1 / (V + 1). Other columns are not read; an
-    empty table gives an empty result. Words and bigrams are 64-bit hashes.
+    empty table gives an empty result. Words are 64-bit hashes, bigrams 54-bit ones.
     """
     spark = docs.sparkSession
     store = Store(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(F.col(id_col)).cast("int").alias("fold"), text_or_empty(text_col).alias("text"))
     buckets = power_of_two(plan_bytes(rows) / bucket_bytes, 8, 4096)
-    packed = store.put(rows.mapInArrow(_batches(batch), "batch long, doc_ids array<long>, folds binary, lens binary, vocab binary, tokens binary"))
+    packed = store.put(rows.mapInArrow(_batches(batch), "batch long, doc_ids array<long>, folds binary, lens binary, vocab binary, counts binary, tokens binary"))
     words = store.put(packed.mapInArrow(_send_words(buckets), _REQUEST).groupBy("bucket").applyInArrow(_count(False), _REPLY))
     n = words.agg(F.sum("kept_sum"), F.sum("total_sum"), F.sum("distinct")).first()
     n_kept, n_total, distinct = (x or 0 for x in n)
