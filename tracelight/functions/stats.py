@@ -24,7 +24,8 @@ def wilson(k: Column, n: Column, z: float = Z95, scale: float = 1.0) -> Column:
     centre = p + z * z / (2 * size)
     half = z * F.sqrt(p * (1 - p) / size + z * z / (4 * size * size))
     low, high = F.greatest(F.lit(0.0), (centre - half) / bottom), F.least(F.lit(1.0), (centre + half) / bottom)
-    return F.struct(F.coalesce(low * scale, F.lit(0.0)).alias("low"), F.coalesce(high * scale, F.lit(0.0)).alias("high"))
+    some = lambda x: F.when(n > 0, x * scale).otherwise(F.lit(0.0))
+    return F.struct(some(low).alias("low"), some(high).alias("high"))
 
 
 def safe_corr(x: Column, y: Column, least: int = 3) -> Column:
