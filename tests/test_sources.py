@@ -161,3 +161,11 @@ def test_verdict_changes(spark):
     new = spark.createDataFrame([(1, True, "a"), (2, True, "b"), (4, None, "d")], "k int, ai boolean, p string")
     got = {r.k: (r.status, r.changed) for r in verdict_changes(old, new, "k", ["ai", "p"]).collect()}
     assert got == {1: ("same", []), 2: ("differs", ["ai"]), 3: ("only_old", []), 4: ("only_new", [])}
+
+
+def test_forensic_records(spark, folder):
+    from tracelight.sources.media import forensic_records
+
+    got = {r.path.rsplit("/", 1)[1]: r for r in forensic_records(read_media(spark, folder)).collect()}
+    assert [p.name for p in got["sd.png"].parts] == ["IHDR", "tEXt", "IDAT", "IEND"] and got["sd.png"].texts[0].k == "parameters"
+    assert got["grok.jpg"].container == "jpeg" and got["grok.jpg"].tags[0].k == "ImageDescription" and len(got["noise.jpg"].sha256) == 64

@@ -96,3 +96,19 @@ def test_lines_and_greedy(spark):
     assert sorted(r.score for r in temporal.greedy_suppress(boxes, ["k"]).collect()) == [0.7, 0.9]
     pairs = spark.createDataFrame([(1, "a", "x", 1.0), (1, "a", "y", 0.5), (1, "b", "y", 0.6), (1, "b", "x", 2.0)], "k int, l string, r string, d double")
     assert sorted((p.l, p.r) for p in temporal.match_one_to_one(pairs, ["k"], "l", "r", "d").collect()) == [("a", "y"), ("b", "x")]
+
+
+def test_videos(spark, table):
+    from tracelight.operators import video
+
+    marks = temporal.stable_regions(table)
+    rows = [("v", {}), ("u", {"issuer": "Google LLC", "claim_generator": "x", "source_type": "trainedAlgorithmicMedia"}), ("w", None)]
+    videos = spark.createDataFrame(rows, "video string, markers map<string,string>")
+    got = {r.video: r for r in video.identify_videos(videos, marks).collect()}
+    assert (got["v"].is_ai_generated, got["v"].confidence, got["v"].platform, got["v"].visible_mark, got["v"].detected_frames) == (True, "high", "Google Veo", "veo", 14)
+    assert got["u"].platform == "Google (Gemini / Imagen)" and got["w"].is_ai_generated is None and got["w"].confidence == "unknown" and len(got["w"].caveats) == 2
+    assert [r[0] for r in videos.orderBy("video").select(video.metadata_provenance(videos.markers)).collect()] == [["veo"], [], []]
+    ts = spark.createDataFrame([("a", i, i * 0.04) for i in range(10)] + [("b", i, i * 0.04 + (0.03 if i == 5 else 0)) for i in range(10)], "video string, frame_index int, ts double")
+    assert {r.video: r.variable for r in video.variable_rate(ts).collect()} == {"a": False, "b": True}
+    words = spark.createDataFrame([(1, 0, 0, 10, 10), (1, 14, 1, 20, 11), (1, 0, 40, 10, 50), (1, 200, 0, 220, 10)], "k int, x1 int, y1 int, x2 int, y2 int")
+    assert sorted((r.x1, r.y1, r.x2, r.y2) for r in video.merge_words(words, ["k"]).collect()) == [(0, 0, 20, 11), (0, 40, 10, 50), (200, 0, 220, 10)]

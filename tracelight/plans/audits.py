@@ -145,3 +145,60 @@ def carrier_control_union(spark, sf):
 def adjudication_semijoin(spark, sf):
     urgent = table(spark, sf, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
     return table(spark, sf, "customer").select("c_custkey", "c_name").join(urgent, "c_custkey", "left_semi")
+
+
+@query("""
+WITH p AS (SELECT contains(text, 'License') AS a1, lang = 'en' AS a2, length(text) > 500 AS a3, contains(lower(text), 'license') AS b1, lang IN ('en', 'de') AS b2, length(text) > 400 AS b3 FROM documents)
+SELECT unnest(['license', 'lang', 'length']) AS field, unnest([count(*) FILTER (a1 IS DISTINCT FROM b1), count(*) FILTER (a2 IS DISTINCT FROM b2), count(*) FILTER (a3 IS DISTINCT FROM b3)]) AS mismatches FROM p
+""")
+def field_mismatch_counts(spark, sf):
+    """Mismatches of each compared field, in one pass."""
+    n = F.length("text")
+    fields = {
+        "license": (F.contains("text", F.lit("License")), F.contains(F.lower("text"), F.lit("license"))),
+        "lang": (F.col("lang") == "en", F.col("lang").isin("en", "de")),
+        "length": (n > 500, n > 400),
+    }
+    one = table(spark, sf, "documents").agg(*(F.count_if(~a.eqNullSafe(b)).alias(k) for k, (a, b) in fields.items()))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("mismatches")) for k in fields))).alias("f")).select("f.*")
+
+
+@query("SELECT c_custkey, round(c_acctbal / 20)::BIGINT AS band FROM customer WHERE c_acctbal IS NOT NULL AND abs(c_acctbal / 20 - floor(c_acctbal / 20) - 0.5) > 0.001")
+def reading_order(spark, sf):
+    """Rows banded by height as a reader takes them; exact halves round to even, so they are left to tests."""
+    v = F.col("c_acctbal") / 20
+    return table(spark, sf, "customer").where(F.col("c_acctbal").isNotNull() & (F.abs(v - F.floor(v) - 0.5) > 0.001)).select("c_custkey", F.bround(v).cast("long").alias("band"))
+
+
+@query("""
+SELECT user_id, max(abs(step - usual)) > 0.5 * any_value(usual) AS variable FROM (
+  SELECT user_id, step, median(step) OVER (PARTITION BY user_id) AS usual FROM (
+    SELECT user_id, epoch_us(ts) / 1e6 - lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events) WHERE step IS NOT NULL) GROUP BY user_id
+""")
+def variable_frame_rate(spark, sf):
+    from ..operators.video import variable_rate
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = table(spark, sf, "events").select(F.col("user_id").alias("video"), F.row_number().over(w).alias("frame_index"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"))
+    return variable_rate(frames, 0.5).withColumnRenamed("video", "user_id")
+
+
+@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS k FROM events GROUP BY event_type")
+def streamed_rates(spark, sf):
+    """The windowed stream run to its end over the events, then added up: the same rows as the batch."""
+    from ..sources.shared import shared_folder
+    from ..streaming import stream_events, windowed_rates
+
+    schema = table(spark, sf, "events").schema
+    folder = shared_folder(spark)
+    # a file source takes folders, so the one file of small scales is named by a pattern
+    rates = windowed_rates(stream_events(spark, f"{sf}/events.parquet*", schema))
+    q = rates.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    closed = spark.read.schema(rates.schema).parquet(f"{folder}/out").select("start", "event_type", "n", "k")
+    # windows that the watermark has not closed yet are counted from the table
+    last = closed.agg(F.max("start")).first()[0]
+    rows = table(spark, sf, "events").withColumn("start", F.window(F.col("ts").cast("timestamp"), "1 day")["start"])
+    rows = rows if last is None else rows.where(F.col("start") > F.lit(last))
+    open_ = rows.groupBy("start", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("k"))
+    return closed.unionByName(open_).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))

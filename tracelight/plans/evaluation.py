@@ -168,3 +168,72 @@ def crossfire(spark, sf):
         nearest_rank("a", 0.5).alias("a50"), nearest_rank("a", 0.9).alias("a90"), nearest_rank("b", 0.5).alias("b50"), F.round(nearest_rank("a - b", 0.5), 6).alias("d50"),
         F.count_if((F.col("a") >= 30_000) & (F.col("b") >= 20)).alias("both_fire"),
     )
+
+
+@query("""
+WITH a AS (SELECT lang, count(*) FILTER (quality = 0 AND contains(text, '!!')) / nullif(count(*) FILTER (contains(text, '!!')), 0) AS p FROM documents JOIN labels USING (doc_id) GROUP BY lang),
+b AS (SELECT lang, count(*) FILTER (quality = 0 AND contains(text, ' | ')) / nullif(count(*) FILTER (contains(text, ' | ')), 0) AS p FROM documents JOIN labels USING (doc_id) GROUP BY lang)
+SELECT a.lang, round(a.p, 9) AS precision, round(a.p - b.p, 9) AS delta FROM a LEFT JOIN b ON a.lang = b.lang
+""")
+def precision_delta(spark, sf):
+    """Precision now against a snapshot of another detector's."""
+    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
+    at = lambda mark: F.try_divide(F.count_if((F.col("quality") == 0) & F.contains("text", F.lit(mark))), F.count_if(F.contains("text", F.lit(mark))))
+    now, snapshot = rows.groupBy("lang").agg(at("!!").alias("p")), rows.groupBy("lang").agg(at(" | ").alias("q"))
+    return now.join(snapshot, "lang", "left").select("lang", F.round("p", 9).alias("precision"), F.round(F.col("p") - F.col("q"), 9).alias("delta"))
+
+
+@query("""
+SELECT seen, count(*) AS false_fires FROM (
+  SELECT CASE WHEN contains(text, 'License') THEN 'license' WHEN contains(text, '@') THEN 'contact' ELSE 'nothing' END AS seen FROM documents JOIN labels USING (doc_id)
+  WHERE quality = 1 AND (contains(text, 'http') OR contains(text, '.\n'))) GROUP BY seen
+""")
+def confusion_detail(spark, sf):
+    """False fires by what was there instead."""
+    from ..functions.tokens import contains_any, first_match
+
+    fires = contains_any(F.col("text"), ["http", ".\n"])
+    rows = table(spark, sf, "documents").where(fires).join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    seen = F.coalesce(first_match(F.col("text"), (("License", "license"), ("@", "contact"))), F.lit("nothing"))
+    return rows.groupBy(seen.alias("seen")).agg(F.count("*").alias("false_fires"))
+
+
+@query("""
+SELECT event_type, count(*) FILTER (value > 50) AS detected, count(*) FILTER (value > 50 AND value % 7 < 1) AS not_maskable, round(median(CASE WHEN value > 50 THEN value END), 6) AS median_hit FROM events GROUP BY event_type
+""")
+def detected_not_maskable(spark, sf):
+    v = F.col("value")
+    return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(v > 50).alias("detected"), F.count_if((v > 50) & (v % 7 < 1)).alias("not_maskable"), F.round(F.median(F.when(v > 50, v)), 6).alias("median_hit"))
+
+
+@query("""
+SELECT l_returnflag, arg_max(l_discount, (l_extendedprice, -l_linenumber, -l_orderkey)) AS rung, max(l_extendedprice) AS best FROM lineitem GROUP BY l_returnflag
+""")
+def best_of_ladder(spark, sf):
+    """The best rung; the earliest of equals."""
+    order = F.struct("l_extendedprice", -F.col("l_linenumber"), -F.col("l_orderkey"))
+    return table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.max_by("l_discount", order).alias("rung"), F.max("l_extendedprice").alias("best"))
+
+
+@query("""
+SELECT label, round(10 * log10(65025.0 / (sum(se) / sum(n))), 7) AS psnr, count(*) AS frames FROM (
+  SELECT a.label, list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS se, len(a.embedding) AS n
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY label
+""")
+def pooled_video_fidelity(spark, sf):
+    """One PSNR over all frames of a group, not the mean of theirs."""
+    from ..functions.vectors import mean_squared_error
+    from ..operators.video import pooled_psnr
+
+    e = table(spark, sf, "embeddings")
+    a = e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
+    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("y"))
+    n = F.size("x")
+    frames = a.join(b, "vec_id").select("label", (mean_squared_error(F.col("x"), F.col("y")) * n).alias("squared_error"), n.alias("n_values"), F.lit(None).cast("double").alias("ssim"))
+    return pooled_psnr(frames, "label").select("label", F.round("psnr", 7).alias("psnr"), "frames")
+
+
+@query("SELECT o_orderstatus, o_orderpriority || '/' || year(o_orderdate) AS key, count(*) AS n FROM orders GROUP BY ALL")
+def composite_key_counts(spark, sf):
+    key = F.concat("o_orderpriority", F.lit("/"), F.year("o_orderdate").cast("string"))
+    return table(spark, sf, "orders").groupBy("o_orderstatus", key.alias("key")).agg(F.count("*").alias("n"))

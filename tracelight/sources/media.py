@@ -6,11 +6,14 @@ verdicts can be computed again without the files. A file that cannot be read is
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.text import extension
 from ..functions.tokens import contains_any
@@ -36,11 +39,11 @@ def read_media(spark: SparkSession, path: str, formats: tuple[str, ...] | None =
 
 def collect_records(files: DataFrame) -> DataFrame:
     """One portable record a file (path, content), in Arrow batches; parsing errors become issues."""
+    kinds = to_arrow_schema(StructType.fromDDL(RECORD))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = None
         for b in batches:
             for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 row = {"path": path, "schema_version": SCHEMA_VERSION, "status": "complete", "issue": None, "container": "unknown", "metadata": b"", "tail": b"", "scan": b"", "pil": [], "exif": [], "label": None, "claim_generator": None}
@@ -52,9 +55,6 @@ def collect_records(files: DataFrame) -> DataFrame:
                     row |= {"container": C.sniff(data), "metadata": C.metadata_regions(data), "tail": C.trailer(data), "scan": scan, "pil": pairs(C.png_texts(data) if C.sniff(data) == "png" else []), "exif": pairs(C.tiff_tags(C.exif_block(data))), "label": None if label is None else list(label.items()), "claim_generator": C.cbor_text_after(scan, b"claim_generator")}
                 except Exception as e:  # noqa: BLE001  an unreadable file is data, not a failed job
                     row |= {"status": "error", "issue": f"{type(e).__name__}: {e}"[:200]}
-                if kinds is None:
-                    pair = pa.list_(pa.struct([("k", pa.string()), ("v", pa.string())]))
-                    kinds = pa.schema([("path", pa.string()), ("schema_version", pa.int32()), ("status", pa.string()), ("issue", pa.string()), ("container", pa.string()), ("metadata", pa.binary()), ("tail", pa.binary()), ("scan", pa.binary()), ("pil", pair), ("exif", pair), ("label", pa.map_(pa.string(), pa.string())), ("claim_generator", pa.string())])
                 yield pa.RecordBatch.from_pylist([row], schema=kinds)
 
     return files.select("path", "content").mapInArrow(run, RECORD)
@@ -107,3 +107,33 @@ def live_photo_id(text: str) -> str | None:
         return None
     found = re.search(r"[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12}", text)
     return found[0] if found else None
+
+
+FORENSIC = (
+    "path string, sha256 string, container string, size_bytes long, parts array<struct<name:string,offset:long,length:long>>, progressive boolean, subsampling string, "
+    "restart int, tables array<array<int>>, comments array<string>, texts array<struct<k:string,v:string>>, tags array<struct<k:string,v:string>>, issue string"
+)
+
+
+def forensic_records(files: DataFrame) -> DataFrame:
+    """Broad inspection records of files (path, content): never detector input. Group by ``tables`` for encoder cohorts, explode ``parts`` for chunk counts."""
+
+    kinds = to_arrow_schema(StructType.fromDDL(FORENSIC))
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            for path, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                data = data or b""
+                row = dict.fromkeys(kinds.names) | {"path": path, "sha256": hashlib.sha256(data).hexdigest(), "container": C.sniff(data), "size_bytes": len(data)}
+                try:
+                    jpeg = C.jpeg_structure(data) if row["container"] == "jpeg" else {}
+                    pairs = lambda p: [{"k": k, "v": v} for k, v in p]
+                    row |= {k: jpeg.get(k) for k in ("progressive", "subsampling", "restart", "tables", "comments")}
+                    row |= {"parts": [{"name": n, "offset": o, "length": k} for n, o, k in C.inventory(data)], "texts": pairs(C.png_texts(data) if row["container"] == "png" else []), "tags": pairs(C.tiff_tags(C.exif_block(data)))}
+                except Exception as e:  # noqa: BLE001
+                    row["issue"] = f"{type(e).__name__}: {e}"[:200]
+                yield pa.RecordBatch.from_pylist([row], schema=kinds)
+
+    return files.select("path", "content").mapInArrow(run, FORENSIC)

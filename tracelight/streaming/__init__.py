@@ -25,7 +25,8 @@ def stream_verdicts(records: DataFrame) -> DataFrame:
 
 
 def stream_events(spark: SparkSession, path: str, schema, watermark: str = "1 hour") -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path).withWatermark("ts", watermark)
+    """Events of a folder or pattern; an event time without a zone is taken in the session's."""
+    return spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
 
 
 def windowed_rates(events: DataFrame, window: str = "1 day", slide: str | None = None, fires: float = 50.0) -> DataFrame:
