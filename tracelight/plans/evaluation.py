@@ -68,7 +68,8 @@ def confusion_scope(spark, sf):
     """A detector against labels, within the documents that were judged."""
     from ..functions.tokens import contains_any
 
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").select("lang", (F.col("quality") == 0).alias("bad"), contains_any(F.col("text"), ["!!", " | ", "***"]).alias("fired"))
+    fired = table(spark, sf, "documents").select("doc_id", "lang", contains_any(F.col("text"), ["!!", " | ", "***"]).alias("fired"))
+    rows = fired.join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
     tp = F.count_if(F.col("fired") & F.col("bad"))
     return rows.groupBy("lang").agg(
         tp.alias("tp"), F.count_if(F.col("fired") & ~F.col("bad")).alias("fp"), F.count_if(~F.col("fired") & F.col("bad")).alias("fn"),
@@ -177,9 +178,11 @@ SELECT a.lang, round(a.p, 9) AS precision, round(a.p - b.p, 9) AS delta FROM a L
 """)
 def precision_delta(spark, sf):
     """Precision now against a snapshot of another detector's."""
-    rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id")
-    at = lambda mark: F.try_divide(F.count_if((F.col("quality") == 0) & F.contains("text", F.lit(mark))), F.count_if(F.contains("text", F.lit(mark))))
-    now, snapshot = rows.groupBy("lang").agg(at("!!").alias("p")), rows.groupBy("lang").agg(at(" | ").alias("q"))
+    has = lambda mark: F.contains("text", F.lit(mark))
+    flags = table(spark, sf, "documents").select("doc_id", "lang", has("!!").alias("a"), has(" | ").alias("b"))
+    rows = flags.join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("bad")), "doc_id")
+    at = lambda c: F.try_divide(F.count_if(F.col("bad") & F.col(c)), F.count_if(c))
+    now, snapshot = rows.groupBy("lang").agg(at("a").alias("p")), rows.groupBy("lang").agg(at("b").alias("q"))
     return now.join(snapshot, "lang", "left").select("lang", F.round("p", 9).alias("precision"), F.round(F.col("p") - F.col("q"), 9).alias("delta"))
 
 
@@ -193,9 +196,10 @@ def confusion_detail(spark, sf):
     from ..functions.tokens import contains_any, first_match
 
     fires = contains_any(F.col("text"), ["http", ".\n"])
-    rows = table(spark, sf, "documents").where(fires).join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     seen = F.coalesce(first_match(F.col("text"), (("License", "license"), ("@", "contact"))), F.lit("nothing"))
-    return rows.groupBy(seen.alias("seen")).agg(F.count("*").alias("false_fires"))
+    fired = table(spark, sf, "documents").where(fires).select("doc_id", seen.alias("seen"))
+    rows = fired.join(table(spark, sf, "labels").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return rows.groupBy("seen").agg(F.count("*").alias("false_fires"))
 
 
 @query("""

@@ -14,7 +14,7 @@ _FIRST = "CASE " + " ".join(f"WHEN contains(text, '{t}') THEN '{x}'" for t, x in
 _STRONG = "(contains(text, 'MIT License') OR contains(text, 'Apache License'))"
 _WEAK = "(contains(text, 'CC BY') OR contains(text, '@'))"
 _VERDICT = f"""
-SELECT d.doc_id, CASE WHEN {_STRONG} OR {_WEAK} OR l.toxic = 1 THEN true END AS flagged,
+SELECT d.doc_id, CASE WHEN {_STRONG} OR {_WEAK} OR l.toxic = 1 THEN 'flagged' END AS verdict,
        CASE WHEN {_STRONG} THEN 'high' WHEN {_WEAK} OR l.toxic = 1 THEN 'medium' ELSE 'none' END AS confidence,
        coalesce({_FIRST}, CASE WHEN contains(text, '@') THEN 'contact' END, CASE WHEN l.toxic = 1 THEN 'label' END) AS platform,
        d.lang, array_to_string(list_filter([CASE WHEN {_STRONG} THEN 'license' END, CASE WHEN contains(text, 'CC BY') THEN 'cc' END,
@@ -24,17 +24,20 @@ FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
 
 
 def _verdicts(spark, sf):
-    docs = table(spark, sf, "documents").join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
     text = F.col("text")
-    strong = contains_any(text, ["MIT License", "Apache License"])
-    contact, cc = F.contains(text, F.lit("@")), F.contains(text, F.lit("CC BY"))
+    # what the text says is computed in the scan, so that the join carries flags and no texts
+    docs = table(spark, sf, "documents").select(
+        "doc_id", "lang", contains_any(text, ["MIT License", "Apache License"]).alias("strong"), F.contains(text, F.lit("@")).alias("contact"), F.contains(text, F.lit("CC BY")).alias("cc"), first_match(text, _PLATFORM).alias("named")
+    )
+    rows = docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    strong, contact, cc = F.col("strong"), F.col("contact"), F.col("cc")
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
     weak = cc | contact | toxic
-    return docs.select(
+    return rows.select(
         "doc_id",
-        F.when(strong | weak, True).alias("flagged"),
+        F.when(strong | weak, "flagged").alias("verdict"),  # or NULL, never a denial
         F.when(strong, "high").when(weak, "medium").otherwise("none").alias("confidence"),
-        F.coalesce(first_match(text, _PLATFORM), F.when(contact, "contact"), F.when(toxic, "label")).alias("platform"),
+        F.coalesce("named", F.when(contact, "contact"), F.when(toxic, "label")).alias("platform"),
         "lang",
         F.array_join(F.array_compact(F.array(F.when(strong, F.lit("license")), F.when(cc, F.lit("cc")), F.when(contact, F.lit("contact")), F.when(toxic, F.lit("toxic")))), ",").alias("signals"),
     )
@@ -45,10 +48,10 @@ def verdict_engine(spark, sf):
     return _verdicts(spark, sf)
 
 
-@query(f"SELECT platform, lang, confidence, count(*) AS n, count(*) FILTER (flagged) AS n_flagged FROM ({_VERDICT}) v GROUP BY ALL ORDER BY n DESC")
+@query(f"SELECT platform, lang, confidence, count(*) AS n, count(verdict) AS n_flagged FROM ({_VERDICT}) v GROUP BY ALL ORDER BY n DESC")
 def verdict_summary(spark, sf):
     """The flagship: verdict of each document, counted by platform, language and confidence."""
-    return _verdicts(spark, sf).groupBy("platform", "lang", "confidence").agg(F.count("*").alias("n"), F.count_if("flagged").alias("n_flagged"))
+    return _verdicts(spark, sf).groupBy("platform", "lang", "confidence").agg(F.count("*").alias("n"), F.count("verdict").alias("n_flagged"))
 
 
 @query()
