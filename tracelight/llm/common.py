@@ -66,6 +66,9 @@ class Store:
     def put(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}"
         df.write.options(**options).parquet(path)
+        if not self.paths:  # what is still there goes when the application ends
+            at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
+            at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[path] = True
         out._tracelight_path = path
@@ -120,6 +123,14 @@ def power_of_two(n: float, least: int, most: int) -> int:
     return out
 
 
+def small(df: DataFrame, rows: int, most: int) -> DataFrame:
+    """A broadcast hint on a table whose counted rows are within a bound; larger ones join by shuffles.
+
+    Without the hint, the planner would shuffle the other side, with its texts, before it knows how small this one is.
+    """
+    return F.broadcast(df) if rows <= most else df
+
+
 def connected_components(store: Store, edges: DataFrame) -> DataFrame:
     """(node, component) for each end of the edges (u, v): the smallest node that it reaches.
 

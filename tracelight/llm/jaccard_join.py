@@ -23,13 +23,15 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, text_or_empty
+from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, small, text_or_empty
 
 #: Shingles in a batch of documents that is sent at once, and bytes of input for each bucket.
 BATCH, BUCKET_BYTES = 1_000_000, 6 << 20
 ORDERS = 3
 #: Smallest-hash keys by which a class meets a leader.
 LEADERS = 4
+#: Ids to remove that are broadcast (8 bytes each); more are joined by a shuffle of the documents.
+BROADCAST_IDS = 1_000_000
 
 
 def _prefix(n, percent: int):
@@ -314,11 +316,15 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     store = Store(docs.sparkSession)
     out = join_near_duplicates(docs, id_col, text_col, percent)
-    of = store.put(out.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows")))
-    gone = of.where((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)).select(F.col(id_col).alias("__id"))
-    again = of.where((F.col("least") == F.col(id_col)) & (F.col("rows") > 1)).select(F.col(id_col).alias("__id"))
+    of = out.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
+    of = store.put(of.where((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)).select(F.col(id_col).alias("__id"), (F.col("least") == F.col(id_col)).alias("__stays")))
+    n, repeated = of.agg(F.count("*"), F.count_if("__stays")).first()
     same = F.col(id_col).cast("long") == F.col("__id")
-    return docs.join(gone, same, "left_anti").unionByName(docs.join(again, same, "left_semi").dropDuplicates([id_col]))
+    kept = docs.join(small(of, n, BROADCAST_IDS), same, "left_anti")
+    if not repeated:
+        return kept
+    again = docs.join(small(of.where("__stays"), repeated, BROADCAST_IDS), same, "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col]))
 
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]

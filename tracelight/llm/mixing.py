@@ -12,14 +12,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Store, text_or_empty
+from .common import WORD, Store, small, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
 #: Production targets: a mapping gives shares (what it does not name shares the rest as observed); a number a
 #: flattens the observed shares to their power a.
 TARGETS = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.5}
 ROUNDS, RATE = 25, 0.6
-#: Cells that the driver rakes itself (40 bytes each); more are raked as a table.
+#: Cells that the driver rakes itself and that are broadcast (some 60 bytes each); more are raked and joined as a table.
 DRIVER_CELLS = 100_000
 #: (topic, text that marks it), first match wins; the rest is prose.
 TOPICS = (("licensed", "icense"), ("contact", "@"), ("table", " | "))
@@ -108,13 +108,14 @@ def calibrate(store: Store, counted: DataFrame, targets: Mapping = TARGETS, roun
     """(source, lang, topic, weight, probability) of each cell of ``counted`` (source, lang, topic, n_tokens)."""
     cells = counted.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens"))
     cells = store.put(cells)
-    if cells.count() <= driver_cells:
+    n = cells.count()
+    if n <= driver_cells:
         rows = sorted(((r.source, r.lang, r.topic), r.tokens) for r in cells.collect())
         made = [(*k, w) for (k, _), w in zip(rows, rake(rows, targets, rounds), strict=True)]
         out = cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, weight double")
     else:
         out = rake_table(store, cells, targets, rounds).select(*MARGINS, "weight")
-    return out.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")))
+    return small(out.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))), n, driver_cells)
 
 
 def draw(doc_id: Column) -> Column:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Store, let, text_or_empty, words_of
+from .common import SPACES, Store, let, small, text_or_empty, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -43,6 +43,8 @@ METRICS = (
 )
 #: Documents that a group needs for a sketch of its own.
 LEAST_GROUP = 100
+#: Groups (a language and source each, about 200 bytes) whose limits are broadcast; more are joined by shuffles.
+BROADCAST_GROUPS = 50_000
 
 
 def _repeat_words(words: Column) -> Column:
@@ -128,9 +130,10 @@ def limits(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
 def judge(counts: DataFrame, limit: DataFrame) -> DataFrame:
     """Each row of counts with ``failed`` (the metrics above their limits, sorted) and ``kept``.
 
-    The limits have one row a (language, source); Spark broadcasts them when their measured size allows it, and
-    otherwise joins by shuffle, where it splits a hot source's rows.
+    The limits have one row a (language, source), are counted and broadcast up to a bound; beyond it they join by
+    shuffle, where Spark splits a hot source's rows.
     """
+    limit = small(limit, limit.count(), BROADCAST_GROUPS)
     above = F.array_compact(F.array(*(F.when(m.value() > F.col("limits").getItem(m.name), F.lit(m.name)) for m in sorted(METRICS, key=lambda m: m.name))))
     out = counts.join(limit, ["lang", "source"], "left").withColumn("failed", above).drop("limits")
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
@@ -144,16 +147,18 @@ def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Only the counts (no text) are written between the two passes and joined.
     """
     keep = [F.col(id_col).alias(id_col), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")]
-    counts = Store(docs.sparkSession).put(base_counts(docs, keep, text_col))
-    return judge(counts, limits(sketch(counts), least_group))
+    store = Store(docs.sparkSession)
+    counts = store.put(base_counts(docs, keep, text_col))
+    return judge(counts, store.put(limits(sketch(counts), least_group)))
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_group: int = LEAST_GROUP) -> DataFrame:
     """The rows of ``docs``, with all their columns, that the rules keep. Rows are written with their counts once, and only
     the limits (a row a language and source) are joined to them."""
     keep = [F.struct(*docs.columns).alias("__doc"), F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.coalesce(F.col(source_col), F.lit("")).alias("source")]
-    counts = Store(docs.sparkSession).put(base_counts(docs, keep, text_col))
-    kept = judge(counts, limits(sketch(counts.drop("__doc")), least_group)).where("kept")
+    store = Store(docs.sparkSession)
+    counts = store.put(base_counts(docs, keep, text_col))
+    kept = judge(counts, store.put(limits(sketch(counts.drop("__doc")), least_group))).where("kept")
     return kept.select(*(F.col("__doc").getField(c).alias(c) for c in docs.columns))
 
 
