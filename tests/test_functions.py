@@ -115,3 +115,14 @@ def test_vectors(spark):
     row = one(spark, vectors.cosine(col(a), col(b)).alias("c"), vectors.ncc(col(a), col(b)).alias("n"), vectors.ncc(col(a), col([1.0])).alias("x"), vectors.cosine(col([0.0]), col([0.0])).alias("z"), stats.psnr(vectors.mean_squared_error(col(a), col(a))).alias("p"), vectors.bits_match(F.lit(5), F.lit(4), 8).alias("b"))
     assert row.c == pytest.approx(np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)) and row.n == pytest.approx(np.corrcoef(a, b)[0, 1])
     assert row.x == 0 and row.z == 0 and row.p == float("inf") and row.b == 7
+
+
+def test_gates(spark):
+    from tracelight.operators.verdict import is_ai_key
+
+    keys = ["Prompt", "Software", "my_OpenAI_tag", "Author", "SD:Seed"]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    assert [r[0] for r in df.select(is_ai_key(F.col("k"))).collect()] == [True, True, True, False, True]
+    line = lambda *v: one(spark, text.preserves_line(*map(F.lit, v)).alias("k")).k
+    assert line("Total 12", "total 12", 0.9, "TOTAL12", 0.8) and not line("Total 12", "total 12", 0.9, "TOTAL12", 0.7)
+    assert not line("Total 12", "xxxxxx", 0.9, "xxxxxx", 0.9) and not line("Total", "total", 0.9, "totol", 0.9)

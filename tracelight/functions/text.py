@@ -68,3 +68,9 @@ def aspect_class(width: Column, height: Column) -> Column:
 def stable_reading(reads: Column, scores: Column, least: float = 0.85) -> Column:
     """All normalised readings agree and the worst score is high enough."""
     return (F.size(F.array_distinct(reads)) == 1) & (F.array_min(scores) >= least)
+
+
+def preserves_line(expected: Column, source: Column, source_score: Column, seen: Column, seen_score: Column, least: float = 0.75, most: float = 0.25) -> Column:
+    """Both readings are sure, the source reads as expected but for a quarter of it, and the candidate reads as the source."""
+    near = edit_distance_normalized(normalize_ascii(expected), normalize_ascii(source)) <= most
+    return (F.least(source_score, seen_score) >= least) & near & (normalize_ascii(source) == normalize_ascii(seen))

@@ -111,6 +111,12 @@ IPTC_MARKERS = ("trainedAlgorithmicMedia", "compositeSynthetic", "compositeWithT
 IPTC_FIELDS = ("AISystemUsed", "AISystemVersionUsed", "AIPromptInformation", "AIPromptWriterName")
 AIGC_MARKERS = ("tc260.org.cn/ns/AIGC", "TC260:AIGC")
 LOCAL_KEYS = ("comfyui", "dream", "invokeai_metadata", "negative_prompt", "parameters", "prompt", "workflow")
+#: Metadata keys of generators (lower case), and parts of keys that name one.
+AI_KEYS = (
+    "ai_metadata", "c2pa", "c2pa_chunk", "comfyui", "dream", "generation_data", "invokeai_metadata", "negative_prompt", "parameters", "prompt", "sd-metadata",
+    "sd:cfg_scale", "sd:model_hash", "sd:negative_prompt", "sd:prompt", "sd:sampler", "sd:seed", "sd:steps", "software", "workflow",
+)
+AI_KEY_PARTS = ("stable_diffusion", "comfyui", "automatic1111", "invokeai", "midjourney", "dall-e", "dalle", "imagen", "synthid", "google_ai", "openai", "c2pa")
 GENERIC_AIGC = "China AIGC (TC260)"
 
 #: (mark, product, label regime, platform tokens, signals that confirm it, producer codes)

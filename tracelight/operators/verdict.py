@@ -278,6 +278,11 @@ def family_of(description: Column) -> Column:
     return out
 
 
+def is_ai_key(key: Column) -> Column:
+    """A metadata key that generators write, or that names one; any case."""
+    return F.lower(key).isin(*R.AI_KEYS) | contains_any(F.lower(key), R.AI_KEY_PARTS)
+
+
 def manifest_chain(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataFrame:
     """(store, manifest, depth): manifests reached from each store's active one over valid ingredient edges
     (store, parent, child, valid), breadth first, each at its least depth."""
