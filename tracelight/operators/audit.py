@@ -55,3 +55,20 @@ def verdict_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str])
     changed = F.array_compact(F.array(*(F.when(~F.col(f"_o_{f}").eqNullSafe(F.col(f"_n_{f}")), F.lit(f)) for f in fields)))
     status = F.when(F.col("_old").isNull(), "only_new").when(F.col("_new").isNull(), "only_old").when(F.size(changed) > 0, "differs").otherwise("same")
     return both.select(key, status.alias("status"), F.when(status == "differs", changed).otherwise(F.array().cast("array<string>")).alias("changed"))
+
+
+def near_hashes(df: DataFrame, key: str, code: str, width: int = 48, most: int = 3) -> DataFrame:
+    """(a, b, distance): pairs of rows whose hashes of ``width`` bits differ in ``most`` bits at most.
+
+    Of most + 1 bands of the bits one must be equal, so pairs come from an equi-join on (band, value) instead of
+    all pairs. Equal hashes are one row with their least key, so exact copies make no pairs among themselves.
+    """
+    bands = most + 1
+    step = -(-width // bands)
+    rows = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.min(key).alias("key"))
+    band = [F.struct(F.lit(i).alias("i"), F.shiftright(F.col("code"), i * step).bitwiseAND((1 << step) - 1).alias("v")) for i in range(bands)]
+    cut = rows.select("key", "code", F.explode(F.array(*band)).alias("band")).select("key", "code", "band.i", "band.v")
+    other = cut.select(F.col("key").alias("key2"), F.col("code").alias("code2"), "i", "v")
+    distance = F.bit_count(F.col("code").bitwiseXOR(F.col("code2")))
+    near = cut.join(other, ["i", "v"]).where((F.col("key") < F.col("key2")) & (distance <= most))
+    return near.select(F.col("key").alias("a"), F.col("key2").alias("b"), distance.alias("distance")).distinct()

@@ -107,4 +107,16 @@ def bit_hamming(spark, sf):
     return table(spark, sf, "part").select("p_partkey", bits_match(h, F.expr("(p_partkey * 2654435761 % 281474976710656) div 2"), 48).alias("matching"))
 
 
+@query("""
+WITH h AS (SELECT p_partkey AS k, p_partkey * 40503 % 65536 * 257 % 16777216 AS c FROM part), d AS (SELECT c, min(k) AS k FROM h GROUP BY c)
+SELECT x.k AS a, y.k AS b, bit_count(xor(x.c, y.c))::INT AS distance FROM d x JOIN d y ON x.k < y.k AND bit_count(xor(x.c, y.c)) <= 2
+""")
+def near_hash_pairs(spark, sf):
+    """Perceptual hashes that differ in two bits at most, by banded equi-joins."""
+    from ..operators.audit import near_hashes
+
+    hashes = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey * 40503 % 65536 * 257 % 16777216").alias("c"))
+    return near_hashes(hashes, "k", "c", 24, 2)
+
+
 __all__ = ["centred", "dot"]
