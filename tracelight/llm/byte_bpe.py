@@ -15,10 +15,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 #: Pre-tokens of up to so many characters are remembered by a worker, so many at most; then it starts anew.
-CACHED_LENGTH, CACHED = 48, 400_000
+CACHED_LENGTH, CACHED = 48, 100_000
 _LOADED: dict[tuple[str, str], Codec] = {}
 
 
@@ -133,6 +133,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *outputs])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     more = "".join({"ids": ", ids array<int>", "decoded": ", decoded binary"}[k] for k in outputs)
     out = rows.mapInArrow(coded, f"id {dict(rows.dtypes)['id']}, n_tokens long, ids_sha256 string, decoded_sha256 string{more}")

@@ -57,10 +57,22 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Arrow batches between the JVM and Python hold so many rows and bytes at most, as texts can be long.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches, unless they are smaller already."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 class Store:
     """Tables written to the shared folder and read back, which cuts their lineage."""
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark, self.base, self.paths = spark, f"{shared_dir(spark)}/tracelight/{uuid.uuid4().hex}", {}
 
     def put(self, df: DataFrame, **options) -> DataFrame:

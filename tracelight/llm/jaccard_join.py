@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, small, text_or_empty
 
 #: Shingles in a batch of documents that is sent at once, and bytes of input for each bucket.
-BATCH, BUCKET_BYTES = 1_000_000, 6 << 20
+BATCH, BUCKET_BYTES = 500_000, 6 << 20
 ORDERS = 3
 #: Smallest-hash keys by which a class meets a leader.
 LEADERS = 4
@@ -110,7 +110,8 @@ def _return(owners: int):
         import pyarrow as pa
 
         names = ["owner", "doc_id", "sig", "n", "sigs", "sizes", "refs", "toks", "dfs"]
-        toks, sigs, sizes = [], [], []
+        # entries point into one table of (class, size), so that what is sorted stays narrow
+        toks, refs, sigs, sizes, seen = [], [], [], [], 0
         for b in rows:
             for r in b.to_pylist():
                 if r["doc_ids"] is not None:
@@ -118,27 +119,32 @@ def _return(owners: int):
                     none = pa.nulls(len(ids), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1, np.int32)), pa.array(ids), pa.array(s), pa.array(n), *[none] * 5], names)
                     continue
-                refs = np.frombuffer(r["refs"], np.uint16)
+                own = np.frombuffer(r["refs"], np.uint16)
                 raw = r["toks"]
-                if len(raw) == 8 * len(refs) and len(refs) != 1:
+                if len(raw) == 8 * len(own) and len(own) != 1:
                     t = np.frombuffer(raw, np.uint64)
                 else:
-                    gaps = np.zeros((len(refs), 8), np.uint8)
+                    gaps = np.zeros((len(own), 8), np.uint8)
                     gaps[0] = np.frombuffer(raw[:8], np.uint8)
                     gaps[1:, :6] = np.frombuffer(raw[8:], np.uint8).reshape(-1, 6)
                     t = np.cumsum(gaps.view(np.uint64)[:, 0], dtype=np.uint64)
                 toks.append(t)
-                sigs.append(np.frombuffer(r["sigs"], np.uint64)[refs])
-                sizes.append(np.frombuffer(r["sizes"], np.uint32)[refs])
+                refs.append(own.astype(np.uint32) + np.uint32(seen))
+                sigs.append(np.frombuffer(r["sigs"], np.uint64))
+                sizes.append(np.frombuffer(r["sizes"], np.uint32))
+                seen += len(sigs[-1])
         if not toks:
             return
-        tok, sig, size = map(np.concatenate, (toks, sigs, sizes))
-        del toks, sigs, sizes
+        tok = np.concatenate(toks)
+        del toks
         order = np.argsort(tok, kind="stable")
-        tok, sig, size = tok[order], sig[order], size[order]
+        tok = tok[order]
         same = tok[1:] == tok[:-1]
         keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        tok, sig, size = tok[keep], sig[keep], size[keep]
+        tok, ref = tok[keep], np.concatenate(refs)[order[keep]]
+        del order, same, refs
+        sig, size = np.concatenate(sigs)[ref], np.concatenate(sizes)[ref]
+        del ref, sigs, sizes
         order = np.lexsort((sig, tok))
         tok, sig, size = tok[order], sig[order], size[order]
         first = np.ones(len(tok), bool)
@@ -160,7 +166,7 @@ def _return(owners: int):
                 table, where, refs = np.unique(sig[p], return_index=True, return_inverse=True)
                 made = [table, size[p][where].astype(np.uint32), refs.astype(np.uint32), tok[p], np.minimum(df[p], 1 << 31).astype(np.uint32)]
                 yield pa.RecordBatch.from_arrays([pa.array([o], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x.tobytes()], pa.binary()) for x in made)], names)
-        del tok, sig, size, df, owner, order, keep, first, same, at
+        del tok, sig, size, df, owner, order, keep, first, at
         give_back()
 
     return grouped(run)

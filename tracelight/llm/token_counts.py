@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import small_batches, text_or_empty
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Longest added token of the vocabulary plus three: what a chunk's end can hide from its last pre-tokens.
@@ -117,6 +117,7 @@ def count_tokens(
                     n[i], splices[i] = len(encode_long(x, path, chunk, overlap)), -(-len(x) // chunk) - 1
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(splices, pa.int64())], ["id", "n_bytes", "n_tokens", "n_splices"])
 
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"), F.octet_length(text_or_empty(text_col)).cast("long").alias("n_bytes"))
     kind = dict(rows.dtypes)["id"]
     out = rows.mapInArrow(counted, f"id {kind}, n_bytes long, n_tokens long, n_splices long")
