@@ -324,6 +324,24 @@ def test_jaccard_join_of_edited_copies(spark, seed):
     assert sorted(map(tuple, got.collect())) == components(rows)
 
 
+def test_large_groups_are_dealt_whole(spark, monkeypatch):
+    """A group of edited copies over many parts links like one over a single part; joins by shuffle keep the same rows."""
+    monkeypatch.setattr(jaccard_join, "PART", 3)
+    monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(70)]
+    rows = []
+    for i in range(60):
+        copy = list(base)
+        for _ in range(rng.randint(0, 5)):
+            copy[rng.randrange(len(copy))] = rng.choice(["common", word()])
+        rows.append((i, " ".join(copy), "en", "s", 0))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert sorted(map(tuple, jaccard_join.join_near_duplicates(df).select(*jaccard_join.COLUMNS).collect())) == components(rows)
+    assert sorted(r.doc_id for r in jaccard_join.keep_one_of_each(df).collect()) == sorted({c for *_, c in components(rows)})
+
+
 # 8: vectors
 
 

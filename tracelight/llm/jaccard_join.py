@@ -30,6 +30,8 @@ BATCH, BUCKET_BYTES = 500_000, 6 << 20
 ORDERS = 3
 #: Smallest-hash keys by which a class meets a leader.
 LEADERS = 4
+#: Members of a group of near copies that one task compares, for groups of up to 64 times as many.
+PART = 256
 #: Ids to remove that are broadcast (8 bytes each); more are joined by a shuffle of the documents.
 BROADCAST_IDS = 1_000_000
 
@@ -242,15 +244,17 @@ def _leader_links(store: Store, sets: DataFrame, percent: int) -> tuple[DataFram
     near = _with_sets(pairs, sets).where(_similar(F.col("both"), sizes, 50))
     near = store.put(near.select("u", "v", F.col("nu").alias("n"), F.col("mu").alias("m"), _similar(F.col("both"), sizes, percent).alias("linked"), differ.alias("differ")))
     links = near.where("linked").select("u", "v")
-    groups = near.groupBy("v").agg(F.count("*").alias("all"), F.count_if("linked").alias("some")).where("3 * some >= all").select("v")
-    members = near.join(groups, "v", "left_semi")
-    one = members.where(~F.col("linked")).select("v", *(F.col(c).alias(f"{c}1") for c in ("u", "n", "m", "differ")))
-    two = members.select("v", *(F.col(c).alias(f"{c}2") for c in ("u", "n", "m", "linked", "differ")))
+    groups = near.groupBy("v").agg(F.count("*").alias("all"), F.count_if("linked").alias("some")).where("3 * some >= all")
+    # a large group is dealt to several tasks: each of its parts meets all that do not link with the leader
+    parts = F.least(F.lit(64), F.ceil(F.col("all") / PART)).cast("int")
+    members = near.join(groups.select("v", parts.alias("parts")), "v")
+    one = members.where(~F.col("linked")).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}1") for c in ("u", "n", "m", "differ")))
+    two = members.select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}2") for c in ("u", "n", "m", "linked", "differ")))
     shared = F.size(F.array_intersect("differ1", "differ2"))
     both = (F.col("m1") + F.col("m2") - F.size("differ1") - F.size("differ2") + 2 * shared) / 2
     bound = (100 + percent) * F.least("m1", "m2") >= percent * (F.col("n1") + F.col("n2"))
     once = F.when(F.col("linked2"), F.lit(True)).otherwise(F.col("u1") < F.col("u2"))
-    more = one.join(two, "v").where(once & bound & _similar(both, F.col("n1") + F.col("n2"), percent))
+    more = one.join(two, ["v", "part"]).where(once & bound & _similar(both, F.col("n1") + F.col("n2"), percent))
     return links.union(more.select("u1", "u2")).distinct(), members.select("u", "v").union(members.select("v", F.col("v").alias("w")).distinct())
 
 
