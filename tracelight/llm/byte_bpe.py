@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_or_empty
+from .common import give_back, small_batches, text_or_empty
 
 #: Pre-tokens of up to so many characters are remembered by a worker, so many at most; then it starts anew.
 CACHED_LENGTH, CACHED = 48, 100_000
@@ -132,6 +132,7 @@ def encode_and_decode(docs: DataFrame, path: str, pattern: str, id_col: str = "d
                     *(made[k]() for k in outputs),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n_tokens", "ids_sha256", "decoded_sha256", *outputs])
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))

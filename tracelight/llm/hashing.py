@@ -54,3 +54,19 @@ def shingle_set(text: str, n: int = 5) -> np.ndarray:
     if not len(words):
         return words
     return np.unique(ngram_hashes(words, min(n, len(words))))
+
+
+def pack(sorted_hashes: np.ndarray) -> bytes:
+    """Sorted hashes as differences of as few bytes as the largest needs, five at least; the first one is whole."""
+    gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
+    most = int(gaps[1:].max()) if len(gaps) > 1 else 0
+    width = max(5, -(-most.bit_length() // 8))
+    return bytes([width]) + gaps[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def unpack(packed: bytes) -> np.ndarray:
+    width = packed[0]
+    wide = np.zeros(((len(packed) - 9) // width + 1, 8), np.uint8)
+    wide[0] = np.frombuffer(packed[1:9], np.uint8)
+    wide[1:, :width] = np.frombuffer(packed[9:], np.uint8).reshape(-1, width)
+    return np.cumsum(wide.view(np.uint64)[:, 0], dtype=np.uint64)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, small, text_or_empty
 
 #: Shingles in a batch of documents that is sent at once, and bytes of input for each bucket.
-BATCH, BUCKET_BYTES = 500_000, 6 << 20
+BATCH, BUCKET_BYTES = 400_000, 6 << 20
 ORDERS = 3
 #: Smallest-hash keys by which a class meets a leader.
 LEADERS = 4
@@ -49,7 +49,7 @@ def _send(size: int, buckets: int, shingle: int):
         import pyarrow as pa
         import xxhash
 
-        from .hashing import shingle_set
+        from .hashing import pack, shingle_set
 
         names = ["bucket", "toks", "refs", "sigs", "sizes", "doc_ids", "doc_sigs", "doc_ns"]
         shift = np.uint64(64 - (buckets.bit_length() - 1))
@@ -73,10 +73,7 @@ def _send(size: int, buckets: int, shingle: int):
                 part = slice(cut[b], cut[b + 1])
                 if cut[b] < cut[b + 1]:
                     used, local = np.unique(refs[part], return_inverse=True)
-                    # sorted, so that differences need six bytes instead of eight but for rare gaps
-                    gaps = np.diff(toks[part], prepend=np.uint64(0))
-                    packed = toks[part][:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :6].tobytes() if (gaps[1:] < np.uint64(1 << 48)).all() else toks[part].tobytes()
-                    rows.append((b, packed, local.astype(np.uint16).tobytes(), table[used].tobytes(), sizes[used].tobytes(), None, None, None))
+                    rows.append((b, pack(toks[part]), local.astype(np.uint16).tobytes(), table[used].tobytes(), sizes[used].tobytes(), None, None, None))
             at = int(sigs[0] % buckets) if sigs else 0
             rows.append((at, None, None, None, None, np.array(ids, np.int64).tobytes(), np.array(sigs, np.uint64).tobytes(), np.array(ns, np.int64).tobytes()))
             for k in range(0, len(rows), 64):
@@ -111,6 +108,8 @@ def _return(owners: int):
         import numpy as np
         import pyarrow as pa
 
+        from .hashing import unpack
+
         names = ["owner", "doc_id", "sig", "n", "sigs", "sizes", "refs", "toks", "dfs"]
         # entries point into one table of (class, size), so that what is sorted stays narrow
         toks, refs, sigs, sizes, seen = [], [], [], [], 0
@@ -122,15 +121,7 @@ def _return(owners: int):
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1, np.int32)), pa.array(ids), pa.array(s), pa.array(n), *[none] * 5], names)
                     continue
                 own = np.frombuffer(r["refs"], np.uint16)
-                raw = r["toks"]
-                if len(raw) == 8 * len(own) and len(own) != 1:
-                    t = np.frombuffer(raw, np.uint64)
-                else:
-                    gaps = np.zeros((len(own), 8), np.uint8)
-                    gaps[0] = np.frombuffer(raw[:8], np.uint8)
-                    gaps[1:, :6] = np.frombuffer(raw[8:], np.uint8).reshape(-1, 6)
-                    t = np.cumsum(gaps.view(np.uint64)[:, 0], dtype=np.uint64)
-                toks.append(t)
+                toks.append(unpack(r["toks"]))
                 refs.append(own.astype(np.uint32) + np.uint32(seen))
                 sigs.append(np.frombuffer(r["sigs"], np.uint64))
                 sizes.append(np.frombuffer(r["sizes"], np.uint32))
@@ -209,6 +200,8 @@ def _assemble(percent: int, orders: int, leaders: int):
                 out = []
         if out:
             yield batch(out, pa)
+        del parts, sig, size, tok, df, order, out
+        give_back()
 
     def batch(out, pa):
         cols = list(zip(*out, strict=True))

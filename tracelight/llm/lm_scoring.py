@@ -43,26 +43,6 @@ def _unzip(b: bytes, kind):
     return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), kind) if b else np.zeros(0, kind)
 
 
-def _pack(sorted_hashes) -> bytes:
-    """Sorted distinct hashes as differences of five or six bytes, or of eight where one is too large."""
-    import numpy as np
-
-    gaps = np.diff(sorted_hashes, prepend=np.uint64(0))
-    most = int(gaps[1:].max()) if len(gaps) > 1 else 0
-    width = 5 if most < 1 << 40 else 6 if most < 1 << 48 else 8
-    return bytes([width]) + gaps[:1].tobytes() + gaps[1:].view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-
-
-def _unpack(b: bytes):
-    import numpy as np
-
-    width = b[0]
-    wide = np.zeros(((len(b) - 9) // width + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(b[1:9], np.uint8)
-    wide[1:, :width] = np.frombuffer(b[9:], np.uint8).reshape(-1, width)
-    return np.cumsum(wide.view(np.uint64)[:, 0], dtype=np.uint64)
-
-
 def _batches(size: int):
     """Rows of packed documents from rows (doc_id, fold, text)."""
 
@@ -71,7 +51,7 @@ def _batches(size: int):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .hashing import word_hashes
+        from .hashing import pack, word_hashes
 
         part, seq = TaskContext.get().partitionId(), 0
         end = np.array([END], np.uint64)
@@ -87,7 +67,7 @@ def _batches(size: int):
                 pa.array([ids], pa.list_(pa.int64())),
                 pa.array([np.array(folds, np.uint8).tobytes()], pa.binary()),
                 pa.array([np.array([len(d) + 1 for d in docs], np.uint32).tobytes()], pa.binary()),
-                pa.array([_pack(vocab)], pa.binary()),
+                pa.array([pack(vocab)], pa.binary()),
                 pa.array([_zip(counts.astype(np.uint32))], pa.binary()),
                 pa.array([_zip(planes)], pa.binary()),
             ]
@@ -120,10 +100,12 @@ class _Batch:
     def __init__(self, row: dict):
         import numpy as np
 
+        from .hashing import unpack
+
         self.doc_ids = row["doc_ids"]
         self.folds = np.frombuffer(row["folds"], np.uint8)
         self.lens = np.frombuffer(row["lens"], np.uint32).astype(np.int64)
-        self.vocab = _unpack(row["vocab"])
+        self.vocab = unpack(row["vocab"])
         order = np.argsort(-_unzip(row["counts"], np.uint32).astype(np.int64), kind="stable")
         planes = _unzip(row["tokens"], np.uint8).reshape(4, -1)
         self.tokens = order[np.ascontiguousarray(planes.T).view(np.uint32)[:, 0]]
@@ -171,13 +153,15 @@ def _request(batch: int, buckets: int, bits: int, hashes, kept, deleted, context
     import numpy as np
     import pyarrow as pa
 
+    from .hashing import pack
+
     shift = np.uint64(bits - (buckets.bit_length() - 1))
     cut = np.searchsorted(hashes >> shift, np.arange(buckets + 1, dtype=np.uint64))
     rows = []
     for b in range(buckets):
         p = slice(cut[b], cut[b + 1])
         if cut[b] < cut[b + 1]:
-            rows.append((b, batch, _pack(hashes[p]), *(_zip(x[p]) for x in (kept.astype(np.uint32), deleted.astype(np.uint32), context, word))))
+            rows.append((b, batch, pack(hashes[p]), *(_zip(x[p]) for x in (kept.astype(np.uint32), deleted.astype(np.uint32), context, word))))
     cols = zip(*rows, strict=True)
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "batch", "hashes", "kept", "deleted", "context", "word"])
@@ -235,11 +219,13 @@ def _count(with_history: bool):
         import numpy as np
         import pyarrow as pa
 
+        from .hashing import unpack
+
         names = [x.split()[0] for x in _REPLY.split(", ")]
         asked = [r for b in rows for r in b.to_pylist()]
         if not asked:
             return
-        hashes = [_unpack(r["hashes"]) for r in asked]
+        hashes = [unpack(r["hashes"]) for r in asked]
         where = np.concatenate(hashes)
         _, first, place = np.unique(where, return_index=True, return_inverse=True)
         kept, deleted = (np.bincount(place, np.concatenate([_unzip(r[k], np.uint32) for r in asked]), len(first)).astype(np.int64) for k in ("kept", "deleted"))

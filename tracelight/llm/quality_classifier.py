@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, fold, text_or_empty
+from .common import Store, fold, give_back, text_or_empty
 
 #: Random features, ridge penalty, kernel width in units of sqrt(number of statistics), and the seed.
 FEATURES, RIDGE, WIDTH, SEED = 256, 1.0, 0.7, 20
@@ -59,6 +59,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             rows = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.array(r, np.float32) for r in rows], pa.list_(pa.float32()))], ["doc_id", "x"])
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
     return rows.mapInArrow(measured, f"doc_id {dict(rows.dtypes)['doc_id']}, x array<float>")
