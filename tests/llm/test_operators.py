@@ -400,6 +400,19 @@ def test_vector_graph_recall(spark):
     assert true and found >= 0.9 * true
 
 
+def test_links_lead_across_shards(spark):
+    """A label that is one dense group of distinct vectors, 15 times the shard."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=64) + rng.normal(size=(600, 64)) * 0.13
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    true = (x @ x.T >= 0.98).sum(1) - 1
+    assert true.sum() > 30_000
+    got = {r.vec_id: r.n_links for r in vector_graph.link_vectors(df, shard=40).collect()}
+    assert all(got[i] <= true[i] for i in got)
+    assert sum(got.values()) >= 0.995 * true.sum()
+
+
 def test_robust_graph_prunes():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(200, 8))

@@ -4,8 +4,9 @@ Equal vectors of one label are one node. The nodes of a label are dealt to overl
 builds a flat graph in which an edge is pruned when a kept neighbour is much closer to its target. The
 adjacency lists of a node from all its shards are united. Every node then searches its shards: greedy search from
 the medoids until its best candidates are expanded, then the range of hits is expanded until no new hit
-appears. Hits are verified by their cosine in double precision. ``audit_recall`` measures the links found
-against brute force.
+appears. Nodes that share no shard are beyond that search: each node is also compared with the members of every other
+shard that a vector within the threshold can have as its nearest. Hits are verified by their cosine in double
+precision. ``audit_recall`` measures the links found against brute force.
 """
 
 from __future__ import annotations
@@ -86,6 +87,83 @@ def _assign(centres: dict, overlap: int):
     return run
 
 
+def _border(centres: dict, overlap: int, threshold: float):
+    """Rows (cell, node, vec, shards, home): each node in the cell of its nearest centre, and in each cell before that which
+    is none of its shards and can be the nearest of a vector that it links with.
+
+    A vector is at most ``reach`` from one that it links with, so if that one is no farther from centre s than from the
+    node's own centre t, the node is at most ``reach`` beyond the plane between s and t. Of two nodes one has the later home.
+    """
+    reach = max(0.0, 2 - 2 * threshold) ** 0.5
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for b in batches:
+            nodes, labels, vecs = (c.to_pylist() for c in b.columns)
+            groups: dict = {}
+            for i, (label, v) in enumerate(zip(labels, vecs, strict=True)):
+                groups.setdefault((label, len(v)), []).append(i)
+            for (label, dim), at in groups.items():
+                centre = centres.get((label, dim))
+                if centre is None or len(centre) == 1:
+                    continue
+                apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
+                for a in range(0, len(at), 256):
+                    part = at[a : a + 256]
+                    near = _unit(np.array([vecs[i] for i in part], float)) @ centre.T
+                    shards = np.argsort(-near, axis=1)[:, :overlap]
+                    home = shards[:, 0]
+                    asks = near.max(1, keepdims=True) - near <= reach * apart[home] + 1e-9
+                    asks &= np.arange(len(centre)) < home[:, None]
+                    np.put_along_axis(asks, shards, False, 1)
+                    row, cell = np.nonzero(asks)
+                    row, cell = np.concatenate([np.arange(len(part)), row]), np.concatenate([home, cell])
+                    take = pa.array(np.array(part)[row])
+                    names = pa.array([f"{label}/{dim}/{s}" for s in cell])
+                    yield pa.RecordBatch.from_arrays(
+                        [names, b.column(0).take(take), b.column(2).take(take), pa.array(shards[row].tolist(), pa.list_(pa.int64())), pa.array(cell == home[row])], ["cell", "node", "vec", "shards", "home"]
+                    )
+
+    return run
+
+
+def _across(threshold: float):
+    """Compares the nodes that ask a cell with those at home in it; pairs that share a shard are left to the search."""
+
+    def run(key, rows: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        parts = [(b.column("node").to_numpy(), b.column("vec").to_pylist(), b.column("shards").to_pylist(), b.column("home").to_pylist()) for b in rows]
+        node = np.concatenate([p[0] for p in parts])
+        raw = np.array([v for p in parts for v in p[1]], float)
+        raw /= np.abs(raw).max(1, keepdims=True)
+        shards = np.array([v for p in parts for v in p[2]])
+        home = np.array([v for p in parts for v in p[3]], bool)
+        x, own, asking = _unit(raw), np.flatnonzero(home), np.flatnonzero(~home)
+        for a in range(0, len(asking), 512):
+            near, to = [], []
+            q = asking[a : a + 512]
+            for k in range(0, len(own), 8192):
+                r, v = np.nonzero(x[q] @ x[own[k : k + 8192]].T >= threshold - 1e-6)
+                r, v = q[r], own[k : k + 8192][v]
+                near.append(r)
+                to.append(v)
+            r, v = np.concatenate([np.zeros(0, np.int64), *near]), np.concatenate([np.zeros(0, np.int64), *to])
+            for k in range(0, len(r), 50_000):
+                i, j = r[k : k + 50_000], v[k : k + 50_000]
+                new = ~(shards[i][:, :, None] == shards[j][:, None, :]).any((1, 2))
+                i, j = i[new], j[new]
+                b, c = raw[i], raw[j]
+                sure = np.einsum("ij,ij->i", b, c) / np.sqrt(np.einsum("ij,ij->i", b, b) * np.einsum("ij,ij->i", c, c)) >= threshold
+                if sure.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(node[i[sure]]), pa.array(node[j[sure]])], ["node", "v"])
+
+    return grouped(run)
+
+
 def robust_graph(x, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 5):
     """The neighbours (n, degree; -1 for none) of unit vectors: from near and random candidates, the nearest first, each
     kept neighbour prunes the candidates that it is ``alpha`` times closer to than the node is."""
@@ -249,6 +327,9 @@ def _links(store: Store, nodes: DataFrame, threshold: float, shard: int, overlap
     union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists of a node at most
     found = cells.join(union, "node").select("cell", "node", "vec", "near").groupBy("cell").applyInArrow(_search(threshold, beam), "node long, found array<long>")
     pairs = found.select("node", F.explode("found").alias("v"))
+    if any(len(c) > 1 for c in centres.values()):
+        border = nodes.select("node", "label", "vec").mapInArrow(_border(centres, overlap, threshold), "cell string, node long, vec array<double>, shards array<long>, home boolean")
+        pairs = pairs.union(border.groupBy("cell").applyInArrow(_across(threshold), "node long, v long"))
     return store.put(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct())
 
 
