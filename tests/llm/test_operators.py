@@ -232,6 +232,22 @@ def test_raking_meets_the_targets():
     assert mixing.rake([((s, "en", "x"), 0) for s in "ab"]) == [1, 1]
 
 
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_the_sample_meets_the_targets(spark, driver_cells):
+    """Expected and drawn token shares where a rare topic would need more than all its documents at the full rate."""
+    rng = random.Random(6)
+    marks = {"prose": "x y", "licensed": "License y", "contact": "a@b y", "table": "x | y"}
+    rows = [(i, f"{marks[rng.choices([*marks], (94, 2, 2, 2))[0]]} {'w ' * 20}", rng.choices(("en", "de"), (9, 1))[0], "a", 0) for i in range(6000)]
+    targets = {"source": 1.0, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "licensed": 0.1, "contact": 0.1, "table": 0.1}}
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets=targets, driver_cells=driver_cells).collect()
+    for name in ("lang", "topic"):
+        for k, share in targets[name].items():
+            part = lambda of, name=name, k=k: sum(of(r) for r in got if r[name] == k) / sum(map(of, got))
+            assert part(lambda r: r.n_tokens * r.probability) == pytest.approx(share, abs=1e-3)
+            assert part(lambda r: r.n_tokens * r.sampled) == pytest.approx(share, abs=0.1)
+    assert max(r.probability for r in got) <= 1
+
+
 def test_raking_as_a_table_is_the_same(docs):
     few = lambda n: sorted(map(tuple, mixing.mix(docs, rounds=3, driver_cells=n).collect()), key=str)
     assert few(0) == few(1000)

@@ -2,7 +2,7 @@
 
 Tokens are counted per cell (source, language, topic). Raking scales the cells until their token sums meet the
 target shares of sources, languages and topics; a document is then sampled with a probability in
-proportion to the weight of its cell, by a hash of its id.
+proportion to the weight of its cell, by a hash of its id. The rate is lowered until no probability is above 1.
 """
 
 from __future__ import annotations
@@ -111,11 +111,14 @@ def calibrate(store: Store, counted: DataFrame, targets: Mapping = TARGETS, roun
     n = cells.count()
     if n <= driver_cells:
         rows = sorted(((r.source, r.lang, r.topic), r.tokens) for r in cells.collect())
-        made = [(*k, w) for (k, _), w in zip(rows, rake(rows, targets, rounds), strict=True)]
-        out = cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, weight double")
+        made = [(*k, t, w) for (k, t), w in zip(rows, rake(rows, targets, rounds), strict=True)]
+        out = cells.sparkSession.createDataFrame(made, "source string, lang string, topic string, tokens long, weight double")
     else:
-        out = rake_table(store, cells, targets, rounds).select(*MARGINS, "weight")
-    return small(out.withColumn("probability", F.least(F.lit(1.0), F.lit(rate) * F.col("weight"))), n, driver_cells)
+        out = rake_table(store, cells, targets, rounds)
+    most = out.where("tokens > 0").agg(F.max("weight")).first()[0] or 0.0
+    rate = min(rate, 1 / most) if most else rate  # a clipped cell would miss its share
+    # cells without tokens have no share, so their weight may be above the largest
+    return small(out.select(*MARGINS, "weight", F.least(F.lit(1.0), F.lit(rate) * F.col("weight")).alias("probability")), n, driver_cells)
 
 
 def draw(doc_id: Column) -> Column:
@@ -126,8 +129,8 @@ def draw(doc_id: Column) -> Column:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", targets: Mapping = TARGETS, rounds: int = ROUNDS, rate: float = RATE, driver_cells: int = DRIVER_CELLS) -> DataFrame:
     """(id, source, lang, topic, n_tokens, weight, probability, sampled) for each row.
 
-    The expected token share of each cell among the sampled follows the targets, for cells with ``rate`` *
-    weight up to 1; above, every document of the cell is taken. Null sources and languages are the
+    The expected token share of each cell among the sampled follows the targets: the probability is the weight times
+    ``rate``, or times 1 / the largest weight if that is less. Null sources and languages are the
     key ''; a null text has no tokens and topic prose; cells without tokens keep what raking gives (weight of their
     margins). Rows with one id are sampled alike; null ids draw as the empty text. An empty table gives an empty result.
     """
