@@ -248,6 +248,16 @@ def test_the_sample_meets_the_targets(spark, driver_cells):
     assert max(r.probability for r in got) <= 1
 
 
+def test_languages_without_a_target_keep_their_share(spark):
+    assert mixing.shares({"en": 60, "de": 20, "it": 15, "": 5}, mixing.TARGETS["lang"]) == pytest.approx({"en": 0.8 * 2 / 3, "de": 0.8 / 3, "it": 0.15, "": 0.05})
+    assert mixing.shares({"it": 30, "": 10}, mixing.TARGETS["lang"]) == {"it": 0.75, "": 0.25}
+    for langs in (("it", None), ("en", "it", None)):
+        df = spark.createDataFrame([(i, f"a b {i}", langs[i % len(langs)], "s", 0) for i in range(30)], SCHEMA)
+        for n in (1000, 0):
+            got = mixing.mix(df, rounds=2, driver_cells=n).collect()
+            assert [r.weight for r in got] == pytest.approx([1] * 30)
+
+
 def test_raking_as_a_table_is_the_same(docs):
     few = lambda n: sorted(map(tuple, mixing.mix(docs, rounds=3, driver_cells=n).collect()), key=str)
     assert few(0) == few(1000)

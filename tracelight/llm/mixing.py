@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import WORD, Store, small, text_or_empty
 
 MARGINS = ("source", "lang", "topic")
-#: Production targets: a mapping gives shares (what it does not name shares the rest as observed); a number a
-#: flattens the observed shares to their power a.
+#: Production targets: a mapping gives shares (what it does not name shares the rest as observed; if no rest is left, it
+#: keeps its observed share and the given shares are scaled to what that leaves); a number a flattens the observed shares to their power a.
 TARGETS = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, "topic": 0.5}
 ROUNDS, RATE = 25, 0.6
 #: Cells that the driver rakes itself and that are broadcast (some 60 bytes each); more are raked and joined as a table.
@@ -47,10 +47,19 @@ def shares(observed: Mapping, target) -> dict:
         raw = {k: (v / total) ** target if v else 0.0 for k, v in observed.items()}
     else:
         free = sum(v for k, v in observed.items() if k not in target)
-        rest = max(0.0, 1 - sum(target.values()))
-        raw = {k: target.get(k, rest * v / free if free else 0.0) if v else 0.0 for k, v in observed.items()}
+        rest, scale = split(target, free / total, sum(target[k] for k, v in observed.items() if v and k in target))
+        raw = {k: (scale * target[k] if k in target else rest * v / free) if v else 0.0 for k, v in observed.items()}
     whole = sum(raw.values())
-    return {k: v / whole for k, v in raw.items()}
+    return {k: v / whole for k, v in raw.items()} if whole else {k: v / total for k, v in observed.items()}
+
+
+def split(target: Mapping, free: float, given: float) -> tuple[float, float]:
+    """What keys that are not named share, and the factor of the given shares, for the observed share ``free`` of the former
+    and the sum ``given`` of the shares of keys that have tokens."""
+    rest = 1 - sum(target.values())
+    if rest > 1e-9 or not free:
+        return max(0.0, rest), 1.0
+    return free, (1 - free) / given if given else 0.0
 
 
 def rake(cells: list[tuple[tuple[str, str, str], int]], targets: Mapping = TARGETS, rounds: int = ROUNDS) -> list[float]:
@@ -90,11 +99,14 @@ def rake_table(store: Store, cells: DataFrame, targets: Mapping = TARGETS, round
             given = cells.sparkSession.createDataFrame([(k, float(v)) for k, v in target.items()], f"{name} string, given double")
             seen = seen.join(given, name, "left")
             free = seen.where(F.col("given").isNull()).agg(F.sum("seen")).first()[0] or 0.0
-            raw = F.coalesce("given", F.lit(max(0.0, 1 - sum(target.values()))) * F.col("seen") / F.lit(free or 1.0))
+            present = seen.where("seen > 0").agg(F.sum("given")).first()[0] or 0.0
+            rest, scale = split(target, free / float(total), present)
+            raw = F.coalesce(F.lit(scale) * F.col("given"), F.lit(rest) * F.col("seen") / F.lit(free or 1.0))
         else:
             raw = F.pow(F.col("seen") / total, F.lit(float(target)))
-        seen = store.put(seen.select(name, F.when(F.col("seen") > 0, raw).otherwise(0.0).alias("raw")))
-        goals[name] = store.put(seen.select(name, (F.col("raw") / F.lit(seen.agg(F.sum("raw")).first()[0]) * total).alias("goal")))
+        seen = store.put(seen.select(name, "seen", F.when(F.col("seen") > 0, raw).otherwise(0.0).alias("raw")))
+        whole = seen.agg(F.sum("raw")).first()[0]
+        goals[name] = store.put(seen.select(name, (F.col("raw") / F.lit(whole) * total if whole else F.col("seen")).alias("goal")))
     for _ in range(rounds):
         for name in MARGINS:
             now = cells.groupBy(name).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now")).join(goals[name], name)
