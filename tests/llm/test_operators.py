@@ -501,6 +501,15 @@ def test_license_scan(spark, docs, rows, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
+def test_common_licenses_beside_rare_ones(spark):
+    """A notice counts though eight words of another notice in the file are rarer."""
+    notice = {label: text for label, text, _ in license_scan.TEMPLATES if label == "bsd" or text.startswith("permission")}
+    rows = [(0, f"{notice['bsd']} that x. {notice['mit']}")] + [(i, notice["mit"]) for i in range(1, 5)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].labels == "bsd,mit" and {a.template for a in got[0].alignments} == {1, 5}
+    assert all(got[i].labels == "mit" and got[i].score == 1 for i in range(1, 5))
+
+
 # native operators run no Python
 
 

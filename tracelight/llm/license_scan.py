@@ -1,14 +1,14 @@
-"""Licence scans by a positional index of rare words. Native: DataFrame functions only.
+"""Licence scans by a positional index of licence words. Native: DataFrame functions only.
 
 Templates are notices of well-known licences. The index lists, for each of their words that is not a stop word,
-where it stands in which template. A file's highest-IDF licence words (IDF over all files) open alignments
-(template, file position - template position); every posting on the same alignment adds to it, and an
-alignment counts only if all words of the template's mandatory key phrase stand in their places.
+where it stands in which template. Every hit opens alignments (template, file position - template position); every
+posting on the same alignment adds to it, and an alignment counts only if all words of the template's mandatory key
+phrase stand in their places.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Store, let, lower_ascii, text_or_empty
@@ -30,7 +30,8 @@ TEMPLATES = (
 )
 #: Common words that the index leaves out unless a key phrase needs them.
 STOP_WORDS = frozenset("a and any are for from in is it of or the this to under use with".split())
-#: How many of a file's licence words open alignments, and the share of a template's indexed words that one must match.
+#: How many of a file's rarest licence words open alignments in the SQL (here all do), and the share of a template's indexed
+#: words that one must match.
 RARE_WORDS, LEAST_SHARE = 8, 0.5
 
 
@@ -44,7 +45,7 @@ def postings() -> list[tuple[str, int, int, bool]]:
     return out
 
 
-def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rare_words: int = RARE_WORDS, least_share: float = LEAST_SHARE) -> DataFrame:
+def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """For each row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, alignments.
 
     ``alignments`` lists (template, start, matched) of what was found. ``score`` is the largest matched share of a
@@ -66,24 +67,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(F.col(id_col).alias("__id"), found.alias("f")).select(F.monotonically_increasing_id().alias("row"), "__id", "f.n_words", "f.hits")
     rows = Store(spark).put(rows)
 
-    # file frequency of each index word; one row a word of the fixed vocabulary
-    words_in = rows.select("row", F.explode(F.array_distinct(F.transform("hits", lambda h: h["word"]))).alias("word"))
-    files = words_in.groupBy("word").agg(F.count("*").alias("files"))
-    # the rarest licence words of each file
-    rarest = Window.partitionBy("row").orderBy("files", "word")
-    rare = words_in.join(F.broadcast(files), "word").select("row", "word", F.row_number().over(rarest).alias("rank"))
-    rare = rare.where(F.col("rank") <= rare_words).select("row", "word", F.lit(1).alias("rare"))
-
     table = spark.createDataFrame(index, "word string, template int, place int, is_key boolean")
-    hits = rows.select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.pos").join(rare, ["row", "word"], "left")
+    hits = rows.select("row", F.explode("hits").alias("h")).select("row", "h.word", "h.pos")
     sizes = {t: sum(x[1] == t for x in index) for t in range(len(TEMPLATES))}
     keys = {t: sum(x[1] == t and x[3] for x in index) for t in range(len(TEMPLATES))}
     each = lambda of: F.element_at(F.create_map(*(F.lit(x) for kv in of.items() for x in kv)), F.col("template"))
     aligned = (
         hits.join(F.broadcast(table), "word")
         .groupBy("row", "template", (F.col("pos") - F.col("place")).alias("start"))
-        .agg(F.count("*").alias("matched"), F.count(F.when(F.col("is_key"), 1)).alias("key"), F.max("rare").alias("rare"))
-        .where((F.col("key") == each(keys)) & F.col("rare").isNotNull() & (F.col("matched") >= least_share * each(sizes)))
+        .agg(F.count("*").alias("matched"), F.count(F.when(F.col("is_key"), 1)).alias("key"))
+        .where((F.col("key") == each(keys)) & (F.col("matched") >= least_share * each(sizes)))
         .select("row", "template", "start", "matched", (F.col("matched") / each(sizes)).alias("share"))
     )
     label = each({t: x[0] for t, x in enumerate(TEMPLATES)})
