@@ -285,6 +285,44 @@ def test_quality_rules(docs, rows, empty, spark):
     assert sorted(quality_rules.keep_good(docs).columns) == sorted(docs.columns)
 
 
+def test_limits_adapt_to_each_source(spark):
+    """More symbols and longer words in one source move that source's limits and no other's; outliers fail, the shifted rest stays."""
+    rng = random.Random(8)
+
+    def text(source, outlier):
+        words_ = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 8) + (6 if source == "c" else 0))) for _ in range(rng.randint(30, 60))]
+        for k in range((3 if source == "c" else 0) + rng.randint(0, 2)):
+            words_[k * 3] += "#"
+        return " ".join(w + "#" * 5 if outlier else w for w in words_)
+
+    rows = [(i, text("abc"[i % 3], i % 300 < 3), "en", "abc"[i % 3], 0) for i in range(1800)]
+    plain = [(i, t if s != "c" else rows[i - 1][1], lang, s, n) for i, t, lang, s, n in rows]
+    of = lambda r: {x.source: x.limits for x in quality_rules.limits(quality_rules.sketch(quality_rules.base_counts(spark.createDataFrame(r, SCHEMA), ["doc_id", "lang", "source"]))).collect()}
+    before, after = of(plain), of(rows)
+    assert before["a"] == after["a"] and before["b"] == after["b"]
+    assert after["c"]["symbols"].high > before["c"]["symbols"].high and after["c"]["word_length"].low > before["c"]["word_length"].high > before["c"]["word_length"].low
+    got = {r.doc_id: r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[i] for i in got if i % 300 < 3)
+    assert sum(got[i] for i in got if i % 300 >= 3) >= 0.98 * 1782
+
+
+def test_limits_survive_copies(spark):
+    """A source of which most is one copied text leaves its other, ordinary texts alone."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(4, 6)))
+    text = " ".join("abcde" for _ in range(3)) + " " + " ".join(f"{word()}" for _ in range(40))
+    rows = [(i, text if i % 10 else " ".join(word() for _ in range(45)), "en", "a", 0) for i in range(400)]
+    assert all(r.kept for r in quality_rules.apply_rules(spark.createDataFrame(rows, SCHEMA)).collect())
+
+
+def test_quality_rules_of_a_long_text(spark):
+    """A text of 60,000 words, where only two windows repeat."""
+    w = [f"w{i}" for i in range(60_000)]
+    w[50_000:50_010] = w[10:20]
+    r = quality_rules.apply_rules(spark.createDataFrame([(1, " ".join(w), "en", "a", 0)], SCHEMA)).first()
+    assert (r.n_words, r.n_repeat_words, r.base_failed) == (60_000, 20, False)
+
+
 def test_quality_sketches_merge(docs):
     one = quality_rules.sketch(quality_rules.base_counts(docs.repartition(1), [docs.doc_id, docs.lang, docs.source]))
     many = quality_rules.sketch(quality_rules.base_counts(docs.repartition(7), [docs.doc_id, docs.lang, docs.source]))

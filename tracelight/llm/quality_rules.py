@@ -1,9 +1,9 @@
 """Quality rules whose thresholds adapt to each language and source. Native: DataFrame functions only.
 
 One pass over the texts makes a row of counts per document. Each metric of each (language, source) then gets a
-mergeable quantile sketch: a histogram with buckets of a bounded relative width (1/32 of the value), which adds up
-exactly in any order, so thresholds do not depend on how the rows were dealt. Small groups take the
-merged sketch of their language, or of everything. Documents meet their thresholds by a join.
+mergeable quantile sketch: a histogram with buckets of a bounded relative width (1/64 of the value), which adds up
+exactly in any order, so thresholds do not depend on how the rows were dealt. Limits are made of the sketch's quantiles
+alone. Small groups take the merged sketch of their language, or of everything. Documents meet their limits by a join.
 """
 
 from __future__ import annotations
@@ -21,26 +21,35 @@ WINDOW = 8
 
 @dataclass(frozen=True)
 class Metric:
-    """An integer metric of a document. A document fails above the group's limit: the larger of
-    q75 + ``fences`` * (q75 - q25) and q50 + ``slack``."""
+    """An integer metric of a document, from 0 for most to ``scale`` in the worst case or around a typical value.
+
+    With ``fences`` None, a document fails above the group's 99th percentile, which is 0 where hardly any document has a
+    value: the few with the most go, and ties stay. With ``fences``, it fails beyond q90 + fences * spread or q10 - fences *
+    spread, where the spread is q90 - q10, or an eighth of the median where copies leave less than that.
+    """
 
     name: str
     over: str
     under: str
     scale: int
-    slack: int
-    fences: int = 3
+    fences: int | None = None
 
     def value(self) -> Column:
         return F.floor(F.col(self.over) * F.lit(self.scale) / F.greatest(F.col(self.under), F.lit(1))).cast("long")
 
+    def outside(self, low: Column, high: Column) -> Column:
+        value = bucket(self.value())
+        return (value > high) | (value < low)
+
 
 METRICS = (
-    Metric("symbols", "n_symbols", "word_chars", 10_000, 500),
-    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000, 5_000),
-    Metric("repeats", "n_repeat_words", "n_words", 10_000, 3_000),
-    Metric("word_length", "word_chars", "n_words", 100, 300),
+    Metric("symbols", "n_symbols", "word_chars", 10_000),
+    Metric("dup_lines", "n_dup_lines", "n_lines", 10_000),
+    Metric("repeats", "n_repeat_words", "n_words", 10_000),
+    Metric("word_length", "word_chars", "n_words", 100, 1),
 )
+#: Binary digits of a value that its sketch bucket keeps.
+DIGITS = 7
 #: Documents that a group needs for a sketch of its own.
 LEAST_GROUP = 100
 #: Groups (a language and source each, about 200 bytes) whose limits are broadcast; more are joined by shuffles.
@@ -97,45 +106,54 @@ def base_counts(docs: DataFrame, keep: list[Column], text_col: str = "text") ->
 
 
 def bucket(value: Column) -> Column:
-    """The lower edge of the sketch bucket: the value's six leading binary digits."""
-    shift = F.greatest(F.length(F.bin(value)) - 6, F.lit(0)).cast("int")
+    """The lower edge of the sketch bucket: the value's leading binary digits."""
+    shift = F.greatest(F.length(F.bin(value)) - DIGITS, F.lit(0)).cast("int")
     return F.call_function("shiftleft", F.call_function("shiftright", value, shift), shift)
 
 
 def sketch(counts: DataFrame) -> DataFrame:
-    """(lang, source, metric, bucket, n): the quantile sketches of all groups; sketches merge by adding n."""
+    """(lang, source, metric, bucket, n): the quantile sketches of all groups; sketches merge by adding n.
+
+    They describe the documents that pass the base rules: what the base removes anyway must not widen the limits of the rest.
+    """
     metric = F.explode(F.array(*(F.struct(F.lit(m.name).alias("metric"), bucket(m.value()).alias("bucket")) for m in METRICS)))
-    return counts.select("lang", "source", metric.alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
+    return counts.where(~F.col("base_failed")).select("lang", "source", metric.alias("m")).groupBy("lang", "source", "m.metric", "m.bucket").agg(F.count("*").alias("n"))
 
 
 def limits(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, limits map<metric, limit>) of every group, from its own, its language's or the whole sketch."""
+    """(lang, source, limits map<metric, (low, high)>) of every group, from its own, its language's or the whole sketch."""
     merged = sketches.select("metric", "bucket", "n", F.explode(F.array(F.struct("lang", "source"), F.struct("lang", F.lit(None).cast("string").alias("source")), F.struct(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source")))).alias("g"))
     merged = merged.groupBy("g", "metric", "bucket").agg(F.sum("n").alias("n"))
     each = Window.partitionBy("g", "metric")
     ranked = merged.select("*", F.sum("n").over(each).alias("total"), F.sum("n").over(each.orderBy("bucket")).alias("upto"))
     quantile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}")
-    of = ranked.groupBy("g", "metric").agg(F.max("total").alias("total"), quantile(25), quantile(50), quantile(75))
-    limit = F.lit(None).cast("long")
+    of = ranked.groupBy("g", "metric").agg(F.max("total").alias("total"), *map(quantile, (10, 50, 90, 99)))
+    spread = F.greatest(F.col("q90") - F.col("q10"), F.floor(F.col("q50") / 8))
+    low, high = F.lit(0).cast("long"), F.col("q99")
     for m in METRICS:
-        limit = F.when(F.col("metric") == m.name, F.greatest(F.col("q75") + m.fences * (F.col("q75") - F.col("q25")), F.col("q50") + m.slack)).otherwise(limit)
+        if m.fences is not None:
+            low = F.when(F.col("metric") == m.name, F.col("q10") - m.fences * spread).otherwise(low)
+            high = F.when(F.col("metric") == m.name, F.col("q90") + m.fences * spread).otherwise(high)
+    limit = F.struct(low.alias("low"), high.alias("high"))
     of = of.groupBy("g").agg(F.max("total").alias("total"), F.map_from_entries(F.collect_list(F.struct("metric", limit.alias("limit")))).alias("limits")).select("g.lang", "g.source", "total", "limits")
     own = of.where(F.col("source").isNotNull())
     lang = of.where(F.col("source").isNull() & F.col("lang").isNotNull()).select("lang", F.col("total").alias("lang_total"), F.col("limits").alias("lang_limits"))
     whole = of.where(F.col("lang").isNull()).select(F.col("limits").alias("all_limits"))
     chosen = F.when(F.col("total") >= least_group, F.col("limits")).when(F.col("lang_total") >= least_group, F.col("lang_limits")).otherwise(F.col("all_limits"))
+    # a group none of whose documents passes the base has no limits and needs none
     return own.join(lang, "lang").join(F.broadcast(whole), F.lit(True)).select("lang", "source", chosen.alias("limits"))
 
 
 def judge(counts: DataFrame, limit: DataFrame) -> DataFrame:
-    """Each row of counts with ``failed`` (the metrics above their limits, sorted) and ``kept``.
+    """Each row of counts with ``failed`` (the metrics outside their limits, sorted) and ``kept``.
 
     The limits have one row a (language, source), are counted and broadcast up to a bound; beyond it they join by
     shuffle, where Spark splits a hot source's rows.
     """
     limit = small(limit, limit.count(), BROADCAST_GROUPS)
-    above = F.array_compact(F.array(*(F.when(m.value() > F.col("limits").getItem(m.name), F.lit(m.name)) for m in sorted(METRICS, key=lambda m: m.name))))
-    out = counts.join(limit, ["lang", "source"], "left").withColumn("failed", above).drop("limits")
+    of = lambda m: F.col("limits").getItem(m.name)
+    outside = F.array_compact(F.array(*(F.when(m.outside(of(m)["low"], of(m)["high"]), F.lit(m.name)) for m in sorted(METRICS, key=lambda m: m.name))))
+    out = counts.join(limit, ["lang", "source"], "left").withColumn("failed", outside).drop("limits")
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
@@ -168,7 +186,8 @@ COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 def sql(documents: str = "documents", least_group: int = LEAST_GROUP) -> str:
     """DuckDB SQL for the same result over a table of documents."""
     metrics = "\nUNION ALL ".join(
-        f"SELECT doc_id, lang, source, '{m.name}' AS metric, ({m.over} * {m.scale} // greatest({m.under}, 1))::BIGINT AS v, {m.slack} AS slack, {m.fences} AS fences FROM c" for m in METRICS
+        f"SELECT doc_id, lang, source, '{m.name}' AS metric, ({m.over} * {m.scale} // greatest({m.under}, 1))::BIGINT AS v, {'NULL' if m.fences is None else m.fences}::BIGINT AS fences FROM c WHERE NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)"
+        for m in METRICS
     )
     return f"""
 WITH t AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM {documents}),
@@ -184,20 +203,28 @@ c AS (
   FROM w LEFT JOIN rep ON w.doc_id = rep.doc_id
 ),
 m AS ({metrics}),
-b AS (SELECT *, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS bucket FROM m),
+b AS (SELECT *, (v >> greatest(length(bin(v)) - {DIGITS}, 0)) << greatest(length(bin(v)) - {DIGITS}, 0) AS bucket FROM m),
 g AS (
-  SELECT 2 AS level, lang, source, metric, slack, fences, bucket FROM b
-  UNION ALL SELECT 1, lang, NULL, metric, slack, fences, bucket FROM b UNION ALL SELECT 0, NULL, NULL, metric, slack, fences, bucket FROM b
+  SELECT 2 AS level, lang, source, metric, fences, bucket FROM b
+  UNION ALL SELECT 1, lang, NULL, metric, fences, bucket FROM b UNION ALL SELECT 0, NULL, NULL, metric, fences, bucket FROM b
+),
+h AS (
+  SELECT *, row_number() OVER (PARTITION BY level, lang, source, metric ORDER BY bucket) AS upto, count(*) OVER (PARTITION BY level, lang, source, metric) AS total FROM g
 ),
 q AS (
-  SELECT level, lang, source, metric, count(*) AS total, quantile_disc(bucket, 0.25) AS q25, quantile_disc(bucket, 0.5) AS q50,
-         quantile_disc(bucket, 0.75) AS q75, any_value(slack) AS slack, any_value(fences) AS fences FROM g GROUP BY ALL
+  SELECT level, lang, source, metric, any_value(fences) AS fences, any_value(total) AS total, min(bucket) FILTER (100 * upto >= 10 * total) AS q10,
+         min(bucket) FILTER (100 * upto >= 50 * total) AS q50, min(bucket) FILTER (100 * upto >= 90 * total) AS q90, min(bucket) FILTER (100 * upto >= 99 * total) AS q99
+  FROM h GROUP BY level, lang, source, metric
+),
+lim AS (
+  SELECT *, CASE WHEN fences IS NULL THEN 0 ELSE q10 - fences * greatest(q90 - q10, q50 // 8) END AS low,
+         CASE WHEN fences IS NULL THEN q99 ELSE q90 + fences * greatest(q90 - q10, q50 // 8) END AS high FROM q
 ),
-lim AS (SELECT *, greatest(q75 + fences * (q75 - q25), q50 + slack) AS lim FROM q),
 failed AS (
   SELECT DISTINCT b.doc_id FROM b JOIN lim o ON o.level = 2 AND o.lang = b.lang AND o.source = b.source AND o.metric = b.metric
   JOIN lim l ON l.level = 1 AND l.lang = b.lang AND l.metric = b.metric JOIN lim a ON a.level = 0 AND a.metric = b.metric
-  WHERE b.v > CASE WHEN o.total >= {least_group} THEN o.lim WHEN l.total >= {least_group} THEN l.lim ELSE a.lim END
+  WHERE b.bucket > CASE WHEN o.total >= {least_group} THEN o.high WHEN l.total >= {least_group} THEN l.high ELSE a.high END
+     OR b.bucket < CASE WHEN o.total >= {least_group} THEN o.low WHEN l.total >= {least_group} THEN l.low ELSE a.low END
 )
 SELECT c.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
