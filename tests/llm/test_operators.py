@@ -222,30 +222,84 @@ def test_mixing(spark, docs, rows, empty):
 
 def test_raking_meets_the_targets():
     rng = random.Random(4)
-    cells = [((s, lang, t), rng.randint(1, 1000)) for s in "abcd" for lang in ("en", "de") for t in "xy"]
-    targets = {"source": {"a": 0.4, "b": 0.3, "c": 0.2, "d": 0.1}, "lang": {"en": 0.5, "de": 0.5}, "topic": 0.5}
-    weight = mixing.rake(cells, targets, 200)
+    cells = [((s, lang, t), rng.randint(500, 1000)) for s in "abcd" for lang in ("en", "de") for t in "xy"]
+    targets = {"source": {"a": 0.3, "b": 0.3, "c": 0.2, "d": 0.2}, "lang": {"en": 0.55, "de": 0.45}, "topic": 0.5}
+    chance, rate = mixing.rake(cells, targets, 200)
     total = sum(n for _, n in cells)
     for d, name in ((0, "source"), (1, "lang")):
         for k, share in targets[name].items():
-            assert sum(n * w for ((key), n), w in zip(cells, weight, strict=True) if key[d] == k) == pytest.approx(share * total, rel=1e-6)
-    assert mixing.rake([((s, "en", "x"), 0) for s in "ab"]) == [1, 1]
+            assert sum(n * p for ((key), n), p in zip(cells, chance, strict=True) if key[d] == k) == pytest.approx(share * rate * total, rel=2e-6)
+    assert mixing.rake([((s, "en", "x"), 0) for s in "ab"]) == ([0.6, 0.6], 0.6)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_filled_targets(seed):
+    """What a short key lacks goes to the others in proportion: against bisection."""
+    rng = random.Random(seed)
+    seen = [rng.random() ** 3 for _ in range(rng.randint(1, 9))]
+    seen = [x / sum(seen) / rng.uniform(0.3, 1) for x in seen]
+    seen = [x / min(1, sum(seen)) for x in seen]
+    share = [rng.random() for _ in seen]
+    share = [x / sum(share) for x in share]
+    low, high = 0.0, 1e9
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if sum(min(a, mid * s) for a, s in zip(seen, share, strict=True)) < 1 else (low, mid)
+    got = mixing.fill(seen, share)
+    assert [min(a, got * s) for a, s in zip(seen, share, strict=True)] == pytest.approx([min(a, high * s) for a, s in zip(seen, share, strict=True)], abs=1e-9)
+
+
+MARKS = {"prose": "x y", "licensed": "License y", "contact": "a@b y", "table": "x | y"}
 
 
 @pytest.mark.parametrize("driver_cells", [1000, 0])
 def test_the_sample_meets_the_targets(spark, driver_cells):
-    """Expected and drawn token shares where a rare topic would need more than all its documents at the full rate."""
+    """Expected and drawn token shares, where languages lower the rate."""
     rng = random.Random(6)
-    marks = {"prose": "x y", "licensed": "License y", "contact": "a@b y", "table": "x | y"}
-    rows = [(i, f"{marks[rng.choices([*marks], (94, 2, 2, 2))[0]]} {'w ' * 20}", rng.choices(("en", "de"), (9, 1))[0], "a", 0) for i in range(6000)]
+    rows = [(i, f"{MARKS[rng.choices([*MARKS], (70, 10, 10, 10))[0]]} {'w ' * 10}", rng.choices(("en", "de"), (8, 2))[0], "a", 0) for i in range(6000)]
     targets = {"source": 1.0, "lang": {"en": 0.6, "de": 0.4}, "topic": {"prose": 0.7, "licensed": 0.1, "contact": 0.1, "table": 0.1}}
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA), targets=targets, driver_cells=driver_cells).collect()
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.mix(df, targets=targets, driver_cells=driver_cells).collect()
     for name in ("lang", "topic"):
         for k, share in targets[name].items():
             part = lambda of, name=name, k=k: sum(of(r) for r in got if r[name] == k) / sum(map(of, got))
             assert part(lambda r: r.n_tokens * r.probability) == pytest.approx(share, abs=1e-3)
-            assert part(lambda r: r.n_tokens * r.sampled) == pytest.approx(share, abs=0.1)
+            assert part(lambda r: r.n_tokens * r.sampled) == pytest.approx(share, abs=0.05)
     assert max(r.probability for r in got) <= 1
+    told = {(r.margin, r.key): r for r in mixing.report(df, targets=targets, driver_cells=driver_cells).collect()}
+    assert told["lang", "de"].expected == pytest.approx(0.4, abs=1e-3) and told["lang", "de"].whole and not told["lang", "en"].whole
+
+
+def test_a_short_topic_is_taken_whole(spark):
+    """A topic with a tenth of what its share asks for: all of it is sampled, the other margins and the rate hold."""
+    rng = random.Random(7)
+    rows = [(i, f"{MARKS['table' if rng.random() < 0.02 else 'prose']} {'w ' * 10}", rng.choice(("en", "de")), rng.choice("ab"), 0) for i in range(4000)]
+    targets = {"source": 1.0, "lang": {"en": 0.6, "de": 0.4}, "topic": 0.01}
+    df = spark.createDataFrame(rows, SCHEMA)
+    told = {(r.margin, r.key): r for r in mixing.report(df, targets=targets, rate=0.5).collect()}
+    assert told["topic", "table"].whole and not told["topic", "prose"].whole
+    assert told["lang", "en"].expected == pytest.approx(0.6, abs=1e-4)
+    got = mixing.mix(df, targets=targets, rate=0.5).collect()
+    assert all(r.sampled for r in got if r.topic == "table")
+    assert sum(r.n_tokens * r.probability for r in got) == pytest.approx(0.5 * sum(r.n_tokens for r in got), rel=1e-3)
+
+
+def test_topics(spark):
+    texts = {"prose": ["", "a b c", "see the License " + "w " * 200, None], "licensed": ["the license", "License " + "w " * 98], "contact": ["mail a@b now"], "table": ["a | b | c d"]}
+    rows = [(0, t, topic, "a", 0) for topic, ts in texts.items() for t in ts]
+    assert all(r.topic == r.name for r in mixing.cells_of(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("lang", "name").selectExpr("*", "'en' AS lang"), ["name"]).collect())
+
+
+@pytest.mark.parametrize("driver_cells", [1000, 0])
+def test_mixing_is_the_sql(spark, docs, rows, driver_cells):
+    con = duckdb.connect()
+    plain = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], SCHEMA)
+    frame = plain.toPandas()
+    con.register("documents", frame)
+    want = sorted(con.sql(mixing.sql(6)).fetchall())
+    got = sorted(map(tuple, mixing.mix(plain, rounds=6, driver_cells=driver_cells).collect()))
+    for a, b in zip(got, want, strict=True):
+        assert (a[:5], a[7]) == (b[:5], b[7]) and a[5:7] == pytest.approx(b[5:7], rel=1e-7, abs=1e-8)
 
 
 def test_languages_without_a_target_keep_their_share(spark):
@@ -255,7 +309,7 @@ def test_languages_without_a_target_keep_their_share(spark):
         df = spark.createDataFrame([(i, f"a b {i}", langs[i % len(langs)], "s", 0) for i in range(30)], SCHEMA)
         for n in (1000, 0):
             got = mixing.mix(df, rounds=2, driver_cells=n).collect()
-            assert [r.weight for r in got] == pytest.approx([1] * 30)
+            assert [r.weight for r in got] == pytest.approx([1] * 30, rel=1e-5)
 
 
 def test_raking_as_a_table_is_the_same(docs):
