@@ -593,13 +593,37 @@ def test_license_scan(spark, docs, rows, empty):
     assert license_scan.scan_licenses(empty).count() == 0
 
 
-def test_common_licenses_beside_rare_ones(spark):
-    """A notice counts though eight words of another notice in the file are rarer."""
-    notice = {label: text for label, text, _ in license_scan.TEMPLATES if label == "bsd" or text.startswith("permission")}
-    rows = [(0, f"{notice['bsd']} that x. {notice['mit']}")] + [(i, notice["mit"]) for i in range(1, 5)]
-    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[0].labels == "bsd,mit" and {a.template for a in got[0].alignments} == {1, 5}
-    assert all(got[i].labels == "mit" and got[i].score == 1 for i in range(1, 5))
+def alignments(text, least=license_scan.LEAST_SHARE):
+    """(template, start, matched) by comparing every template at every place."""
+    w, out = license_scan.split(text or ""), []
+    for t, (_, notice, key) in enumerate(license_scan.TEMPLATES):
+        words_, wanted = license_scan.split(notice), license_scan.split(key)
+        at = next(i for i in range(len(words_)) if words_[i : i + len(wanted)] == wanted)
+        counted = [i for i, x in enumerate(words_) if at <= i < at + len(wanted) or x not in license_scan.STOP_WORDS]
+        for start in range(-len(words_), len(w)):
+            matched = sum(0 <= start + i < len(w) and w[start + i] == words_[i] for i in counted)
+            if start + at >= 0 and w[start + at : start + at + len(wanted)] == wanted and matched >= least * len(counted):
+                out.append((t, start, matched))
+    return sorted(out)
+
+
+def test_every_notice_is_found(spark):
+    """Each notice alone, all in one file, with edits and with their words in disorder, against every template at every place."""
+    rng = random.Random(10)
+    notices = [n for _, n, _ in license_scan.TEMPLATES]
+    rows = [(i, n) for i, n in enumerate(notices)] + [(100, "\n\n".join(notices)), (101, " and ".join(reversed(notices)) * 3)]
+    for i in range(40):
+        w = " ".join(rng.sample(notices, 3)).split()
+        for _ in range(rng.randint(1, 12)):
+            w[rng.randrange(len(w))] = rng.choice(["x", "license", "public", "the"])
+        rows.append((200 + i, " ".join(w)))
+    rows += [(300, " ".join(rng.sample(" ".join(notices).split(), 300))), (301, "license " * 2000), (302, None), (303, "MIT License " * 500)]
+    got = {r.doc_id: r for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    for i, text in rows:
+        assert [tuple(a) for a in got[i].alignments or []] == alignments(text), i
+    assert set(got[100].labels.split(",")) == {label for label, *_ in license_scan.TEMPLATES}
+    for i, (label, *_) in enumerate(license_scan.TEMPLATES):
+        assert label in got[i].labels.split(",") and got[i].score == 1
 
 
 # native operators run no Python
