@@ -1,12 +1,14 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Equal vectors of one label are one node. The nodes of a label are dealt to overlapping cluster shards; each shard
-builds a flat graph in which an edge is pruned when a kept neighbour is much closer to its target. The
-adjacency lists of a node from all its shards are united. Every node then searches its shards: greedy search from
-the medoids until its best candidates are expanded, then the range of hits is expanded until no new hit
-appears. Nodes that share no shard are beyond that search: each node is also compared with the members of every other
-shard that a vector within the threshold can have as its nearest. Hits are verified by their cosine in double
-precision. ``audit_recall`` measures the links found against brute force.
+Equal vectors of one label are one node. The nodes of a label are one cell at first; a cell with too many members is split around
+centres that are fitted on a sample of it, again and again until all fit. A split deals a node to its two nearest parts, so
+the shards overlap. Each shard builds a flat graph in which an edge is pruned when a kept neighbour is much closer to
+its target; the adjacency lists of a node from all its shards are united. Every node then searches its shards: greedy search
+from the medoids and from itself until its best candidates are expanded, then the range of hits is expanded until no new
+hit appears. Each node has one home among its shards. A hit whose home is elsewhere sends the search on to that
+shard, with the hit as the entry, until no search leads to a shard that it has not seen. Hits are verified by their
+cosine in double precision and counted at home, so each link counts once and no list of links is ever made: a shard
+returns a count for each node and a spanning forest of its links. ``audit_recall`` measures what was found against brute force.
 """
 
 from __future__ import annotations
@@ -16,12 +18,16 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, connected_components, grouped
+from .common import Store, connected_components, grouped, small
 
-#: Nodes that a shard should have, shards of a node, out-degree, pruning factor, search beam.
-SHARD, OVERLAP, DEGREE, ALPHA, BEAM = 600, 2, 20, 1.2, 40
-#: Vectors that the cluster centres are fitted on at most, drawn by a hash; every vector is indexed.
-SAMPLE = 20_000
+#: Nodes that a shard should have (twice as many at most), out-degree, pruning factor, search beam.
+SHARD, DEGREE, ALPHA, BEAM = 600, 20, 1.2, 16
+#: Members of a cell that its centres are fitted on at most, drawn by a hash; parts of one split. Every vector is indexed.
+SAMPLE, PARTS = 4_000, 64
+#: Rows of a cell that one task deals to its parts, or that search it from outside.
+DEALT = 20_000
+#: Cells to split (some 50 bytes each) whose sizes are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 100_000
 #: What the range expansion walks through below the threshold.
 SLACK = 0.03
 
@@ -39,162 +45,134 @@ def _unit(x):
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _centres(sample: list, share: float, shard: int) -> dict:
-    """Cluster centres of each (label, dimension) from rows (label, vec) of a sample: sample members, moved to their means."""
-    import numpy as np
+def _matrix(column):
+    """The vectors of an Arrow column as a matrix."""
+    if hasattr(column, "combine_chunks"):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _fit(shard: int, parts: int):
+    """The centres of a cell from rows (cell, node, size, vec) of a sample: sample members, moved to their means."""
+
+    def run(key, rows: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
-    of: dict = {}
-    for label, vec in sample:
-        of.setdefault((label, len(vec)), []).append(vec)
-    out = {}
-    for key, rows in of.items():
-        x = _unit(np.array(rows, float))
-        k = min(max(1, round(len(x) / share / shard)), max(1, len(x) // 8))
-        centre = x[:k]
-        for _ in range(4 if k > 1 else 0):
+        t = pa.Table.from_batches(list(rows)).sort_by("node")
+        x, size = _unit(_matrix(t["vec"])), t["size"][0].as_py()
+        k = min(max(2, round(size / shard)), parts, max(2, len(x) // 4))
+        centre = x[np.random.default_rng(size).permutation(len(x))[:k]]
+        for _ in range(5):
             nearest = (x @ centre.T).argmax(1)
             sums = np.zeros_like(centre)
             np.add.at(sums, nearest, x)
             norm = np.linalg.norm(sums, axis=1, keepdims=True)
             centre = np.where(norm > 0, sums / np.where(norm > 0, norm, 1), centre)
-        out[key] = centre
-    return out
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([centre.ravel()], pa.list_(pa.float64()))], ["cell", "centres"])
 
+    return grouped(run)
 
-def _assign(centres: dict, overlap: int):
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
 
-        for b in batches:
-            nodes, labels, vecs = (c.to_pylist() for c in b.columns)
-            groups: dict = {}
-            for i, (label, v) in enumerate(zip(labels, vecs, strict=True)):
-                groups.setdefault((label, len(v)), []).append(i)
-            cell, row = [], []
-            for (label, dim), at in groups.items():
-                centre = centres.get((label, dim))
-                if centre is None or len(centre) == 1:
-                    cell += [f"{label}/{dim}/0"] * len(at)
-                    row += at
-                    continue
-                near = np.argsort(-(_unit(np.array([vecs[i] for i in at], float)) @ centre.T), axis=1)[:, :overlap]
-                cell += [f"{label}/{dim}/{s}" for r in near for s in r]
-                row += [i for i in at for _ in range(near.shape[1])]
-            if row:
-                yield pa.RecordBatch.from_arrays([pa.array(cell), *(c.take(pa.array(row)) for c in (b.column(0), b.column(2)))], ["cell", "node", "vec"])
-
-    return run
-
-
-def _border(centres: dict, overlap: int, threshold: float):
-    """Rows (cell, node, vec, shards, home): each node in the cell of its nearest centre, and in each cell before that which
-    is none of its shards and can be the nearest of a vector that it links with.
-
-    A vector is at most ``reach`` from one that it links with, so if that one is no farther from centre s than from the
-    node's own centre t, the node is at most ``reach`` beyond the plane between s and t. Of two nodes one has the later home.
+def _deal(left, right):
+    """Members of a cell in its parts: one at home in the two nearest, the others in the nearest. Parts that are equally near, as
+    vectors of one direction find them, are dealt by the node's number."""
+    import numpy as np
+    import pyarrow as pa
+
+    kinds = [("cell", pa.string()), ("node", pa.int64()), ("home", pa.bool_()), ("copies", pa.int64()), ("vec", pa.list_(pa.float64()))]
+    if not left.num_rows or not right.num_rows:
+        return pa.schema(kinds).empty_table()
+    x = _unit(_matrix(left["vec"]))
+    near = x @ np.array(right["centres"][0].as_py()).reshape(-1, x.shape[1]).T
+    node = left["node"].to_numpy()
+    k = near.shape[1]
+    turn = (np.arange(k) + (node.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64)[:, None]) % k
+    order = np.lexsort((turn, -np.round(near, 12)), axis=1)[:, :2]
+    home = left["home"].to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(home)
+    row, part = np.concatenate([np.arange(len(x)), own]), np.concatenate([order[:, 0], order[own, 1]])
+    cell = left["cell"][0].as_py()
+    names = pa.array([f"{p}.{cell}" for p in range(k)]).take(pa.array(part))
+    stays = np.concatenate([home, np.zeros(len(own), bool)])
+    t = left.take(pa.array(row))
+    return pa.table([names, t["node"], pa.array(stays), t["copies"], t["vec"]], schema=pa.schema(kinds))
+
+
+def _salts(size: str) -> Column:
+    return F.ceil(F.col(size) / DEALT)
+
+
+def _shards(store: Store, nodes: DataFrame, shard: int, sample: int) -> DataFrame:
+    """(cell, node, home, copies, vec): the nodes (node, label, copies, vec) in cells of 2 * ``shard`` members at most.
+
+    The name of a cell is the path of its splits, the length of the vectors and the label.
     """
-    reach = max(0.0, 2 - 2 * threshold) ** 0.5
-
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            nodes, labels, vecs = (c.to_pylist() for c in b.columns)
-            groups: dict = {}
-            for i, (label, v) in enumerate(zip(labels, vecs, strict=True)):
-                groups.setdefault((label, len(v)), []).append(i)
-            for (label, dim), at in groups.items():
-                centre = centres.get((label, dim))
-                if centre is None or len(centre) == 1:
-                    continue
-                apart = np.sqrt(np.maximum(0, 2 - 2 * centre @ centre.T))
-                for a in range(0, len(at), 256):
-                    part = at[a : a + 256]
-                    near = _unit(np.array([vecs[i] for i in part], float)) @ centre.T
-                    shards = np.argsort(-near, axis=1)[:, :overlap]
-                    home = shards[:, 0]
-                    asks = near.max(1, keepdims=True) - near <= reach * apart[home] + 1e-9
-                    asks &= np.arange(len(centre)) < home[:, None]
-                    np.put_along_axis(asks, shards, False, 1)
-                    row, cell = np.nonzero(asks)
-                    row, cell = np.concatenate([np.arange(len(part)), row]), np.concatenate([home, cell])
-                    take = pa.array(np.array(part)[row])
-                    names = pa.array([f"{label}/{dim}/{s}" for s in cell])
-                    yield pa.RecordBatch.from_arrays(
-                        [names, b.column(0).take(take), b.column(2).take(take), pa.array(shards[row].tolist(), pa.list_(pa.int64())), pa.array(cell == home[row])], ["cell", "node", "vec", "shards", "home"]
-                    )
-
-    return run
-
-
-def _across(threshold: float):
-    """Compares the nodes that ask a cell with those at home in it; pairs that share a shard are left to the search."""
-
-    def run(key, rows: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        parts = [(b.column("node").to_numpy(), b.column("vec").to_pylist(), b.column("shards").to_pylist(), b.column("home").to_pylist()) for b in rows]
-        node = np.concatenate([p[0] for p in parts])
-        raw = np.array([v for p in parts for v in p[1]], float)
-        raw /= np.abs(raw).max(1, keepdims=True)
-        shards = np.array([v for p in parts for v in p[2]])
-        home = np.array([v for p in parts for v in p[3]], bool)
-        x, own, asking = _unit(raw), np.flatnonzero(home), np.flatnonzero(~home)
-        for a in range(0, len(asking), 512):
-            near, to = [], []
-            q = asking[a : a + 512]
-            for k in range(0, len(own), 8192):
-                r, v = np.nonzero(x[q] @ x[own[k : k + 8192]].T >= threshold - 1e-6)
-                r, v = q[r], own[k : k + 8192][v]
-                near.append(r)
-                to.append(v)
-            r, v = np.concatenate([np.zeros(0, np.int64), *near]), np.concatenate([np.zeros(0, np.int64), *to])
-            for k in range(0, len(r), 50_000):
-                i, j = r[k : k + 50_000], v[k : k + 50_000]
-                new = ~(shards[i][:, :, None] == shards[j][:, None, :]).any((1, 2))
-                i, j = i[new], j[new]
-                b, c = raw[i], raw[j]
-                sure = np.einsum("ij,ij->i", b, c) / np.sqrt(np.einsum("ij,ij->i", b, b) * np.einsum("ij,ij->i", c, c)) >= threshold
-                if sure.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(node[i[sure]]), pa.array(node[j[sure]])], ["node", "v"])
-
-    return grouped(run)
+    cells = nodes.select(F.concat(F.size("vec").cast("string"), F.lit("/"), "label").alias("cell"), "node", F.lit(True).alias("home"), "copies", "vec")
+    done = []
+    while True:
+        sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > 2 * shard))
+        n = sizes.count()
+        if not n:
+            done.append(cells)
+            break
+        done.append(cells.join(small(sizes, n, BROADCAST_CELLS), "cell", "left_anti"))
+        large = cells.join(small(sizes, n, BROADCAST_CELLS), "cell")
+        drawn = large.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) * F.col("size") < 1_000_000 * sample)
+        centres = store.put(drawn.select("cell", "node", "size", "vec").groupBy("cell").applyInArrow(_fit(shard, PARTS), "cell string, centres array<double>"))
+        left = large.withColumn("salt", F.pmod(F.xxhash64(F.lit(3), "node"), _salts("size")))
+        right = centres.join(sizes, "cell").select("cell", "centres", F.explode(F.sequence(F.lit(0).cast("long"), _salts("size") - 1)).alias("salt"))
+        cells = store.put(left.select("cell", "salt", "node", "home", "copies", "vec").groupBy("cell", "salt").cogroup(right.groupBy("cell", "salt")).applyInArrow(_deal, "cell string, node long, home boolean, copies long, vec array<double>"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
 
 
 def robust_graph(x, degree: int = DEGREE, alpha: float = ALPHA, seed: int = 5):
-    """The neighbours (n, degree; -1 for none) of unit vectors: from near and random candidates, the nearest first, each
-    kept neighbour prunes the candidates that it is ``alpha`` times closer to than the node is."""
+    """The neighbours (n, degree; -1 for none) of unit vectors: from the candidates, the nearest first, each kept neighbour prunes
+    those that it is ``alpha`` times closer to than the node is. Candidates are the members of the buckets around the
+    node's three nearest pivots, and some drawn at random; no node is compared with all others.
+    """
     import numpy as np
 
     n = len(x)
-    pool, far = min(n - 1, 2 * degree + 8), min(n - 1, degree)
     out = np.full((n, degree), -1, np.int64)
     if n < 2:
         return out
     rng = np.random.default_rng(seed)
+    pivots = rng.permutation(n)[: max(1, n // 48)]
+    by = min(3, len(pivots))
+    pool, far = min(n - 1, degree), min(n - 1, degree // 2)
+    nearest = np.argsort(-(x @ x[pivots].T), axis=1)[:, :by]
+    cand = rng.integers(0, n, (n, by * pool + far))
+    sim = np.full(cand.shape, -2.0)
+    sim[:, by * pool :] = np.einsum("ik,ijk->ij", x, x[cand[:, by * pool :]])
+    for p in range(len(pivots)):
+        member, slot = np.nonzero(nearest == p)
+        m = min(pool, len(member) - 1)
+        for a in range(0, len(member) if m > 0 else 0, 512):
+            rows, at = member[a : a + 512], slot[a : a + 512]
+            s = x[rows] @ x[member].T
+            s[np.arange(len(rows)), a + np.arange(len(rows))] = -2
+            best = np.argpartition(-s, m - 1, axis=1)[:, :m]
+            cols = at[:, None] * pool + np.arange(m)
+            cand[rows[:, None], cols], sim[rows[:, None], cols] = member[best], np.take_along_axis(s, best, 1)
     for a in range(0, n, 256):
         own = np.arange(a, min(n, a + 256))
-        s = x[own] @ x.T
-        s[np.arange(len(own)), own] = -2
-        near = np.argpartition(-s, pool - 1, axis=1)[:, :pool]
-        cand = np.hstack([near, rng.integers(0, n, (len(own), far))])
-        sim = np.take_along_axis(s, cand, 1)
-        order = np.argsort(-sim, axis=1, kind="stable")
-        cand, sim = np.take_along_axis(cand, order, 1), np.take_along_axis(sim, order, 1)
-        alive = cand != own[:, None]
-        y = x[cand]
+        order = np.argsort(-sim[own], axis=1, kind="stable")
+        c, s = np.take_along_axis(cand[own], order, 1), np.take_along_axis(sim[own], order, 1)
+        alive = (c != own[:, None]) & (s > -2)
+        y = x[c]
         for d in range(degree):
             any_left = alive.any(1)
             best = alive.argmax(1)
-            chosen = np.take_along_axis(cand, best[:, None], 1)[:, 0]
+            chosen = np.take_along_axis(c, best[:, None], 1)[:, 0]
             out[own, d] = np.where(any_left, chosen, -1)
             to = np.einsum("ijk,ik->ij", y, x[chosen])
-            alive &= ~(alpha * alpha * (2 - 2 * to) <= 2 - 2 * sim)
+            alive &= ~(alpha * alpha * (2 - 2 * to) <= 2 - 2 * s)
             alive[np.arange(len(own)), best] = False
-            alive &= cand != chosen[:, None]
+            alive &= c != chosen[:, None]
     return out
 
 
@@ -203,20 +181,25 @@ def _build(degree: int, alpha: float):
         import numpy as np
         import pyarrow as pa
 
-        parts = [(b.column("node").to_numpy(), b.column("vec").to_pylist()) for b in rows]
-        node = np.concatenate([p[0] for p in parts])
-        graph = robust_graph(_unit(np.array([v for p in parts for v in p[1]], float)), degree, alpha)
-        for a in range(0, len(node), 2000):
-            lists = [node[g[g >= 0]] for g in graph[a : a + 2000]]
-            yield pa.RecordBatch.from_arrays([pa.array(node[a : a + 2000]), pa.array(lists, pa.list_(pa.int64()))], ["node", "near"])
+        t = pa.Table.from_batches(list(rows)).sort_by("node")
+        node = t["node"].to_numpy()
+        graph = robust_graph(_unit(_matrix(t["vec"])), degree, alpha)
+        # an edge leads both ways
+        a, k = np.nonzero(graph >= 0)
+        b = graph[a, k]
+        edges = np.unique(np.concatenate([a * len(node) + b, b * len(node) + a]))
+        cut = np.searchsorted(edges // len(node), np.arange(len(node) + 1))
+        lists = [node[edges[cut[i] : cut[i + 1]] % len(node)] for i in range(len(node))]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(node)), t["node"].combine_chunks(), t["home"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))], ["cell", "node", "home", "near"])
 
     return grouped(run)
 
 
-def search(x, raw, near, threshold: float, beam: int = BEAM, slack: float = SLACK):
-    """For each vector of a shard the others with cosine >= threshold that the graph leads to: rows, columns.
+def search(x, near, queries, entry, threshold: float, beam: int = BEAM, slack: float = SLACK, width: int = 4):
+    """Yields (query, place) of what the graph leads each query to within ``slack`` of the threshold.
 
-    ``near`` lists neighbours, -1 for none. Greedy search starts from the medoid and the medoids of slices.
+    ``x`` are the unit vectors of a shard, ``near`` their neighbours (-1 for none), ``queries`` unit vectors, ``entry`` a place for
+    each to start from besides the medoid and the medoids of slices, or -1.
     """
     import numpy as np
 
@@ -228,15 +211,16 @@ def search(x, raw, near, threshold: float, beam: int = BEAM, slack: float = SLAC
             starts.append(int(part[(x[part] @ x[part].mean(0)).argmax()]))
     starts = np.unique(starts)
     beam = min(beam, n)
-    found_q, found_v = [], []
-    step = max(1, min(512, (32 << 20) // n))
-    for a in range(0, n, step):
-        q = np.arange(a, min(n, a + step))
-        sim = np.full((len(q), n), -2.0)  # of what the search has visited
-        done = np.zeros((len(q), n), bool)
-        sim[:, starts] = x[q] @ x[starts].T
-
-        def expand(rows, nodes, sim=sim, done=done, q=q):
+    step = max(1, min(512, (32 << 20) // (9 * n)))
+    for a in range(0, len(queries), step):
+        y, own_entry = queries[a : a + step], entry[a : a + step]
+        sim = np.full((len(y), n), -2.0)  # of what the search has visited
+        done = np.zeros((len(y), n), bool)
+        sim[:, starts] = y @ x[starts].T
+        some = np.flatnonzero(own_entry >= 0)
+        sim[some, own_entry[some]] = np.einsum("ij,ij->i", y[some], x[own_entry[some]])
+
+        def expand(rows, nodes, sim=sim, done=done, y=y):
             done[rows, nodes] = True
             to = near[nodes]
             r = np.repeat(rows, to.shape[1])
@@ -244,93 +228,160 @@ def search(x, raw, near, threshold: float, beam: int = BEAM, slack: float = SLAC
             new = to >= 0
             r, to = r[new], to[new]
             new = sim[r, to] == -2
-            code = np.unique(r[new] * n + to[new])
-            r, to = code // n, code % n
-            sim[r, to] = np.einsum("ij,ij->i", x[q[r]], x[to])
+            r, to = r[new], to[new]
+            for k in range(0, len(r), 100_000):
+                p = slice(k, k + 100_000)
+                sim[r[p], to[p]] = np.einsum("ij,ij->i", y[r[p]], x[to[p]])
 
-        active = np.arange(len(q))
+        active = np.arange(len(y))
         while len(active):
-            own = sim[active]
-            bar = np.partition(own, n - beam, axis=1)[:, n - beam]
-            own = np.where(done[active] | (own < bar[:, None]) | (own == -2), -2, own)
-            best = own.argmax(1)
-            go = own[np.arange(len(active)), best] > -2
-            active = active[go]
-            expand(active, best[go])
+            best = np.argpartition(-sim[active], beam - 1, axis=1)[:, :beam]
+            s = np.take_along_axis(sim[active], best, 1)
+            s[np.take_along_axis(done[active], best, 1)] = -2
+            first = np.argsort(-s, axis=1)[:, :width]
+            i, j = np.nonzero(np.take_along_axis(s, first, 1) > -2)
+            expand(active[i], best[i, first[i, j]])
+            active = active[np.unique(i)]
         while True:
             r, v = np.nonzero((sim >= threshold - slack) & ~done)
             if not len(r):
                 break
             expand(r, v)
-        r, v = np.nonzero(sim >= threshold - 1e-6)
-        r = q[r]
-        other = r != v
-        r, v = r[other], v[other]
-        for k in range(0, len(r), 200_000):
-            b, c = raw[r[k : k + 200_000]], raw[v[k : k + 200_000]]
-            cosine = np.einsum("ij,ij->i", b, c) / np.sqrt(np.einsum("ij,ij->i", b, b) * np.einsum("ij,ij->i", c, c))
-            sure = cosine >= threshold
-            found_q.append(r[k : k + 200_000][sure])
-            found_v.append(v[k : k + 200_000][sure])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *found_q]), np.concatenate([none, *found_v])
-
-
-def _search(threshold: float, beam: int):
-    def run(key, rows: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
+        r, v = np.nonzero(sim >= threshold - slack)
+        yield a + r, v
 
-        parts = [(b.column("node").to_numpy(), b.column("vec").to_pylist(), b.column("near").to_pylist()) for b in rows]
-        node = np.concatenate([p[0] for p in parts])
-        order = np.argsort(node)
-        node = node[order]
-        raw = np.array([v for p in parts for v in p[1]], float)[order]
-        lists = [x for p in parts for x in p[2]]
-        lists = [np.array(lists[i] or [], np.int64) for i in order]
-        near = np.full((len(node), max(1, *map(len, lists), 1)), -1, np.int64)
-        for i, ids in enumerate(lists):
-            at = np.minimum(np.searchsorted(node, ids), len(node) - 1)
-            at = at[node[at] == ids]  # neighbours that this shard has too
-            near[i, : len(at)] = at
-        r, v = search(_unit(raw), raw / np.abs(raw).max(1, keepdims=True), near, threshold, beam)
-        order = np.argsort(r, kind="stable")
-        r, v = r[order], v[order]
-        cut = np.searchsorted(r, np.arange(len(node) + 1))
-        some = np.flatnonzero(np.diff(cut))
-        for k in range(0, len(some), 1000):
-            part = some[k : k + 1000]
-            yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array([node[v[cut[i] : cut[i + 1]]] for i in part], pa.list_(pa.int64()))], ["node", "found"])
 
-    return grouped(run)
+def _roots(n: int, a, b):
+    """For each of n places the smallest that it reaches by the links (a, b)."""
+    import numpy as np
+
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[b], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+_FOUND = "kind int, node long, other long, cell string"
+#: Kinds of rows that a search returns: links of a node that are at home in the shard; a link of the forest; a shard to search.
+COUNT, LINK, ASK = 0, 1, 2
+
+
+def _look(members, asking, threshold: float, beam: int):
+    """Searches a shard (rows cell, node, home, copies, vec, near, at, cells) for ``asking`` (node, vec, cells, entry), or for its own members."""
+    import numpy as np
+    import pyarrow as pa
+
+    members = members.sort_by("node")
+    cell, node = members["cell"][0].as_py(), members["node"].to_numpy()
+    raw = _matrix(members["vec"])
+    raw = raw / np.abs(raw).max(1, keepdims=True)
+    x, home, copies = _unit(raw), members["home"].to_numpy(zero_copy_only=False), members["copies"].to_numpy()
+    at, place = np.unique(np.array(members["at"].to_pylist(), object), return_inverse=True)
+    lists = members["near"].to_pylist()
+    near = np.full((len(node), max(1, *map(len, lists), 1)), -1, np.int64)
+    for i, ids in enumerate(lists):
+        k = np.searchsorted(node, ids)
+        k = k[node[np.minimum(k, len(node) - 1)] == ids]  # neighbours that this shard has too
+        near[i, : len(k)] = k
+    near = near[:, : max(1, int((near >= 0).sum(1).max()))]
+    if asking is None:
+        names, y_raw, y, entry, of = node, raw, x, np.arange(len(node)), members["cells"].to_pylist()
+    else:
+        names = asking["node"].to_numpy()
+        y_raw = _matrix(asking["vec"])
+        y_raw = y_raw / np.abs(y_raw).max(1, keepdims=True)
+        y, of = _unit(y_raw), asking["cells"].to_pylist()
+        entry = np.searchsorted(node, asking["entry"].to_numpy())
+    length = np.einsum("ij,ij->i", raw, raw)
+    links = np.zeros(len(names), np.int64)
+    both = np.concatenate([node, names])
+    known, code = np.unique(both, return_inverse=True)
+    root = np.arange(len(known))
+    kind, who, other, where = [], [], [], []
+    for r, v in search(x, near, y, entry, threshold, beam):
+        for k in range(0, len(r), 100_000):
+            i, j = r[k : k + 100_000], v[k : k + 100_000]
+            new = names[i] != node[j]
+            i, j = i[new], j[new]
+            b, c = y_raw[i], raw[j]
+            sure = np.einsum("ij,ij->i", b, c) / np.sqrt(np.einsum("ij,ij->i", b, b) * length[j]) >= threshold
+            counted = sure & home[j]
+            links += np.bincount(i[counted], copies[j[counted]], len(names)).astype(np.int64)
+            root = _roots(len(known), np.concatenate([np.arange(len(known)), code[len(node) + i[sure]]]), np.concatenate([root, code[j[sure]]]))
+            # a home that the search has not seen
+            _, first = np.unique(i[~home[j]] * len(at) + place[j[~home[j]]], return_index=True)
+            i, j = i[~home[j]][first], j[~home[j]][first]
+            for q, p in zip(i.tolist(), j.tolist(), strict=True):
+                if (to := at[place[p]]) != cell and to not in of[q]:
+                    kind.append(ASK)
+                    who.append(int(names[q]))
+                    other.append(int(node[p]))
+                    where.append(to)
+    some, tied = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(known)))
+    kinds = np.concatenate([np.full(len(some), COUNT), np.full(len(tied), LINK), np.array(kind, np.int64)]).astype(np.int32)
+    return pa.table(
+        [pa.array(kinds), pa.array(np.concatenate([names[some], known[tied], np.array(who, np.int64)])), pa.array(np.concatenate([links[some], known[root[tied]], np.array(other, np.int64)])), pa.array([None] * (len(some) + len(tied)) + where, pa.string())],
+        names=["kind", "node", "other", "cell"],
+    )
 
 
 def _nodes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[DataFrame, DataFrame]:
-    """The rows (id, key of the node or null) and the nodes (key, node, copies, label, vec)."""
+    """The rows (id, key of the node or null) and the nodes (key, node, least id, copies, label, vec). A node's number is its own
+    in the table that is written, whatever ids its rows have."""
     vec, label = F.col("__vec"), F.col("__label")
     # 128 bits stand for the vector in joins
     key = F.md5(F.concat_ws("|", label.cast("string"), F.transform(vec, lambda x: x.cast("string"))).cast("binary"))
     base = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("__label"), F.col(vec_col).cast("array<double>").alias("__vec"))
     base = base.select("id", F.when(label.isNotNull() & F.col("id").isNotNull() & _valid(vec), key).alias("key"), label.cast("string").alias("label"), vec.alias("vec"))
-    nodes = base.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
-    return base.select("id", "key"), nodes
-
-
-def _links(store: Store, nodes: DataFrame, threshold: float, shard: int, overlap: int, degree: int, beam: int, sample: int) -> DataFrame:
-    """The verified links (u, v), u > v, between nodes."""
-    n = nodes.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < int(1e6 * share)) if share < 1 else nodes
-    centres = _centres([(r.label, r.vec) for r in drawn.select("label", "vec").orderBy(F.xxhash64(F.lit(7), "node")).limit(2 * sample).collect()], share, shard)
-    cells = store.put(nodes.select("node", "label", "vec").mapInArrow(_assign(centres, overlap), "cell string, node long, vec array<double>"))
-    lists = cells.groupBy("cell").applyInArrow(_build(degree, ALPHA), "node long, near array<long>")
-    union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))  # overlap lists of a node at most
-    found = cells.join(union, "node").select("cell", "node", "vec", "near").groupBy("cell").applyInArrow(_search(threshold, beam), "node long, found array<long>")
-    pairs = found.select("node", F.explode("found").alias("v"))
-    if any(len(c) > 1 for c in centres.values()):
-        border = nodes.select("node", "label", "vec").mapInArrow(_border(centres, overlap, threshold), "cell string, node long, vec array<double>, shards array<long>, home boolean")
-        pairs = pairs.union(border.groupBy("cell").applyInArrow(_across(threshold), "node long, v long"))
-    return store.put(pairs.select(F.greatest("node", "v").alias("u"), F.least("node", "v").alias("v")).distinct())
+    nodes = base.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("vec").alias("vec"))
+    return base.select("id", "key"), nodes.withColumn("node", F.monotonically_increasing_id())
+
+
+def _links(store: Store, nodes: DataFrame, threshold: float, shard: int, degree: int, beam: int, sample: int) -> tuple[DataFrame, DataFrame]:
+    """(node, others): the linked vectors of other nodes; (u, v): a spanning forest of the links between nodes."""
+    cells = _shards(store, nodes, shard, sample)
+    lists = cells.select("cell", "node", "home", "vec").groupBy("cell").applyInArrow(_build(degree, ALPHA), "cell string, node long, home boolean, near array<long>")
+    # lists of a node: one more than there are levels of splits
+    union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("cell").alias("cells"), F.max(F.when(F.col("home"), F.col("cell"))).alias("at"))
+    members = store.put(cells.join(union, "node").select("cell", "node", "home", "copies", "vec", "near", "at", "cells"))
+
+    def inside(key, rows: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        yield from _look(pa.Table.from_batches(list(rows)), None, threshold, beam).to_batches(max_chunksize=10_000)
+
+    def outside(left, right):
+        import pyarrow as pa
+
+        if left.num_rows and right.num_rows:
+            return _look(left, right, threshold, beam)
+        return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names=["kind", "node", "other", "cell"])
+
+    found = store.put(members.groupBy("cell").applyInArrow(grouped(inside), _FOUND))
+    out, seen = found, None
+    while True:
+        asks = found.where(F.col("kind") == ASK).groupBy("node", "cell").agg(F.min("other").alias("entry"))
+        if seen is not None:
+            asks = asks.join(seen, ["node", "cell"], "left_anti")
+        asks = store.put(asks)
+        if not asks.take(1):
+            break
+        seen = asks.select("node", "cell") if seen is None else seen.union(asks.select("node", "cell"))
+        sizes = store.put(asks.groupBy("cell").agg(F.count("*").alias("size")))
+        n = sizes.count()
+        salted = asks.join(small(sizes, n, BROADCAST_CELLS), "cell").withColumn("salt", F.pmod(F.xxhash64(F.lit(5), "node"), _salts("size"))).drop("size")
+        asking = store.put(salted.join(members.where("home").select("node", "vec", "cells"), "node").select("cell", "salt", "node", "entry", "vec", "cells"))
+        asked = members.join(small(sizes, n, BROADCAST_CELLS), "cell").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), _salts("size") - 1))).drop("size")
+        found = store.put(asked.groupBy("cell", "salt").cogroup(asking.groupBy("cell", "salt")).applyInArrow(outside, _FOUND))
+        out = out.union(found)
+    degrees = out.where(F.col("kind") == COUNT).groupBy("node").agg(F.sum("other").alias("others"))
+    return degrees, out.where(F.col("kind") == LINK).select(F.col("node").alias("u"), F.col("other").alias("v"))
 
 
 def link_vectors(
@@ -340,7 +391,6 @@ def link_vectors(
     label_col: str = "label",
     threshold: float = 0.98,
     shard: int = SHARD,
-    overlap: int = OVERLAP,
     degree: int = DEGREE,
     beam: int = BEAM,
     sample: int = SAMPLE,
@@ -350,45 +400,40 @@ def link_vectors(
     Two rows link when their labels are equal and not null and the cosine is at least ``threshold``. Vectors that
     are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different
     lengths: n_links 0, component_id the own id, kept. A row with a null id links with nothing; its component_id is null and it
-    is kept. Repeated rows count as vectors of their own, in one component. Other columns are not read; an empty table gives an
-    empty result. Equal vectors are one node with a number of copies, so they make no pairs.
+    is kept. Repeated rows count as vectors of their own, in one component. Rows that share an id with different vectors or
+    labels are different vectors; each has the links and the component of its own vector. Other columns are not read; an
+    empty table gives an empty result. Equal vectors are one node with a number of copies, so they make no pairs.
     """
     store = Store(df.sparkSession)
     rows, nodes = _nodes(df, id_col, vec_col, label_col)
     nodes = store.put(nodes)
-    links = _links(store, nodes, threshold, shard, overlap, degree, beam, sample)
-    parts = connected_components(store, links)
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    copies = nodes.select(F.col("node").alias("v"), "copies")
-    degrees = both.join(copies, "v").groupBy("u").agg(F.sum("copies").alias("others"))
-    named = (
-        nodes.select("key", "node", "copies")
-        .join(degrees, F.col("node") == F.col("u"), "left")
-        .drop("u")
-        .join(parts.withColumnRenamed("node", "member"), F.col("node") == F.col("member"), "left")
-        .select("key", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    )
+    degrees, forest = _links(store, nodes, threshold, shard, degree, beam, sample)
+    parts = store.put(connected_components(store, forest))
+    named = nodes.select("key", "node", "least", "copies").join(degrees, "node", "left").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = store.put(named.select("key", "least", "component", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.join(least, "component").select("key", "n_links", "component_id")
+    # rows without a node are spread, as nulls would all meet in one task
+    key = F.coalesce("key", F.concat(F.lit("none"), F.xxhash64("id").cast("string")))
     component = F.coalesce("component_id", "id")
-    return rows.join(named, "key", "left").select(
+    return rows.withColumn("key", key).join(named, "key", "left").select(
         F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept")
     )
 
 
 def audit_recall(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, block: int = 256, **options) -> tuple[int, int]:
-    """(links found, links by brute force) of the nodes of ``queries``, a stated set of rows, against all rows, in blocks."""
+    """(links found, links by brute force) of the rows of ``queries``, a stated set, against all rows, in blocks."""
     store = Store(df.sparkSession)
-    nodes = store.put(_nodes(df, id_col, vec_col, label_col)[1])
-    asked = nodes.join(queries.select(F.col(id_col).cast("long").alias("node")).distinct(), "node", "left_semi")
-    o = {"shard": SHARD, "overlap": OVERLAP, "degree": DEGREE, "beam": BEAM, "sample": SAMPLE} | options
-    links = _links(store, nodes, threshold, **o)
-    both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    found = both.join(asked.select(F.col("node").alias("u")), "u", "left_semi").count()
-    # the rows of a label, dealt by a salt, each part against the blocks of the label's queries
+    wanted = queries.select(F.col(id_col).cast("long").alias("id")).distinct()
+    found = link_vectors(df, id_col, vec_col, label_col, threshold, **options).join(wanted, F.col(id_col) == F.col("id"), "left_semi").agg(F.sum("n_links")).first()[0]
+    rows, nodes = _nodes(df, id_col, vec_col, label_col)
+    nodes = store.put(nodes.withColumn("kind", F.concat_ws("/", F.size("vec"), "label")))
+    asked = store.put(rows.join(wanted, "id", "left_semi").groupBy("key").agg(F.count("*").alias("times")).join(nodes.select("key", "kind", "vec"), "key"))
+    # the nodes of a label, dealt by a salt, each part against the blocks of the label's queries
     salts = 16
-    kind = F.concat_ws("/", "label", F.size("vec"))
-    blocks = asked.withColumn("label", kind).withColumn("b", F.pmod(F.xxhash64("node"), F.greatest(F.lit(1), (F.lit(asked.count()) / block).cast("int")))).groupBy("label", "b").agg(F.collect_list(F.struct("node", "vec")).alias("q"))
-    blocks = blocks.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "q")
-    dealt = nodes.select(kind.alias("l"), F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(salts)).cast("long").alias("s"), "node", "vec")
+    blocks = asked.withColumn("b", F.pmod(F.xxhash64("key"), F.greatest(F.lit(1), (F.lit(asked.count()) / block).cast("int")))).groupBy("kind", "b").agg(F.collect_list(F.struct("times", "vec")).alias("q"))
+    blocks = blocks.select("kind", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"), "q")
+    dealt = nodes.select("kind", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(salts)).cast("long").alias("salt"), "copies", "vec")
 
     def compare(left, right):
         import numpy as np
@@ -396,15 +441,11 @@ def audit_recall(df: DataFrame, queries: DataFrame, id_col: str = "vec_id", vec_
 
         total = 0
         if left.num_rows and right.num_rows:
-            x = np.array(right["vec"].to_pylist(), float)
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            ids = right["node"].to_numpy()
+            x, copies = _unit(_matrix(right["vec"])), right["copies"].to_numpy()
             for q in left["q"].to_pylist():
-                y = np.array([r["vec"] for r in q], float)
-                y = y / np.linalg.norm(y, axis=1, keepdims=True)
-                own = np.array([r["node"] for r in q])
-                total += int(((y @ x.T >= threshold) & (own[:, None] != ids)).sum())
+                y = _unit(np.array([r["vec"] for r in q], float))
+                total += int(((y @ x.T >= threshold) * copies).sum(1) @ np.array([r["times"] for r in q]))
         return pa.table({"n": pa.array([total], pa.int64())})
 
-    true = blocks.groupBy("label", "salt").cogroup(dealt.groupBy("l", "s")).applyInArrow(compare, "n long").agg(F.sum("n")).first()[0]
-    return found, true or 0
+    true = blocks.groupBy("kind", "salt").cogroup(dealt.groupBy("kind", "salt")).applyInArrow(compare, "n long").agg(F.sum("n")).first()[0]
+    return found or 0, (true or 0) - (asked.agg(F.sum("times")).first()[0] or 0)  # none links with itself
