@@ -87,8 +87,28 @@ def test_splices_are_exact(seed):
     parts = ["<|endoftext|>", " ", "\n\n", "a", "  b", "'ll", "é", "中", "12", "!!", "\t"]
     text = "".join(rng.choice(parts) * rng.choice((1, 1, 1, 40)) for _ in range(1500))
     want = token_counts.load(BPE)[0].encode(text, add_special_tokens=False).ids
-    assert token_counts.encode_long(text, BPE, 150, 40) == want
-    assert token_counts.encode_long(text, BPE, 64, 32) == want
+    for chunk, overlap in ((150, 40), (64, 32), (1000, 8)):
+        ids, splices = token_counts.encode_long(text, BPE, chunk, overlap)
+        assert ids == want and splices > 1
+
+
+def test_splices_of_texts_without_boundaries():
+    """Overlaps widen, in the end to the whole text, where no pre-token ends; a marker may stand at every chunk's end."""
+    t = token_counts.load(BPE)[0]
+    for text in ("a" * 5000, " " * 5000, "a" * 700 + "<|endoftext|>" * 100 + "b" * 700, ("x" * 70 + " ") * 60, "<|endoftext|>" * 300, "é中😀" * 900, "\n" * 999 + "a", "<|endoftext" * 200):
+        for chunk, overlap in ((64, 32), (100, 33), (257, 64)):
+            assert token_counts.encode_long(text, BPE, chunk, overlap)[0] == t.encode(text, add_special_tokens=False).ids
+
+
+def test_chunks_are_encoded_once(monkeypatch):
+    """The spliced ids are those of the overlapping chunks: nothing but the chunks is encoded."""
+    seen = []
+    scan = token_counts._scan
+    monkeypatch.setattr(token_counts, "_scan", lambda path, text: seen.append(text) or scan(path, text))
+    text = " ".join(f"word{i % 97}" for i in range(3000))
+    ids, splices = token_counts.encode_long(text, BPE, 500, 50)
+    assert ids == token_counts.load(BPE)[0].encode(text, add_special_tokens=False).ids
+    assert len(seen) == splices + 1 == len(range(0, len(text) - 50, 450)) and all(len(x) == 500 for x in seen[:-1])
 
 
 def test_byte_bpe(docs, rows, empty):

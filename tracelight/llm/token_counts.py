@@ -1,10 +1,10 @@
 """Token counts of whole texts, huge ones by overlapping chunks that are spliced where both sides provably agree.
 
 The pre-tokenizer reads a text from left to right and looks ahead, never back. So when a chunk's scan and the
-true scan share one pre-token boundary, they agree from there on, up to the chunk's end. A chunk that starts at a
-true boundary is true up to ``GUARD`` characters before its end. The next chunk starts earlier, inside the
-overlap; the first boundary that both have is true in both, and the tokens are spliced there. If there is
-none, the overlap is doubled, in the end to the whole rest of the text.
+true scan share one pre-token boundary, they agree from there on, up to ``GUARD`` characters before the chunk's end. Each chunk is
+encoded once, with offsets, and starts inside the one before it. The first boundary in the overlap that both have is
+true in both: the ids of the one end there and those of the other begin. If there is none, the overlap is doubled, and
+when it has reached the last splice, so is the chunk.
 """
 
 from __future__ import annotations
@@ -57,37 +57,36 @@ def _scan(path: str, text: str):
     return ids, np.where(first, starts, -1)
 
 
-def encode_long(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """The ids of a whole text, from chunks of ``chunk`` characters that overlap by ``overlap`` at first."""
+def encode_long(text: str, path: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> tuple[list[int], int]:
+    """The ids of a whole text, from chunks of ``chunk`` characters that overlap by ``overlap`` at first, and the number of splices."""
     import numpy as np
 
-    if len(text) <= chunk:
-        return load(path)[0].encode(text, add_special_tokens=False).ids
-    out: list[int] = []
-    at = 0  # a true boundary, in characters; what lies before is in out
-    while True:
-        size = chunk
-        while True:
-            end = min(len(text), at + size)
-            ids, starts = _scan(path, part := text[at:end])
-            if end == len(text):
-                return out + ids.tolist()
-            sure = len(part[: len(part) - GUARD].encode())
-            true = starts[(starts > 0) & (starts <= sure)]
-            # the next chunk begins inside the overlap; its own scan must meet a boundary of this one
-            back = max(1, len(part) - max(overlap, GUARD * 2) * (size // chunk))
-            shift = len(part[:back].encode())
-            probe = text[at + back : min(len(text), end + GUARD)]
-            _, other = _scan(path, probe)
-            sure_other = len(probe) if at + back + len(probe) == len(text) else len(probe) - GUARD
-            other = other[(other > 0) & (other <= len(probe[:sure_other].encode()))] + shift
-            common = np.intersect1d(true, other)
-            if len(common):
-                cut = int(common[0])
-                break
-            size *= 2
-        out += ids[: int(np.flatnonzero(starts == cut)[0])].tolist()
-        at += len(part.encode()[:cut].decode())
+    chunk, overlap = max(chunk, 4 * GUARD), max(overlap, 2 * GUARD)
+    out: list[np.ndarray] = []
+    # a chunk is text[begin:][:len(part)]; its ids are true from its byte ``since`` on, which starts a pre-token
+    begin, part, since, back = 0, text[:chunk], 0, overlap
+    ids, starts = _scan(path, part)
+    while begin + len(part) < len(text):
+        spliced = len(part.encode()[:since].decode())
+        at = max(spliced, len(part) - back)
+        shift = len(part[:at].encode())
+        # as long as the overlap twice at least, so it always leads on
+        after = text[begin + at :][: max(chunk, 2 * (len(part) - at))]
+        new_ids, new_starts = _scan(path, after)
+        sure = len(part[: len(part) - GUARD].encode())
+        if at == spliced:  # all that is true is in the overlap, and the new chunk begins where a pre-token does
+            common = [since]
+        else:
+            common = np.intersect1d(starts[(starts >= since) & (starts <= sure)], new_starts[new_starts > 0] + shift)
+        if not len(common):
+            back *= 2
+            continue
+        cut = int(common[0])
+        out.append(ids[np.flatnonzero(starts == since)[0] : np.flatnonzero(starts == cut)[0]])
+        begin, part, since, back = begin + at, after, cut - shift, overlap
+        ids, starts = new_ids, new_starts
+    out.append(ids[np.flatnonzero(starts == since)[0] :])
+    return np.concatenate(out).tolist(), len(out) - 1
 
 
 def count_tokens(
@@ -114,7 +113,8 @@ def count_tokens(
                     n[i] = len(e.ids)
             for i, x in enumerate(texts):
                 if len(x) > chunk:
-                    n[i], splices[i] = len(encode_long(x, path, chunk, overlap)), -(-len(x) // chunk) - 1
+                    ids, splices[i] = encode_long(x, path, chunk, overlap)
+                    n[i] = len(ids)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n, pa.int64()), pa.array(splices, pa.int64())], ["id", "n_bytes", "n_tokens", "n_splices"])
 
     small_batches(docs.sparkSession)
