@@ -632,6 +632,62 @@ def test_classifier(spark, docs, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
 
 
+def plain_statistics(text):
+    """The statistics, character by character."""
+    b, w = (text or "").encode(), re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    if not w:
+        return [0.0] * 17
+    lines = [x for x in b.split(b"\n") if re.search(rb"[^\x20\x09-\x0D]", x)]
+    share = lambda test: sum(map(test, b)) / len(b)
+    return [
+        math.log(1 + len(b)), math.log(1 + len(w)), sum(map(len, w)) / len(w),
+        share(lambda c: 65 <= c <= 90), share(lambda c: 48 <= c <= 57), share(lambda c: c in b"#*$%&<>"), *(share(lambda c, x=x: c == ord(x)) for x in "|!.,\n"), share(lambda c: c > 127),
+        len(set(w)) / len(w), sum(x == y for x, y in zip(w, w[1:], strict=False)) / len(w), sum(x == y for x, y in zip(w, w[2:], strict=False)) / len(w),
+        1 - len(set(lines)) / len(lines), math.log(1 + len(w) / len(lines)),
+    ]
+
+
+def monotone(y, w):
+    """Isotonic regression by its min-max formula."""
+    return [max(min(sum(a * b for a, b in zip(y[i : j + 1], w[i : j + 1], strict=True)) / sum(w[i : j + 1]) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
+
+
+def test_classifier_by_brute_force(spark):
+    """Every score against one made from whole matrices: features, weighted ridge by least squares, isotonic steps by their formula."""
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeioultnrsé1") for _ in range(rng.randint(1, 9)))
+    rows = [(i, rng.choice((" ", "\n")).join(rng.choice((word(), word().upper() + "!", "|")) if i % 3 else word() for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    rows += [(7, rows[7][1]), (400, None), (401, "")]
+    quality = {i: int(rng.random() < (0.85 if i % 3 == 0 else 0.25)) for i in range(0, 400, 2)}
+    labels = [(i, q, 0) for i, q in quality.items()] + [(8, 1 - quality[8], 0)]
+    quality[8] = 0
+    got = quality_classifier.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+
+    x = np.array([plain_statistics(t) for _, t in rows]).astype(np.float32).astype(float)
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    known = np.array([i in quality for i, _ in rows])
+    y = np.array([float(quality.get(i, 0)) for i, _ in rows])
+    own, held = known & (fold > 1), known & (fold == 1)
+    z = np.clip((x - x[own].mean(0)) / np.maximum(x[own].std(0), 1e-3), -6, 6)
+    draws = np.random.default_rng(quality_classifier.SEED)
+    w = draws.normal(0, 1 / (quality_classifier.WIDTH * math.sqrt(17)), (17, 256))
+    phase = draws.uniform(0, 2 * np.pi, 256)
+    f = np.hstack([np.sqrt(2 / 256) * np.cos(z @ w + phase), np.ones((len(z), 1))])
+    weight = np.where(y[own] > 0, 0.5 / y[own].mean(), 0.5 / (1 - y[own].mean()))
+    root = np.sqrt(weight)[:, None]
+    beta = np.linalg.lstsq(np.vstack([f[own] * root, np.eye(257)]), np.concatenate([y[own] * root[:, 0], np.zeros(257)]), rcond=None)[0]
+    raw = f @ beta
+    at = np.clip(np.round(raw[held] * 1000), -2000, 2000) / 1000
+    bins = sorted(set(at.tolist()))
+    n, p = [int((at == s).sum()) for s in bins], [y[held][at == s].sum() for s in bins]
+    steps = monotone([a / b for a, b in zip(p, n, strict=True)], n)
+    knots = [np.average([s for s, v in zip(bins, steps, strict=True) if abs(v - u) < 1e-9], weights=[k for k, v in zip(n, steps, strict=True) if abs(v - u) < 1e-9]) for u in sorted({round(v, 9) for v in steps})]
+    want = np.interp(raw, knots, sorted({round(v, 9) for v in steps}))
+    assert len(got) == len(rows) and len(set(want.round(6))) > 50
+    assert sorted((r.doc_id, round(r.score, 5)) for r in got) == sorted((i, round(float(s), 5)) for (i, _), s in zip(rows, want, strict=True))
+    assert all(r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+
+
 def test_isotonic():
     knots, values = quality_classifier.isotonic([(0.1, 2, 0), (0.2, 1, 1), (0.3, 2, 1), (0.9, 4, 4)])
     assert values == sorted(values) and values[0] == 0 and values[-1] == 1

@@ -111,20 +111,27 @@ def isotonic(points: list[tuple[float, float, float]]) -> tuple[list[float], lis
     return [b[0] / b[1] for b in blocks], [min(max(b[2] / b[1], 0.0), 1.0) for b in blocks]
 
 
-def fit(stats: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, held_fold: int = 0, calibration_fold: int = 1) -> Model:
-    """Fit on the labelled documents outside ``held_fold``; ``calibration_fold`` calibrates and does not fit.
+def known_labels(labels: DataFrame, max_labelled: int = MAX_LABELLED, held_fold: int = 0) -> DataFrame:
+    """(doc_id, y): the labels that the fit may see, ``max_labelled`` or hardly more, with a broadcast hint (some 16 bytes each).
 
-    Of several labels of a document the lower counts; labels other than 0 and 1 and null ids are left out.
-    Without labels of both kinds every score is 0.5.
+    Of several labels of a document the lower counts; labels other than 0 and 1, null ids and the held-out fold are left out.
     """
-    import numpy as np
-
-    d = len(STATISTICS)
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").cast("double").alias("y"))
     known = known.where(fold(F.col("doc_id")) != held_fold)
     n = known.count()
     if n > max_labelled:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * max_labelled / n))
+    return F.broadcast(known)
+
+
+def fit(stats: DataFrame, known: DataFrame, calibration_fold: int = 1) -> Model:
+    """Fit on the documents (doc_id, x) with labels (doc_id, y); ``calibration_fold`` calibrates and does not fit.
+
+    Without labels of both kinds every score is 0.5.
+    """
+    import numpy as np
+
+    d = len(STATISTICS)
     store = Store(stats.sparkSession)
     rows = store.put(stats.join(known, "doc_id").select(fold(F.col("doc_id")).alias("fold"), "x", "y").repartition(PARTS))
     own = rows.where(F.col("fold") != calibration_fold)
@@ -183,8 +190,11 @@ def scorer(model: Model):
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, max_labelled: int = MAX_LABELLED) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``. Two passes, no shuffle of texts."""
-    model = fit(document_statistics(docs, id_col, text_col), labels, max_labelled)
+    """The rows of ``docs``, with all their columns, whose score is at least ``threshold``. Two passes, of which the first
+    measures the labelled documents alone; no shuffle of texts."""
+    known = known_labels(labels, max_labelled)
+    labelled = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(known.select("doc_id"), "doc_id", "left_semi")
+    model = fit(document_statistics(labelled), known)
     return docs.where(scorer(model)(text_or_empty(text_col)) >= threshold)
 
 
@@ -197,7 +207,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     """
     store = Store(docs.sparkSession)
     stats = store.put(document_statistics(docs, id_col, text_col))
-    model = fit(stats, labels, max_labelled)
+    model = fit(stats, known_labels(labels, max_labelled))
 
     def scored(batches: Iterator) -> Iterator:
         import numpy as np
