@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, connected_components, grouped, small
+from .common import Store, connected_components, give_back, grouped, small
 
 #: Nodes that a shard should have (twice as many at most), out-degree, pruning factor, search beam.
 SHARD, DEGREE, ALPHA, BEAM = 600, 20, 1.2, 16
@@ -191,15 +191,16 @@ def _build(degree: int, alpha: float):
         cut = np.searchsorted(edges // len(node), np.arange(len(node) + 1))
         lists = [node[edges[cut[i] : cut[i + 1]] % len(node)] for i in range(len(node))]
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(node)), t["node"].combine_chunks(), t["home"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))], ["cell", "node", "home", "near"])
+        give_back()
 
     return grouped(run)
 
 
-def search(x, near, queries, entry, threshold: float, beam: int = BEAM, slack: float = SLACK, width: int = 4):
+def search(x, first, near, queries, entry, threshold: float, beam: int = BEAM, slack: float = SLACK, width: int = 4):
     """Yields (query, place) of what the graph leads each query to within ``slack`` of the threshold.
 
-    ``x`` are the unit vectors of a shard, ``near`` their neighbours (-1 for none), ``queries`` unit vectors, ``entry`` a place for
-    each to start from besides the medoid and the medoids of slices, or -1.
+    ``x`` are the unit vectors of a shard, ``near[first[i] : first[i + 1]]`` the neighbours of i, ``queries`` unit vectors, ``entry`` a place
+    for each to start from besides the medoid and the medoids of slices, or -1.
     """
     import numpy as np
 
@@ -211,7 +212,7 @@ def search(x, near, queries, entry, threshold: float, beam: int = BEAM, slack: f
             starts.append(int(part[(x[part] @ x[part].mean(0)).argmax()]))
     starts = np.unique(starts)
     beam = min(beam, n)
-    step = max(1, min(512, (32 << 20) // (9 * n)))
+    step = max(1, min(512, (16 << 20) // (10 * n)))
     for a in range(0, len(queries), step):
         y, own_entry = queries[a : a + step], entry[a : a + step]
         sim = np.full((len(y), n), -2.0)  # of what the search has visited
@@ -220,27 +221,33 @@ def search(x, near, queries, entry, threshold: float, beam: int = BEAM, slack: f
         some = np.flatnonzero(own_entry >= 0)
         sim[some, own_entry[some]] = np.einsum("ij,ij->i", y[some], x[own_entry[some]])
 
-        def expand(rows, nodes, sim=sim, done=done, y=y):
+        new_at = np.zeros(len(y) * n, bool)
+
+        def expand(rows, nodes, sim=sim, done=done, y=y, new_at=new_at):
             done[rows, nodes] = True
-            to = near[nodes]
-            r = np.repeat(rows, to.shape[1])
-            to = to.ravel()
-            new = to >= 0
-            r, to = r[new], to[new]
-            new = sim[r, to] == -2
-            r, to = r[new], to[new]
-            for k in range(0, len(r), 100_000):
-                p = slice(k, k + 100_000)
-                sim[r[p], to[p]] = np.einsum("ij,ij->i", y[r[p]], x[to[p]])
+            degree = first[nodes + 1] - first[nodes]
+            upto = np.cumsum(degree)
+            cut = np.unique(np.append(np.searchsorted(upto, np.arange(0, upto[-1], 300_000)), len(rows))) if len(rows) else []
+            for k, z in zip(cut, cut[1:], strict=False):  # a group of near vectors has many hits, and neighbours of each
+                own, d = nodes[k:z], degree[k:z]
+                r, to = np.repeat(rows[k:z], d), near[np.arange(d.sum()) + np.repeat(first[own] - (np.cumsum(d) - d), d)]
+                known = sim[r, to] != -2
+                new_at[r[~known] * n + to[~known]] = True
+                code = np.flatnonzero(new_at)
+                new_at[code] = False
+                r, to = code // n, code % n
+                for p in range(0, len(r), 50_000):
+                    i, j = r[p : p + 50_000], to[p : p + 50_000]
+                    sim[i, j] = np.einsum("ij,ij->i", y[i], x[j])
 
         active = np.arange(len(y))
         while len(active):
             best = np.argpartition(-sim[active], beam - 1, axis=1)[:, :beam]
             s = np.take_along_axis(sim[active], best, 1)
             s[np.take_along_axis(done[active], best, 1)] = -2
-            first = np.argsort(-s, axis=1)[:, :width]
-            i, j = np.nonzero(np.take_along_axis(s, first, 1) > -2)
-            expand(active[i], best[i, first[i, j]])
+            top = np.argsort(-s, axis=1)[:, :width]
+            i, j = np.nonzero(np.take_along_axis(s, top, 1) > -2)
+            expand(active[i], best[i, top[i, j]])
             active = active[np.unique(i)]
         while True:
             r, v = np.nonzero((sim >= threshold - slack) & ~done)
@@ -284,12 +291,11 @@ def _look(members, asking, threshold: float, beam: int):
     x, home, copies = _unit(raw), members["home"].to_numpy(zero_copy_only=False), members["copies"].to_numpy()
     at, place = np.unique(np.array(members["at"].to_pylist(), object), return_inverse=True)
     lists = members["near"].to_pylist()
-    near = np.full((len(node), max(1, *map(len, lists), 1)), -1, np.int64)
-    for i, ids in enumerate(lists):
-        k = np.searchsorted(node, ids)
-        k = k[node[np.minimum(k, len(node) - 1)] == ids]  # neighbours that this shard has too
-        near[i, : len(k)] = k
-    near = near[:, : max(1, int((near >= 0).sum(1).max()))]
+    degree = np.fromiter(map(len, lists), np.int64, len(lists))
+    ids, of_node = np.fromiter((i for x in lists for i in x), np.int64, degree.sum()), np.repeat(np.arange(len(node)), degree)
+    to = np.minimum(np.searchsorted(node, ids), len(node) - 1)
+    here = node[to] == ids  # neighbours that this shard has too
+    near, first = to[here], np.searchsorted(of_node[here], np.arange(len(node) + 1))
     if asking is None:
         names, y_raw, y, entry, of = node, raw, x, np.arange(len(node)), members["cells"].to_pylist()
     else:
@@ -304,9 +310,9 @@ def _look(members, asking, threshold: float, beam: int):
     known, code = np.unique(both, return_inverse=True)
     root = np.arange(len(known))
     kind, who, other, where = [], [], [], []
-    for r, v in search(x, near, y, entry, threshold, beam):
-        for k in range(0, len(r), 100_000):
-            i, j = r[k : k + 100_000], v[k : k + 100_000]
+    for r, v in search(x, first, near, y, entry, threshold, beam):
+        for k in range(0, len(r), 50_000):
+            i, j = r[k : k + 50_000], v[k : k + 50_000]
             new = names[i] != node[j]
             i, j = i[new], j[new]
             b, c = y_raw[i], raw[j]
@@ -315,8 +321,8 @@ def _look(members, asking, threshold: float, beam: int):
             links += np.bincount(i[counted], copies[j[counted]], len(names)).astype(np.int64)
             root = _roots(len(known), np.concatenate([np.arange(len(known)), code[len(node) + i[sure]]]), np.concatenate([root, code[j[sure]]]))
             # a home that the search has not seen
-            _, first = np.unique(i[~home[j]] * len(at) + place[j[~home[j]]], return_index=True)
-            i, j = i[~home[j]][first], j[~home[j]][first]
+            _, once = np.unique(i[~home[j]] * len(at) + place[j[~home[j]]], return_index=True)
+            i, j = i[~home[j]][once], j[~home[j]][once]
             for q, p in zip(i.tolist(), j.tolist(), strict=True):
                 if (to := at[place[p]]) != cell and to not in of[q]:
                     kind.append(ASK)
@@ -355,12 +361,15 @@ def _links(store: Store, nodes: DataFrame, threshold: float, shard: int, degree:
         import pyarrow as pa
 
         yield from _look(pa.Table.from_batches(list(rows)), None, threshold, beam).to_batches(max_chunksize=10_000)
+        give_back()
 
     def outside(left, right):
         import pyarrow as pa
 
         if left.num_rows and right.num_rows:
-            return _look(left, right, threshold, beam)
+            out = _look(left, right, threshold, beam)
+            give_back()
+            return out
         return pa.table([pa.array([], pa.int32()), pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.string())], names=["kind", "node", "other", "cell"])
 
     found = store.put(members.groupBy("cell").applyInArrow(grouped(inside), _FOUND))
