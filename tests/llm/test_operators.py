@@ -186,30 +186,60 @@ def test_lm_base(docs, rows, empty):
     assert lm_scoring.score_texts(empty).count() == 0
 
 
-def test_lm_scores_are_the_mixture(spark):
-    """The score against counts made by hand, with the weights that the operator learned."""
+def interpolated(rows):
+    """The scores by exact counts: EM on the deleted fold against the kept ones, then the mixture with all training counts."""
+    tokens = [(i, words(lower(t)) + [None]) for i, t in rows]
+    fold = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i, _ in rows}
+    pairs = lambda t: list(zip(["<s>", *t], t, strict=False))
+    bucket = lambda c: c.bit_length()
+
+    def counts(folds):
+        own = [t for i, t in tokens if fold[i] in folds]
+        one = Counter(w for t in own for w in t)
+        return one, Counter(p for t in own for p in pairs(t)), Counter(one) + Counter({"<s>": len(own)})
+
+    one, two, context = counts({0, 3, 4})
+    distinct = len(counts({0, 2, 3, 4})[0])
+    seen = [(bucket(context[a]), two[a, b] / context[a] if context[a] else 0, one[b] / max(1, sum(one.values()))) for i, t in tokens if fold[i] == 2 for a, b in pairs(t)]
+    weights = {}
+    for k in {x[0] for x in seen}:
+        own, w = [(x[1], x[2], 1 / (distinct + 1)) for x in seen if x[0] == k], [1 / 3] * 3
+        for _ in range(lm_scoring.EM_ROUNDS):
+            parts = [[a * b for a, b in zip(w, p, strict=True)] for p in own]
+            share = [sum(x[j] / sum(x) for x in parts) + lm_scoring.EM_LEAST for j in range(3)]
+            w = [x / sum(share) for x in share]
+        weights[k] = w
+    one, two, context = counts({0, 2, 3, 4})
+    n, out = sum(one.values()), []
+    for i, t in tokens:
+        score = 0
+        for a, b in pairs(t):
+            k = bucket(context[a])
+            w = weights[max((x for x in weights if x <= k), default=min(weights))] if weights and sum(one.values()) else [0, 0, 1]
+            w = [0, w[1] / (w[1] + w[2]), w[2] / (w[1] + w[2])] if k == 0 else w
+            score += math.log10(w[0] * (two[a, b] / context[a] if context[a] else 0) + w[1] * one[b] / max(1, n) + w[2] / (len(one) + 1))
+        out.append((i, score))
+    return out
+
+
+@pytest.mark.parametrize("driver_rows", [500_000, 0])
+@pytest.mark.parametrize("buckets", ["few", "many"])
+def test_lm_scores_by_brute_force(spark, monkeypatch, driver_rows, buckets):
+    """Weights and scores against counts and EM made by hand, with EM on the driver and as a table, over few and many buckets."""
+    monkeypatch.setattr(lm_scoring, "EM_STOP", 0.0)
+    learn = lm_scoring.learn_weights
+    monkeypatch.setattr(lm_scoring, "learn_weights", lambda *a: learn(*a, driver_rows=driver_rows))
+    monkeypatch.setattr(lm_scoring, "EM_ROUNDS", 12)
+    learn.__defaults__ = (12, 0)
     rng = random.Random(1)
     rows = [(i, " ".join(rng.choice("the of cat dog sat on mat in a an".split()) for _ in range(rng.randint(0, 30)))) for i in range(200)]
-    seen = {}
-    learn = lm_scoring.learn_weights
-    lm_scoring.learn_weights = lambda *a, **k: seen.setdefault("w", learn(*a, **k))
-    try:
-        got = {r.doc_id: r.score for r in lm_scoring.score_texts(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), batch=500).collect()}
-    finally:
-        lm_scoring.learn_weights = learn
-    tokens = {i: words(t) + [None] for i, t in rows}
-    train = [i for i in tokens if zlib.crc32(str(i).encode()) % 5 != 1]
-    one = Counter(w for i in train for w in tokens[i])
-    two = Counter(p for i in train for p in zip(["<s>", *tokens[i]], tokens[i], strict=False))
-    context = Counter({w: k for w, k in one.items()}) + Counter({"<s>": len(train)})
-    n, v = sum(one.values()), len(one)
-    assert (np.abs(seen["w"].sum(1) - 1) < 1e-9).all() and (seen["w"] >= 0).all()
-    for i, t in tokens.items():
-        want = 0
-        for a, b in zip(["<s>", *t], t, strict=False):
-            w = seen["w"][int(math.log2(context[a])) + 1 if context[a] else 0]
-            want += math.log10(w[0] * (two[a, b] / context[a] if context[a] else 0) + w[1] * one[b] / n + w[2] / (v + 1))
-        assert got[i] == pytest.approx(want, rel=1e-9)
+    rows += [(300, None), (301, "a new word"), (None, "the cat"), (5, rows[5][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lm_scoring.score_texts(df, batch=500, bucket_bytes=1 << 30 if buckets == "few" else 40).collect()
+    want = sorted(interpolated(rows), key=str)
+    got = sorted(((r.doc_id, r.score) for r in got), key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], rel=1e-8)
 
 
 def test_lm_beats_the_base_on_held_out(spark):
@@ -429,9 +459,11 @@ def components(rows, percent=80):
 
 def test_jaccard_join(docs, rows, empty):
     known = [r for r in rows if r[0] is not None]
-    got = jaccard_join.join_near_duplicates(docs, batch=2000).select(*jaccard_join.COLUMNS)
-    assert got.count() == len(known)
-    assert sorted(map(tuple, got.distinct().collect())) == components(known)
+    for batch, bucket_bytes in ((2000, jaccard_join.BUCKET_BYTES), (300, 1 << 30), (300, 200)):
+        got = jaccard_join.join_near_duplicates(docs, batch=batch, bucket_bytes=bucket_bytes).select(*jaccard_join.COLUMNS)
+        assert got.count() == len(rows)
+        assert sorted(map(tuple, got.where("doc_id IS NOT NULL").distinct().collect())) == components(known)
+        assert sorted(map(tuple, got.where("doc_id IS NULL").collect())) == [(None, 0, None), (None, 56, None)]
     assert jaccard_join.join_near_duplicates(empty).count() == 0
     kept = jaccard_join.keep_one_of_each(docs)
     assert sorted(kept.columns) == sorted(docs.columns)
@@ -439,6 +471,35 @@ def test_jaccard_join(docs, rows, empty):
     assert kept.where("doc_id IS NULL").count() == 2
 
 
+def test_rows_that_share_an_id(spark):
+    """Each text is judged on its own, whatever id it has; columns may have any name."""
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    rows = [(3, text(1), 0), (7, text(1), 1), (7, text(2), 2), (7, text(2), 3), (9, text(2), 4), (5, text(3), 5), (5, text(4), 6), (6, text(3) + " end", 7), (8, "", 8), (8, None, 9), (None, text(1), 10), (2, text(5), 11)]
+    df = spark.createDataFrame([(i, t, k, 1) for i, t, k in rows], "doc_id long, text string, `__id` long, `a b` int")
+    kept = jaccard_join.keep_one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    # of ids 7 the copy of 3 goes, and one of two equal rows; of ids 5 both texts stay
+    assert got == sorted([(3, text(1)), (7, text(2)), (5, text(3)), (5, text(4)), (8, ""), (None, text(1)), (2, text(5))], key=str) or [x for x in got if x != (8, None)] == sorted(
+        [(3, text(1)), (7, text(2)), (5, text(3)), (5, text(4)), (None, text(1)), (2, text(5))], key=str
+    )
+
+
+def test_each_order_removes_candidates(spark):
+    """Documents of the same passages in other choices share much but no link: later orders filter what earlier ones let pass."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passages = [[word() for _ in range(rng.randint(10, 30))] for _ in range(40)]
+    rows = []
+    for i in range(200):
+        chosen = sorted(rng.sample(range(40), 12), key=lambda k: k * rng.random())
+        rows.append((i, " ".join(w for k in chosen for w in passages[k]), "en", "s", 0))
+        if i % 10 == 0:
+            rows.append((1000 + i, rows[-1][1] + " " + word(), "en", "s", 0))
+    counts = jaccard_join.candidate_counts(spark.createDataFrame(rows, SCHEMA))
+    assert counts[0] > counts[1] > counts[2] >= 20
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_jaccard_join_of_edited_copies(spark, seed):
     """Groups of edited copies, chains of edits, and a passage that all documents share."""

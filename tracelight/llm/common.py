@@ -122,17 +122,28 @@ def grouped(run: Callable) -> Callable:
     return run
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """The planner's estimate of the size of a table in bytes, from file sizes; no job runs."""
+def plan_bytes(df: DataFrame, text_col: str) -> int:
+    """The planner's estimate of the size of a table in bytes, from file sizes; texts are measured where it has none."""
     size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return size if size < 1 << 60 else 1 << 32
+    return size if size < 1 << 50 else int(df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0)
 
 
-def power_of_two(n: float, least: int, most: int) -> int:
-    out = least
-    while out < n and out < most:
-        out *= 2
-    return out
+#: Entries that a batch should have for each bucket, over 10 bytes of input each: fewer would make rows of little but overhead.
+ENTRIES_BYTES = 640
+
+
+def deal(total: int, bucket_bytes: int) -> tuple[int, float]:
+    """How many hash-range buckets an exchange between batches and buckets has, and the factor by which its batches grow.
+
+    There are as many buckets as parts of ``bucket_bytes`` in the input, without a ceiling. But a batch sends a row to each bucket,
+    so beyond some tens of GB both sides grow with the square root of the input, to where batch * bucket = 640 * total bytes:
+    at 100 TB, batches and buckets of 250 MB of input.
+    """
+    side = max(bucket_bytes, (ENTRIES_BYTES * total) ** 0.5)
+    buckets = 8
+    while buckets * side < total:
+        buckets *= 2
+    return buckets, side / bucket_bytes
 
 
 def small(df: DataFrame, rows: int, most: int) -> DataFrame:

@@ -22,14 +22,17 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import Store, connected_components, give_back, grouped, plan_bytes, power_of_two, small, text_or_empty
+from .common import Store, connected_components, deal, give_back, grouped, plan_bytes, small, text_or_empty
 
-#: Shingles in a batch of documents that is sent at once, and bytes of input for each bucket.
-BATCH, BUCKET_BYTES = 400_000, 6 << 20
+#: Shingles and documents in a batch that is sent at once, and bytes of input for each bucket; all grow with very large inputs, see ``deal``.
+BATCH, BATCH_DOCS, BUCKET_BYTES = 400_000, 60_000, 6 << 20
 ORDERS = 3
 #: Smallest-hash keys by which a class meets a leader.
 LEADERS = 4
+#: Parts of a group in which its leader is found.
+SALTS = 64
 #: Members of a group of near copies that one task compares, for groups of up to 64 times as many.
 PART = 256
 #: Ids to remove that are broadcast (8 bytes each); more are joined by a shuffle of the documents.
@@ -41,7 +44,14 @@ def _prefix(n, percent: int):
     return n - -(-n * percent // 100) + 1
 
 
-def _send(size: int, buckets: int, shingle: int):
+def _refs(docs: int):
+    """The numbers that name a batch's documents."""
+    import numpy as np
+
+    return np.uint16 if docs <= 1 << 16 else np.uint32
+
+
+def _send(size: int, docs: int, buckets: int, shingle: int):
     """Rows for the buckets from rows (doc_id, text): packed shingles, and the documents themselves."""
 
     def run(batches: Iterator) -> Iterator:
@@ -62,7 +72,7 @@ def _send(size: int, buckets: int, shingle: int):
                     own[s] = len(own)
                     kept.append(sets[i])
             toks = np.concatenate(kept) if kept else np.zeros(0, np.uint64)
-            refs = np.repeat(np.arange(len(kept), dtype=np.uint16), [len(x) for x in kept])
+            refs = np.repeat(np.arange(len(kept), dtype=_refs(docs)), [len(x) for x in kept])
             order = np.argsort(toks, kind="stable")
             toks, refs = toks[order], refs[order]
             table = np.fromiter(own, np.uint64, len(own))
@@ -73,7 +83,7 @@ def _send(size: int, buckets: int, shingle: int):
                 part = slice(cut[b], cut[b + 1])
                 if cut[b] < cut[b + 1]:
                     used, local = np.unique(refs[part], return_inverse=True)
-                    rows.append((b, pack(toks[part]), local.astype(np.uint16).tobytes(), table[used].tobytes(), sizes[used].tobytes(), None, None, None))
+                    rows.append((b, pack(toks[part]), local.astype(_refs(docs)).tobytes(), table[used].tobytes(), sizes[used].tobytes(), None, None, None))
             at = int(sigs[0] % buckets) if sigs else 0
             rows.append((at, None, None, None, None, np.array(ids, np.int64).tobytes(), np.array(sigs, np.uint64).tobytes(), np.array(ns, np.int64).tobytes()))
             for k in range(0, len(rows), 64):
@@ -90,7 +100,7 @@ def _send(size: int, buckets: int, shingle: int):
                     ns.append(len(s))
                     sigs.append(xxhash.xxh3_64_intdigest(s.tobytes(), len(s)))
                     n += len(s)
-                    if n >= size or len(ids) >= 60_000:
+                    if n >= size or len(ids) >= docs:
                         yield from flush(ids, sigs, ns, sets)
                         ids, sigs, ns, sets, n = [], [], [], [], 0
         if ids:
@@ -101,7 +111,7 @@ def _send(size: int, buckets: int, shingle: int):
     return run
 
 
-def _return(owners: int):
+def _return(owners: int, docs: int):
     """From a bucket's rows: the documents as rows, and for each owner the shingles that two or more classes have."""
 
     def run(key, rows: Iterator) -> Iterator:
@@ -120,7 +130,7 @@ def _return(owners: int):
                     none = pa.nulls(len(ids), pa.binary())
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), -1, np.int32)), pa.array(ids), pa.array(s), pa.array(n), *[none] * 5], names)
                     continue
-                own = np.frombuffer(r["refs"], np.uint16)
+                own = np.frombuffer(r["refs"], _refs(docs))
                 toks.append(unpack(r["toks"]))
                 refs.append(own.astype(np.uint32) + np.uint32(seen))
                 sigs.append(np.frombuffer(r["sigs"], np.uint64))
@@ -228,10 +238,16 @@ def _leader_links(store: Store, sets: DataFrame, percent: int) -> tuple[DataFram
     are half like the leader meet the members that do not link with it. Both sets are the leader's but for a few
     shingles, and from these differences alone the size of an intersection follows.
     """
-    rank = F.struct((1_000_000 * F.col("m") / F.col("n")).cast("long").alias("share"), F.col("common"), F.col("sig"))
-    keyed = sets.select("sig", rank.alias("rank"), F.posexplode("leaders").alias("k", "key"))
-    leader = keyed.groupBy("k", "key").agg(F.max("rank").alias("top"), F.count("*").alias("size")).where("size > 1").select("k", "key", F.col("top.sig").alias("v"))
-    pairs = keyed.join(leader, ["k", "key"]).where(F.col("sig") != F.col("v")).select(F.col("sig").alias("u"), "v").distinct()
+    # one number a class: the share of shared shingles, how common they are, and a hash against ties
+    left = lambda x, bits: F.call_function("shiftleft", x, F.lit(bits))
+    rank = left((1_000_000 * F.col("m") / F.col("n")).cast("long"), 42) + left(F.least("common", F.lit((1 << 22) - 1)), 20) + F.pmod(F.xxhash64("sig"), F.lit(1 << 20))
+    keyed = sets.select("sig", rank.alias("rank"), F.pmod(F.xxhash64(F.lit(9), "sig"), F.lit(SALTS)).alias("salt"), F.posexplode("leaders").alias("k", "key"))
+    # the best of each salted part, then of the group, which goes back to each part: no task sees a whole group
+    best = lambda v: [F.max_by(v, "rank").alias("v"), F.max("rank").alias("rank")]
+    part = keyed.groupBy("k", "key", "salt").agg(*best("sig"), F.count("*").alias("size"))
+    leader = part.groupBy("k", "key").agg(*best("v"), F.sum("size").alias("size")).where("size > 1").select("k", "key", "v")
+    leader = part.select("k", "key", "salt").join(leader, ["k", "key"])
+    pairs = keyed.join(leader, ["k", "key", "salt"]).where(F.col("sig") != F.col("v")).select(F.col("sig").alias("u"), "v").distinct()
     sizes = F.col("nu") + F.col("nv")
     differ = F.concat(F.array_except("tu", "tv"), F.array_except("tv", "tu"))
     near = _with_sets(pairs, sets).where(_similar(F.col("both"), sizes, 50))
@@ -251,23 +267,30 @@ def _leader_links(store: Store, sets: DataFrame, percent: int) -> tuple[DataFram
     return links.union(more.select("u1", "u2")).distinct(), members.select("u", "v").union(members.select("v", F.col("v").alias("w")).distinct())
 
 
-def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, batch: int = BATCH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(id, n_shingles, component_id, class_id) for each row of ``docs`` whose id is not null.
+def _meet(at: DataFrame, percent: int) -> DataFrame:
+    """(u, v, orders): the pairs of classes (sig, n, m, part, done, prefixes) whose prefixes meet, and the bits of the orders under which
+    they do. Pairs of one part, of one group in ``done``, or whose shared shingles are too few for a link are left out."""
 
-    ``component_id`` is the smallest id that a document reaches by links of Jaccard >= percent / 100, ``class_id`` the
-    smallest id with the same shingle set. A text with fewer words than a shingle is one shingle of
-    all its words; one without words, or null, has an empty set and links with nothing. Equal rows are in one
-    class; of rows that share an id with different texts each has its own class. Rows with a null id cannot be
-    named in a result and are left out. Other columns are not read; an empty table gives an empty result.
+    def under(k: int):
+        return F.transform(f"p{k}", lambda t: F.struct(F.lit(k).alias("k"), t.alias("tok")))
 
-    Shingles and classes are 64-bit hashes: two different sets are taken for one with a chance of 1 in 2^64 a pair.
-    """
-    spark = docs.sparkSession
-    store = Store(spark)
+    posts = at.select("sig", "n", "m", "part", "done", F.explode(F.concat(*map(under, range(ORDERS)))).alias("p")).select("sig", "n", "m", "part", "done", "p.k", "p.tok")
+    mixed = posts.groupBy("k", "tok").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("k", "tok")
+    posts = Store(at.sparkSession).put(posts.join(mixed, ["k", "tok"], "left_semi"))
+    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("part").alias("pu"), F.col("done").alias("du"))
+    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("part").alias("pv"), F.col("done").alias("dv"))
+    bound = (100 + percent) * F.least("mu", "mv") >= percent * (F.col("nu") + F.col("nv"))
+    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & bound & ~F.arrays_overlap("du", "dv"))
+    return meet.groupBy("u", "v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("orders"))
+
+
+def _classes(store: Store, docs: DataFrame, id_col: str, text_col: str, percent: int, shingle: int, batch: int, bucket_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, sig, n), and the classes that can link at all, see ``_assemble``."""
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    buckets = power_of_two(plan_bytes(rows) / bucket_bytes, 8, 4096)
-    sent = rows.mapInArrow(_send(batch, buckets, shingle), "bucket int, toks binary, refs binary, sigs binary, sizes binary, doc_ids binary, doc_sigs binary, doc_ns binary")
-    back = sent.groupBy("bucket").applyInArrow(_return(buckets), "owner int, doc_id long, sig long, n long, sigs binary, sizes binary, refs binary, toks binary, dfs binary")
+    buckets, factor = deal(plan_bytes(rows, "text"), bucket_bytes)
+    most = int(BATCH_DOCS * factor)
+    sent = rows.mapInArrow(_send(int(batch * factor), most, buckets, shingle), "bucket int, toks binary, refs binary, sigs binary, sizes binary, doc_ids binary, doc_sigs binary, doc_ns binary")
+    back = sent.groupBy("bucket").applyInArrow(_return(buckets, most), "owner int, doc_id long, sig long, n long, sigs binary, sizes binary, refs binary, toks binary, dfs binary")
     back = store.put(back)
     store.tidy()  # the shuffle of all shingles goes here
     classes = back.where(F.col("owner") < 0).select("doc_id", "sig", "n")
@@ -276,58 +299,117 @@ def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     sets = store.put(sets)
     classes = store.put(classes)
     store.drop(back)
+    return classes, sets
+
+
+def candidate_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, batch: int = BATCH, bucket_bytes: int = BUCKET_BYTES) -> list[int]:
+    """How many pairs of classes are candidates under the first order, under the first two, and so on: what each order removes.
+
+    All pairs that meet are counted, also within groups of near copies, so this is an audit for a corpus of moderate size.
+    """
+    store = Store(docs.sparkSession)
+    _, sets = _classes(store, docs, id_col, text_col, percent, shingle, batch, bucket_bytes)
+    pairs = _meet(sets.select("*", F.col("sig").alias("part"), F.array().cast("array<bigint>").alias("done")), percent)
+    masks = [(2 << k) - 1 for k in range(ORDERS)]
+    return list(pairs.agg(*(F.count_if(F.col("orders").bitwiseAND(m) == m) for m in masks)).first())
+
+
+def _count_shingles(shingle: int):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        from .hashing import shingle_set
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(shingle_set(t, shingle)) for t in b.column(0).to_pylist()], pa.int64())], ["n_shingles"])
 
+    return run
+
+
+def _sig(texts, shingle: int):
+    import numpy as np
+    import xxhash
+
+    from .hashing import shingle_set
+
+    sets = (shingle_set(t, shingle) for t in texts)
+    return np.array([xxhash.xxh3_64_intdigest(s.tobytes(), len(s)) for s in sets], np.uint64).view(np.int64)
+
+
+def join_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5, batch: int = BATCH, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(id, n_shingles, component_id, class_id, sig, stays) for each row of ``docs``.
+
+    ``component_id`` is the smallest id that a document reaches by links of Jaccard >= percent / 100, ``class_id`` the
+    smallest id with the same shingle set, ``sig`` names that set, and ``stays`` marks the one class of each component that a
+    deduplication keeps: that of its smallest id. A text with fewer words than a shingle is one shingle of
+    all its words; one without words, or null, has an empty set, links with nothing and stays. Equal rows are in one
+    class; of rows that share an id with different texts each has its own class. Rows with a null id cannot be
+    named by a component: they have their n_shingles, nulls and stay. Other columns are not read; an empty table gives an empty result.
+
+    Shingles and classes are 64-bit hashes: two different sets are taken for one with a chance of 1 in 2^64 a pair.
+    """
+    store = Store(docs.sparkSession)
+    classes, sets = _classes(store, docs, id_col, text_col, percent, shingle, batch, bucket_bytes)
     links, members = _leader_links(store, sets, percent)
     links, members = store.put(links), store.put(members)
     parts = store.put(connected_components(store, links))
 
     # pairs of different components, of no group that is done, whose prefixes meet under all orders
-    def under(k: int):
-        return F.transform(f"p{k}", lambda t: F.struct(F.lit(k).alias("k"), t.alias("tok")))
-
-    prefix = F.explode(F.concat(*map(under, range(ORDERS))))
     done = members.groupBy(F.col("u").alias("sig")).agg(F.collect_set("v").alias("done"))  # LEADERS + 1 at most
     at = sets.join(parts, F.col("sig") == F.col("node"), "left").join(done, "sig", "left")
     at = at.withColumn("part", F.coalesce("component", "sig")).withColumn("done", F.coalesce("done", F.array().cast("array<bigint>")))
-    posts = at.select("sig", "n", "m", "part", "done", prefix.alias("p")).select("sig", "n", "m", "part", "done", "p.k", "p.tok")
-    mixed = posts.groupBy("k", "tok").agg(F.min("part").alias("a"), F.max("part").alias("b")).where("a < b").select("k", "tok")
-    posts = store.put(posts.join(mixed, ["k", "tok"], "left_semi"))
-    a = posts.select("k", "tok", F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("part").alias("pu"), F.col("done").alias("du"))
-    b = posts.select("k", "tok", F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("part").alias("pv"), F.col("done").alias("dv"))
-    bound = (100 + percent) * F.least("mu", "mv") >= percent * (F.col("nu") + F.col("nv"))
-    meet = a.join(b, ["k", "tok"]).where((F.col("u") < F.col("v")) & (F.col("pu") != F.col("pv")) & bound & ~F.arrays_overlap("du", "dv"))
-    pairs = meet.groupBy("u", "v").agg(F.bit_or(F.call_function("shiftleft", F.lit(1), F.col("k"))).alias("orders")).where(F.col("orders") == (1 << ORDERS) - 1).select("u", "v")
+    pairs = _meet(at, percent).where(F.col("orders") == (1 << ORDERS) - 1).select("u", "v")
     more = store.put(_with_sets(pairs, sets).where(_similar(F.col("both"), F.col("nu") + F.col("nv"), percent)).select("u", "v"))
     parts = connected_components(store, links.union(more))
 
-    # the smallest id of each class and component
+    # the smallest id of each class and component; of classes with one smallest id the one that the hash puts first stays
     least = classes.groupBy("sig").agg(F.min("doc_id").alias("class_id"), F.max("n").alias("size"))
-    named = least.join(parts, F.col("sig") == F.col("node"), "left").select("sig", "class_id", F.coalesce("component", "sig").alias("part"), "size")
-    whole = named.groupBy("part").agg(F.min("class_id").alias("component_id"))
-    of = named.join(whole, "part").select("sig", "class_id", "component_id")
+    named = store.put(least.join(parts, F.col("sig") == F.col("node"), "left").select("sig", "class_id", F.coalesce("component", "sig").alias("part"), "size"))
+    whole = named.groupBy("part").agg(F.min("class_id").alias("component_id"), F.min_by("sig", F.struct("class_id", "sig")).alias("first"))
+    of = named.join(whole, "part").select("sig", "class_id", "component_id", (F.col("sig") == F.col("first")).alias("stays"))
     empty = F.col("n") == 0
-    out = classes.join(of, "sig")
-    return out.select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(empty, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(empty, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id")
+    own = lambda c: F.when(empty, F.col("doc_id")).otherwise(F.col(c))
+    out = classes.join(of, "sig").select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), own("component_id").alias("component_id"), own("class_id").alias("class_id"), "sig", (empty | (F.col("stays") & (F.col("doc_id") == F.col("class_id")))).alias("stays")
     )
+    none = F.lit(None).cast("long")
+    nameless = docs.where(F.col(id_col).isNull()).select(text_or_empty(text_col).alias("text")).mapInArrow(_count_shingles(shingle), "n_shingles long")
+    return out.unionByName(nameless.select(none.alias(id_col), "n_shingles", none.alias("component_id"), none.alias("class_id"), none.alias("sig"), F.lit(True).alias("stays")))
 
 
-def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, shingle: int = 5) -> DataFrame:
     """The rows of ``docs``, with all their columns, less all but the smallest id of each component.
 
-    Of several rows with one id one stays; rows with a null id stay, as no result names them.
+    Of equal rows one stays. Where rows share an id with different texts, each is judged by its own text. Rows with a null
+    id or without words stay, as no result names them or they are no copies; of such rows with one id and text one stays.
     """
     store = Store(docs.sparkSession)
-    out = join_near_duplicates(docs, id_col, text_col, percent)
-    of = out.groupBy(id_col).agg(F.min("component_id").alias("least"), F.count("*").alias("rows"))
-    of = store.put(of.where((F.col("least") != F.col(id_col)) | (F.col("rows") > 1)).select(F.col(id_col).alias("__id"), (F.col("least") == F.col(id_col)).alias("__stays")))
-    n, repeated = of.agg(F.count("*"), F.count_if("__stays")).first()
-    same = F.col(id_col).cast("long") == F.col("__id")
-    kept = docs.join(small(of, n, BROADCAST_IDS), same, "left_anti")
+    out = join_near_duplicates(docs, id_col, text_col, percent, shingle).where(F.col(id_col).isNotNull())
+    of = out.groupBy(id_col).agg(F.max("stays").alias("stays"), F.count("*").alias("rows"))
+    of = store.put(of.where(~F.col("stays") | (F.col("rows") > 1)).select(F.col(id_col).alias("__own_id"), F.col("stays").alias("__own_stays")))
+    n, repeated = of.agg(F.count("*"), F.count_if("__own_stays")).first()
+    # the documents as one column, so that no name of theirs can clash
+    rows = docs.select(F.struct(*docs.columns).alias("__own_doc"))
+    same = F.col("__own_doc").getField(id_col).cast("long") == F.col("__own_id")
+    back = [F.col("__own_doc").getField(c).alias(c) for c in docs.columns]
+    kept = rows.join(small(of, n, BROADCAST_IDS), same, "left_anti").select(*back)
     if not repeated:
         return kept
-    again = docs.join(small(of.where("__stays"), repeated, BROADCAST_IDS), same, "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col]))
+    # rows that share an id: the classes that stay, one row of each
+
+    def signed(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_sig(b.column(1).to_pylist(), shingle))], [*b.schema.names, "__own_sig"])
+
+    again = rows.join(small(of.where("__own_stays"), repeated, BROADCAST_IDS), same, "left_semi")
+    again = again.select("__own_doc", F.coalesce(F.col("__own_doc").getField(text_col), F.lit("")).alias("__own_text"))
+    again = again.mapInArrow(signed, StructType([*again.schema.fields, StructField("__own_sig", LongType())]))
+    staying = out.where("stays").select(F.col(id_col).alias("__own_id"), F.col("sig").alias("__own_class")).distinct()
+    again = again.join(staying, same & (F.col("__own_sig") == F.col("__own_class")), "left_semi")
+    again = again.select("*", F.col("__own_doc").getField(id_col).alias("__own_id")).dropDuplicates(["__own_id", "__own_sig"])
+    return kept.unionByName(again.select(*back))
 
 
 COLUMNS = ["doc_id", "n_shingles", "component_id"]

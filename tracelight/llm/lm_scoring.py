@@ -1,8 +1,8 @@
 """Language-model scores by deleted interpolation of bigram, unigram and uniform estimates.
 
 p(w | v) = l2 c(v w) / c(v) + l1 c(w) / N + l0 / (V + 1), where the weights l depend on the bucket of c(v)
-(its binary order of magnitude). The weights are learned by expectation-maximisation on a deleted fold of the
-training documents against counts of the other folds; the scores then use the counts of all training folds.
+(its binary order of magnitude). The weights are learned by expectation-maximisation on the bigrams of a deleted fold of the
+training documents, with their exact counts in the other folds; the scores then use the counts of all training folds.
 
 Counts never meet in one place. Documents are packed into batches (about a million tokens) that are written
 once. A batch sends its distinct words, later its distinct bigrams, as sorted hashes to hash-range buckets; a bucket adds up the
@@ -17,15 +17,17 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Store, fold, give_back, grouped, plan_bytes, power_of_two, text_or_empty
-
-#: Tokens of a batch; bytes of input for each bucket; the fold that is never learned from, and the deleted one.
-BATCH, BUCKET_BYTES, HELD_FOLD, DELETED_FOLD = 1_000_000, 6 << 20, 1, 2
-EM_ROUNDS = 40
-#: Counts enter EM in steps of 1 / STEPS of a power of two.
-STEPS = 4
-#: Bits of a word's and of a bigram's hash.
-WORD_BITS, PAIR_BITS = 64, 54
+from .common import Store, deal, fold, give_back, grouped, plan_bytes, text_or_empty
+
+#: Tokens and documents of a batch; bytes of input for each bucket (all grow with very large inputs, see ``deal``); the fold that is
+#: never learned from, and the deleted one.
+BATCH, BATCH_DOCS, BUCKET_BYTES, HELD_FOLD, DELETED_FOLD = 1_000_000, 50_000, 6 << 20, 1, 2
+#: Rounds of EM at most, the change of a weight at which it ends, and what keeps each weight above 0.
+EM_ROUNDS, EM_STOP, EM_LEAST = 40, 1e-5, 0.01
+#: Rows of counts (32 bytes each) with which the driver does EM itself; more stay a table, and only sums for each bucket come back.
+EM_ROWS = 500_000
+#: Buckets of contexts; bits of a word's and of a bigram's hash.
+CONTEXTS, WORD_BITS, PAIR_BITS = 64, 64, 64
 END, BEGIN = 0x5EED0F0E4D, 0x5EED0BE617  # hashes of the end token and of the context before the first word
 
 
@@ -43,7 +45,7 @@ def _unzip(b: bytes, kind):
     return np.frombuffer(pa.decompress(b[8:], int.from_bytes(b[:8], "little"), codec="zstd", asbytes=True), kind) if b else np.zeros(0, kind)
 
 
-def _batches(size: int):
+def _batches(size: int, most: int):
     """Rows of packed documents from rows (doc_id, fold, text)."""
 
     def run(rows: Iterator) -> Iterator:
@@ -82,7 +84,7 @@ def _batches(size: int):
                     folds.append(f)
                     docs.append(word_hashes(t))
                     n += len(docs[-1]) + 1
-                    if n >= size or len(ids) >= 50_000:
+                    if n >= size or len(ids) >= most:
                         yield flush(ids, folds, docs)
                         seq += 1
                         ids, folds, docs, n = [], [], [], 0
@@ -138,15 +140,8 @@ class _Batch:
         return np.bincount(place[self.kept], minlength=n), np.bincount(place[self.deleted], minlength=n)
 
 
-def _steps(n):
-    """A count on a scale of STEPS steps a power of two; 0 for none."""
-    import numpy as np
-
-    return np.where(n > 0, np.round(STEPS * np.log2(np.maximum(n, 1))) + 1, 0).astype(np.uint8)
-
-
 _REQUEST = "bucket int, batch long, hashes binary, kept binary, deleted binary, context binary, word binary"
-_REPLY = "batch long, bucket int, kept binary, total binary, h0 int, h1 int, h2 int, weight long, kept_sum long, total_sum long, distinct long"
+_REPLY = "batch long, bucket int, kept binary, total binary, context long, pair long, word long, weight long, kept_sum long, total_sum long, distinct long"
 
 
 def _request(batch: int, buckets: int, bits: int, hashes, kept, deleted, context, word):
@@ -161,7 +156,7 @@ def _request(batch: int, buckets: int, bits: int, hashes, kept, deleted, context
     for b in range(buckets):
         p = slice(cut[b], cut[b + 1])
         if cut[b] < cut[b + 1]:
-            rows.append((b, batch, pack(hashes[p]), *(_zip(x[p]) for x in (kept.astype(np.uint32), deleted.astype(np.uint32), context, word))))
+            rows.append((b, batch, pack(hashes[p]), *(_zip(x[p].astype(np.uint32)) for x in (kept, deleted, context, word))))
     cols = zip(*rows, strict=True)
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["bucket", "batch", "hashes", "kept", "deleted", "context", "word"])
@@ -175,7 +170,7 @@ def _send_words(buckets: int):
             for r in b.to_pylist():
                 x = _Batch(r)
                 kept, deleted = x.counts(x.tokens, len(x.vocab))
-                none = np.zeros(len(x.vocab), np.uint8)
+                none = np.zeros(len(x.vocab), np.uint32)
                 yield _request(r["batch"], buckets, WORD_BITS, x.vocab, kept, deleted, none, none)
 
     return run
@@ -192,7 +187,7 @@ def _replies(table, size: int, of: str):
     return out
 
 
-def _send_pairs(buckets: int):
+def _send_pairs(buckets: int, kept_docs: int):
     def run(left, right):
         import numpy as np
         import pyarrow as pa
@@ -200,13 +195,11 @@ def _send_pairs(buckets: int):
         out = []
         for r in left.to_pylist():
             x = _Batch(r)
-            c = _steps(np.append(_replies(right, len(x.vocab), "kept"), float((x.folds >= 0).sum())))
+            c = np.append(_replies(right, len(x.vocab), "kept"), float(kept_docs))
             h, context, word, place = x.pairs()
             kept, deleted = x.counts(place, len(h))
-            # the number of documents, which the context before the first word has, is not known here
-            c[-1] = 255
             # EM needs what stands around deleted counts only
-            out.append(_request(r["batch"], buckets, PAIR_BITS, h, kept, deleted, *(np.where(deleted > 0, c[at], np.uint8(0)) for at in (context, word))))
+            out.append(_request(r["batch"], buckets, PAIR_BITS, h, kept, deleted, *(np.where(deleted > 0, c[at], 0) for at in (context, word))))
         return pa.Table.from_batches(out)
 
     return run
@@ -236,19 +229,23 @@ def _count(with_history: bool):
             at += len(h)
             cols = [[r["batch"]], [r["bucket"]], [_zip(kept[p].astype(np.uint32)) if not with_history else None], [_zip(total[p].astype(np.uint32))]]
             kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(pa.nulls(1, pa.int32()) for _ in range(3)), *(pa.nulls(1, pa.int64()) for _ in range(4))], names)
-        context, word = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
-        for to, k in ((context, "context"), (word, "word")):
-            steps = np.concatenate([_unzip(r[k], np.uint8) for r in asked])
-            to[place[steps > 0]] = steps[steps > 0]  # a pair has the same in every batch with deleted counts of it
-        seen = deleted > 0 if with_history else np.zeros(len(first), bool)
-        code, back = np.unique(np.stack([context[seen], _steps(kept[seen]).astype(np.int64), word[seen]]), axis=1, return_inverse=True)
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, k) for c, k in zip(cols, kinds, strict=True)), *(pa.nulls(1, pa.int64()) for _ in range(7))], names)
+        seen = np.flatnonzero(deleted) if with_history else np.zeros(0, np.int64)
+        around = []
+        for k in ("context", "word"):
+            of = np.concatenate([_unzip(r[k], np.uint32) for r in asked])
+            to = np.zeros(len(first), np.uint32)
+            to[place[of > 0]] = of[of > 0]  # a pair has the same in every batch with deleted counts of it
+            around.append(to[seen].astype(np.int64))
+        code, back = np.unique(np.stack([around[0], kept[seen], around[1]]), axis=1, return_inverse=True)
         weight = np.bincount(back.ravel(), deleted[seen], code.shape[1]).astype(np.int64)
-        n = code.shape[1] + 1
-        h = [pa.array([*code[k].tolist(), None], pa.int32()) for k in range(3)]
-        sums = [pa.array([*[None] * (n - 1), int(s)], pa.int64()) for s in (kept.sum(), total.sum(), (total > 0).sum())]
-        yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *h, pa.array([*weight.tolist(), None], pa.int64()), *sums], names)
-        del asked, hashes, where, first, place, kept, deleted, total, context, word, code, back
+        for k in range(0, code.shape[1], 50_000):
+            h = [pa.array(x[k : k + 50_000]) for x in (*code, weight)]
+            n = len(h[0])
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), *h, *(pa.nulls(n, pa.int64()) for _ in range(3))], names)
+        sums = [pa.array([int(s)], pa.int64()) for s in (kept.sum(), total.sum(), (total > 0).sum())]
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary()), *(pa.nulls(1, pa.int64()) for _ in range(4)), *sums], names)
+        del asked, hashes, where, first, place, kept, deleted, total, around, code, back
         give_back()
 
     return grouped(run)
@@ -261,30 +258,49 @@ def bucket_of(count):
     return np.where(count > 0, np.floor(np.log2(np.maximum(count, 1))) + 1, 0).astype(int)
 
 
-def learn_weights(history, n_kept: float, distinct: int, first_context: float, rounds: int = EM_ROUNDS):
-    """The weights (l2, l1, l0) of each bucket by EM on deleted counts: rows (context, pair, word steps, weight)."""
+def learn_weights(history: DataFrame, n_kept: float, distinct: int, rounds: int = EM_ROUNDS, driver_rows: int = EM_ROWS):
+    """The weights (l2, l1, l0) of each context bucket by EM on rows (context, pair, word, weight): how often bigrams with these
+    counts occur in the deleted fold. A bucket without such rows takes the weights of the nearest below that has some, else above."""
     import numpy as np
 
-    out = np.tile([0.0, 0.0, 1.0], (64, 1))
-    if not len(history) or not n_kept:
+    out = np.tile([0.0, 0.0, 1.0], (CONTEXTS, 1))
+    if not n_kept:
         return out
-    context, pair, word, weight = np.array(history, float).T
-    back = lambda s: np.where(s > 0, 2.0 ** ((s - 1) / STEPS), 0.0)
-    count = np.where(context == 255, first_context, back(context))
-    p = np.stack([np.divide(back(pair), count, out=np.zeros(len(count)), where=count > 0).clip(0, 1), back(word) / n_kept, np.full(len(count), 1 / (distinct + 1))])
-    of = bucket_of(np.round(count, 6))
-
-    def em(sel):
-        w = np.full(3, 1 / 3)
-        for _ in range(rounds):
-            mixed = w[:, None] * p[:, sel]
-            share = (mixed / mixed.sum(0)) @ weight[sel] + 0.01  # never quite 0
-            w = share / share.sum()
-        return w
-
-    pooled = em(np.ones(len(count), bool))
-    for b in range(len(out)):
-        out[b] = em(of == b) if (of == b).any() else pooled
+    some = np.zeros(CONTEXTS, bool)
+    weights = np.full((CONTEXTS, 3), 1 / 3)
+    rare = 1 / (distinct + 1)
+    local = history.limit(driver_rows + 1).count() <= driver_rows
+    if local:
+        t = history.select("context", "pair", "word", "weight").toArrow()
+        context, pair, word, weight = (t[c].to_numpy().astype(float) for c in t.column_names)
+        of = bucket_of(context)
+        p = np.stack([np.divide(pair, context, out=np.zeros(len(context)), where=context > 0), word / n_kept, np.full(len(context), rare)])
+    else:
+        chance = F.when(F.col("context") > 0, F.col("pair") / F.col("context")).otherwise(0.0)
+        magnitude = F.when(F.col("context") > 0, F.length(F.bin("context"))).otherwise(0)
+        table = history.select(magnitude.alias("of"), chance.alias("p2"), (F.col("word") / F.lit(float(n_kept))).alias("p1"), F.col("weight").cast("double").alias("weight"))
+    for _ in range(rounds):
+        if local:
+            mixed = weights[of].T * p
+            mixed *= weight / mixed.sum(0)
+            sums = np.stack([np.bincount(of, m, CONTEXTS) for m in mixed], axis=1)
+        else:
+            at = [F.get(F.array(*map(F.lit, weights[:, k].tolist())), F.col("of")) for k in range(3)]
+            parts = [at[0] * F.col("p2"), at[1] * F.col("p1"), at[2] * F.lit(rare)]
+            scale = F.col("weight") / (parts[0] + parts[1] + parts[2])
+            sums = np.zeros((CONTEXTS, 3))
+            for r in table.groupBy("of").agg(*(F.sum(x * scale).alias(f"s{k}") for k, x in enumerate(parts))).collect():  # a row a bucket
+                sums[r["of"]] = r["s0"], r["s1"], r["s2"]
+        some = sums.sum(1) > 0
+        if not some.any():
+            return out
+        new = (sums + EM_LEAST) / (sums + EM_LEAST).sum(1, keepdims=True)
+        moved = np.abs(new - weights)[some].max()
+        weights = new
+        if moved < EM_STOP:
+            break
+    known = np.flatnonzero(some)
+    out = weights[[known[known <= b][-1] if (known <= b).any() else known[0] for b in range(CONTEXTS)]]
     out[0, 0] = 0  # an unseen context says nothing
     return out / out.sum(1, keepdims=True)
 
@@ -321,24 +337,24 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null or empty text is one end token. Null ids and repeated rows stay (a null id is in the fold of the
     empty text). Without training documents N = V = 0 and every token has probability 1 / (V + 1). Other columns are not read; an
-    empty table gives an empty result. Words are 64-bit hashes, bigrams 54-bit ones.
+    empty table gives an empty result. Words and bigrams are 64-bit hashes.
     """
     spark = docs.sparkSession
     store = Store(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), fold(F.col(id_col)).cast("int").alias("fold"), text_or_empty(text_col).alias("text"))
-    buckets = power_of_two(plan_bytes(rows) / bucket_bytes, 8, 4096)
-    packed = store.put(rows.mapInArrow(_batches(batch), "batch long, doc_ids array<long>, folds binary, lens binary, vocab binary, counts binary, tokens binary"))
+    buckets, factor = deal(plan_bytes(rows, "text"), bucket_bytes)
+    packed = store.put(rows.mapInArrow(_batches(int(batch * factor), int(BATCH_DOCS * factor)), "batch long, doc_ids array<long>, folds binary, lens binary, vocab binary, counts binary, tokens binary"))
     words = store.put(packed.mapInArrow(_send_words(buckets), _REQUEST).groupBy("bucket").applyInArrow(_count(False), _REPLY))
     n = words.agg(F.sum("kept_sum"), F.sum("total_sum"), F.sum("distinct")).first()
     n_kept, n_total, distinct = (x or 0 for x in n)
     learned = rows.where(F.col("fold") != HELD_FOLD).agg(F.count("*"), F.count(F.when(F.col("fold") != DELETED_FOLD, 1))).first()
     store.tidy()
     answers = words.where("batch >= 0")
-    asked = packed.groupBy("batch").cogroup(answers.select("batch", "bucket", "kept").groupBy("batch")).applyInArrow(_send_pairs(buckets), _REQUEST)
+    asked = packed.groupBy("batch").cogroup(answers.select("batch", "bucket", "kept").groupBy("batch")).applyInArrow(_send_pairs(buckets, learned[1]), _REQUEST)
     pairs = store.put(asked.groupBy("bucket").applyInArrow(_count(True), _REPLY))
     store.tidy()
-    history = pairs.where("batch < 0 AND weight IS NOT NULL").groupBy("h0", "h1", "h2").agg(F.sum("weight").alias("w")).collect()  # 256 values each at most
-    weights = learn_weights([tuple(r) for r in history], n_kept, distinct, learned[1])
+    history = store.put(pairs.where("batch < 0 AND weight IS NOT NULL").groupBy("context", "pair", "word").agg(F.sum("weight").alias("weight")))
+    weights = learn_weights(history, n_kept, distinct)
     replies = answers.select("batch", "bucket", "total", F.lit(1).alias("kind")).union(pairs.where("batch >= 0").select("batch", "bucket", "total", F.lit(2).alias("kind")))
     out = packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInArrow(_score(weights, float(n_total), distinct, float(learned[0])), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(
