@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import Store, connected_components, give_back, grouped, small
 
-#: Nodes that a shard should have (twice as many at most), out-degree, pruning factor, search beam.
-SHARD, DEGREE, ALPHA, BEAM = 600, 20, 1.2, 16
+#: Nodes of a shard at most (a split aims at half), out-degree, pruning factor, search beam.
+SHARD, DEGREE, ALPHA, BEAM = 800, 20, 1.2, 16
 #: Members of a cell that its centres are fitted on at most, drawn by a hash; parts of one split. Every vector is indexed.
 SAMPLE, PARTS = 4_000, 64
 #: Rows of a cell that one task deals to its parts, or that search it from outside.
@@ -61,7 +61,7 @@ def _fit(shard: int, parts: int):
 
         t = pa.Table.from_batches(list(rows)).sort_by("node")
         x, size = _unit(_matrix(t["vec"])), t["size"][0].as_py()
-        k = min(max(2, round(size / shard)), parts, max(2, len(x) // 4))
+        k = min(max(2, -(-4 * size // shard)), parts, max(2, len(x) // 4))  # each part gets its node and a neighbour's
         centre = x[np.random.default_rng(size).permutation(len(x))[:k]]
         for _ in range(5):
             nearest = (x @ centre.T).argmax(1)
@@ -104,14 +104,14 @@ def _salts(size: str) -> Column:
 
 
 def _shards(store: Store, nodes: DataFrame, shard: int, sample: int) -> DataFrame:
-    """(cell, node, home, copies, vec): the nodes (node, label, copies, vec) in cells of 2 * ``shard`` members at most.
+    """(cell, node, home, copies, vec): the nodes (node, label, copies, vec) in cells of ``shard`` members at most.
 
     The name of a cell is the path of its splits, the length of the vectors and the label.
     """
     cells = nodes.select(F.concat(F.size("vec").cast("string"), F.lit("/"), "label").alias("cell"), "node", F.lit(True).alias("home"), "copies", "vec")
     done = []
     while True:
-        sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > 2 * shard))
+        sizes = store.put(cells.groupBy("cell").agg(F.count("*").alias("size")).where(F.col("size") > shard))
         n = sizes.count()
         if not n:
             done.append(cells)
