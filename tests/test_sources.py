@@ -26,7 +26,12 @@ def test_native_labels(make):
 
 def test_label_in_text():
     assert C.find_label(b'xx "AIGC": {"Label": "a}\\"b", "x": {"y": 1}} yy') == {"Label": 'a}"b', "x": '{"y": 1}'}
-    assert C.find_label(b'<TC260:AIGC>{&quot;Label&quot;: &quot;1&quot;}') == {"Label": "1"}
+    assert C.find_label(b'<TC260:AIGC>{&quot;Label&quot;: &quot;1&quot;}</TC260:AIGC>') == {"Label": "1"}
+    # the label's own XMP property may hold any object, with any entity, and decides
+    assert C.find_label(b'x TC260:AIGC = "{&#34;other&#34;: &quot;a&amp;b&quot;}" "AIGC": {"Label": "2"}') == {"other": "a&b"}
+    assert C.find_label(b'<TC260:AIGC>no json</TC260:AIGC> "AIGC": {"Label": "2"}') is None
+    assert C.find_label(b'<TC260:AIGC>{&quot;Label&quot;: &quot;1&quot;}') is None
+    assert C.find_label('é AIGC{"Label": "中"}'.encode()) == {"Label": "中"}
     assert C.find_label(b'"AIGC": {"other": 1}') is None and C.find_label(b'"AIGC": {"Label": ') is None
 
 
@@ -169,3 +174,115 @@ def test_forensic_records(spark, folder):
     got = {r.path.rsplit("/", 1)[1]: r for r in forensic_records(read_media(spark, folder)).collect()}
     assert [p.name for p in got["sd.png"].parts] == ["IHDR", "tEXt", "IDAT", "IEND"] and got["sd.png"].texts[0].k == "parameters"
     assert got["grok.jpg"].container == "jpeg" and got["grok.jpg"].tags[0].k == "ImageDescription" and len(got["noise.jpg"].sha256) == 64
+
+
+def test_large_files_are_not_lost(spark, folder, tmp_path):
+    """Above the bound, files come as windows with what they carry; a store that cannot be opened gives a row with an issue."""
+    from tracelight.sources import media
+
+    (tmp_path / "long.mp4").write_bytes(m.mp4())
+    (tmp_path / "late.png").write_bytes(m.png(before=m.text("parameters", "a cat")) + b"x" * 5000)
+    (tmp_path / "small.png").write_bytes(m.png(before=m.text("hf-job-id", "j")))
+    small = len(m.png(before=m.text("hf-job-id", "j")))
+    got = {r.path.rsplit("/", 1)[1]: r for r in media.media_records(spark, str(tmp_path), None, most_bytes=small).collect()}
+    assert set(got) == {"long.mp4", "late.png", "small.png"}
+    assert (got["small.png"].status, got["late.png"].status, got["long.mp4"].status) == ("complete", "windowed", "windowed")
+    assert got["long.mp4"].container == "isobmff" and dict(got["long.mp4"].label) == json.loads(m.LABEL)
+    assert {r.path.rsplit("/", 1)[1]: [s.name for s in r.signals] for r in identify(evidence_of(media.media_records(spark, str(tmp_path), None, most_bytes=small))).collect()}["late.png"] == ["gen_params"]
+
+
+def test_windows():
+    import io
+
+    from tracelight.sources.media import read_windows
+
+    data = m.mp4()
+    kept = read_windows(io.BytesIO(data), len(data))
+    assert b"mdat" not in kept and C.find_label(b"", C.label_payloads(kept)) == json.loads(m.LABEL)
+    assert read_windows(io.BytesIO(b"a" * 50 + b"b" * 50), 100, 30, 20) == b"a" * 30 + b"b" * 20
+    assert read_windows(io.BytesIO(b"abc"), 3, 30, 20) == b"abc"
+    assert read_windows(io.BytesIO(data[:20]), 20)
+
+
+def test_jpeg_tables_and_scans():
+    dht = m.segment(0xC4, b"\x10" + bytes([1, 1] + [0] * 14) + b"ab")
+    scan = b"\xff\xda" + (8).to_bytes(2, "big") + b"\x01\x01\x00\x00\x3f\x10" + b"\x12\xff\x00\x34"
+    data = b"\xff\xd8" + dht + scan + scan + b"\xff\xd9"
+    s = C.jpeg_structure(data)
+    assert s["huffman"] == [{"id": 16, "counts": [1, 1] + [0] * 14}]
+    assert s["scans"] == [{"components": 1, "first": 0, "last": 63, "high": 1, "low": 0}] * 2
+
+
+def test_flatten(spark):
+    import base64
+
+    from tracelight.sources.external import flatten, flatten_records
+
+    record = {"exif": {"Software": "x", "n": 3, "none": None}, "c2pa_base64": base64.b64encode(b"jumb c2pa").decode() + "...TRUNCATED 99", "name": {"deep": "left out"}, "list": ["hex:6162", {"k": "hex:zz"}], "bad_base64": "*"}
+    pairs, scan = flatten(record)
+    assert [k for k, _ in pairs] == ["exif", "Software", "n", "none", "c2pa_base64", "name", "list", "k", "bad_base64"]
+    assert dict(pairs)["Software"] == "x" and dict(pairs)["n"] == "3" and dict(pairs)["none"] is None
+    assert scan == b"x\n3\njumb c2pa\nab\nhex:zz\n*"
+    rows = spark.createDataFrame([("a", json.dumps(record)), ("b", "{"), ("c", None), ("d", "[" * 100_000)], "path string, record string")
+    got = {r.path: r for r in flatten_records(rows).collect()}
+    assert bytes(got["a"].scan) == scan and got["a"].issue is None and all(got[k].issue and not got[k].pairs for k in "bcd")
+
+
+def store(active="a", failures=(), successes=("assertion.dataHash.match", "claimSignature.validated", "claimSignature.insideValidity", "signingCredential.trusted"), **more):
+    code = lambda cs: [{"code": c} for c in cs]
+    made = {"claim_generator": "ChatGPT", "signature_info": {"issuer": "OpenAI OpCo", "time": "2025-01-01"}, "assertions": [{"label": "c2pa.actions.v2", "data": {"actions": [{"action": "c2pa.created", "digitalSourceType": "http://cv.iptc.org/newscodes/digitalsourcetype/trainedAlgorithmicMedia", "softwareAgent": {"name": "GPT-4o"}}]}}]}
+    return {"active_manifest": active, "manifests": {"a": made}, "validation_results": {"activeManifest": {"success": code(successes), "failure": code(failures)}}} | more
+
+
+def test_credentials_from_stores(spark):
+    from tracelight.operators.credentials import credentials, with_credentials
+
+    chained = store()
+    chained["manifests"] = {
+        "a": {"claim_generator": "Editor 1", "ingredients": [{"active_manifest": "b"}, {"active_manifest": "bad", "validation_status": [{"code": "assertion.dataHash.mismatch"}]}, {"active_manifest": "a"}, {"title": "none"}]},
+        "b": {"claim_generator_info": [{"name": "DALL-E"}], "signature_info": {"common_name": "Google"}, "ingredients": [{"active_manifest": "c"}, {"active_manifest": "a"}], "assertions": [{"label": "c2pa.soft-binding", "data": {"alg": "com.digimarc.1"}}]},
+        "c": {"signature_info": {"issuer": "Adobe"}, "assertions": [{"label": "c2pa.actions", "data": {"actions": [{"action": "c2pa.watermarked.bound", "digitalSourceType": "compositeWithTrainedAlgorithmicMedia", "softwareAgent": "Photoshop"}, {"action": "other"}]}}]},
+        "bad": {"claim_generator": "Firefly", "signature_info": {"issuer": "Truepic"}},
+    }
+    stores = {
+        "verified": store(), "broken": store(failures=("claimSignature.mismatch", "x")), "old": {"active_manifest": "a", "manifests": {"a": {}}, "validation_status": [{"code": "assertion.bmffHash.mismatch"}]},
+        "chain": chained, "error": {"error": "no"}, "odd": {"active_manifest": 3, "manifests": {"a": []}, "validation_results": {"activeManifest": {"failure": ["x"]}}}, "list": [1], "outside": store(failures=("claimSignature.outsideValidity",)),
+    }
+    rows = spark.createDataFrame([(k, json.dumps(v)) for k, v in stores.items()] + [("text", "{{"), ("null", None)], "path string, store string")
+    got = {r.path: r for r in credentials(rows).collect()}
+    v = got["verified"].c2pa
+    assert (v.issuer, v.claim_generator, v.ai_tool, v.ai_source_kind, v.identity_ai) == ("OpenAI", "ChatGPT", "ChatGPT, GPT-4o", "generated", True)
+    assert (v.integrity, v.signature, v.signer_trust, v.signer_validity) == ("valid", "valid", "trusted", "valid")
+    assert got["verified"].actions == "created" and got["verified"].time == "2025-01-01" and got["verified"].synthid is None  # its vendor needs a watermark action
+    assert got["broken"].c2pa.signature == "invalid" and got["broken"].c2pa.codes[-2:] == ["claimSignature.mismatch", "x"]
+    assert got["outside"].c2pa.signature == "invalid"
+    assert got["old"].c2pa.integrity == "invalid" and got["old"].c2pa.issuer is None
+    c = got["chain"].c2pa
+    assert (c.issuer, c.claim_generator, c.ai_tool, c.ai_source_kind, c.source_type) == ("Google LLC, Adobe", "Editor 1", "DALL-E", "enhanced", "compositeWithTrainedAlgorithmicMedia (AI-enhanced)")
+    assert (got["chain"].actions, got["chain"].soft_binding, got["chain"].synthid, got["chain"].watermarked) == ("watermarked.bound, other", "Digimarc", "Google LLC", True)
+    assert all(got[k].c2pa is None for k in ("error", "list", "text", "null"))
+
+    # verdicts of files with such stores: verified, invalid and unverified
+    empty = spark.createDataFrame([], "path string")
+    from tracelight.operators.verdict import EVIDENCE
+
+    kinds = spark.createDataFrame([], EVIDENCE).schema
+    blank = spark.createDataFrame([(k,) for k in ("verified", "broken", "chain", "none")], empty.schema).select("path", *(F.lit(None).cast(f.dataType).alias(f.name) for f in kinds if f.name != "path"))
+    said = {r.path: r for r in identify(with_credentials(blank, rows)).collect()}
+    assert (said["verified"].is_ai_generated, said["verified"].confidence, said["verified"].platform, said["verified"].ai_source_kind) == (True, "high", "OpenAI (ChatGPT / gpt-image / DALL-E / Sora)", "generated")
+    assert said["broken"].is_ai_generated is None and said["broken"].confidence == "none" and "claimSignature.mismatch" in said["broken"].integrity_clashes[0]
+    assert said["chain"].is_ai_generated and "SynthID watermark (Google LLC)" in said["chain"].watermarks and said["none"].signals == []
+
+
+def test_app_evidence(spark):
+    from tracelight.operators.credentials import app_evidence, is_ai_value
+    from tracelight.sources.media import GENERATOR_TOKENS
+
+    cases = {
+        '{"product":"doubao"}': ("ByteDance Doubao", None), r'{\"Product\": \"Dreamina\", \"exportType\":\"generation\"}': ("ByteDance Dreamina", "ByteDance Dreamina"),
+        '{"product":"aweme","aigc_info":{"aigc_type":1}}': (None, "ByteDance Aweme AI"), '{"product":"aweme","aigc_info":{"aigc_type":12}}': (None, None),
+        '{"aigc_info":{"aigc_label_type": 2}}': (None, "Embedded app AIGC disclosure"), '{"aigc_label_type":2}': (None, None), "plain": (None, None), None: (None, None),
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", app_evidence(F.col("t")).alias("e"), is_ai_value(F.col("t"), GENERATOR_TOKENS).alias("ai")).collect()
+    assert {r.t: (r.e.provenance, r.e.generator) for r in rows} == cases
+    assert all(r.ai == any(cases[r.t]) for r in rows)

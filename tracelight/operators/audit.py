@@ -58,17 +58,20 @@ def verdict_changes(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 
 
 def near_hashes(df: DataFrame, key: str, code: str, width: int = 48, most: int = 3) -> DataFrame:
-    """(a, b, distance): pairs of rows whose hashes of ``width`` bits differ in ``most`` bits at most.
+    """(a, b, distance): rows whose hashes of ``width`` bits differ in ``most`` bits at most.
 
-    Of most + 1 bands of the bits one must be equal, so pairs come from an equi-join on (band, value) instead of
-    all pairs. Equal hashes are one row with their least key, so exact copies make no pairs among themselves.
+    The least key of each hash stands for its rows: pairs of such keys with their distance, and each other key with the
+    one that stands for it, at distance 0. So no link between different hashes is lost, and copies make no pairs among themselves.
+    Of most + 2 bands of the bits two must be equal, so pairs come from an equi-join on two bands together instead of all pairs.
     """
-    bands = most + 1
-    step = -(-width // bands)
-    rows = df.where(F.col(code).isNotNull()).groupBy(F.col(code).alias("code")).agg(F.min(key).alias("key"))
-    band = [F.struct(F.lit(i).alias("i"), F.shiftright(F.col("code"), i * step).bitwiseAND((1 << step) - 1).alias("v")) for i in range(bands)]
-    cut = rows.select("key", "code", F.explode(F.array(*band)).alias("band")).select("key", "code", "band.i", "band.v")
-    other = cut.select(F.col("key").alias("key2"), F.col("code").alias("code2"), "i", "v")
+    known = df.where(F.col(code).isNotNull()).select(F.col(key).alias("key"), F.col(code).alias("code"))
+    rows = known.groupBy("code").agg(F.min("key").alias("least"))
+    copies = known.join(rows, "code").where(F.col("key") > F.col("least")).select(F.col("least").alias("a"), F.col("key").alias("b"), F.lit(0).alias("distance")).distinct()
+    step = -(-width // (most + 2))
+    band = [F.shiftright("code", i * step).bitwiseAND((1 << step) - 1) for i in range(most + 2)]
+    two = [F.struct(F.lit(i * width + j).alias("i"), (F.shiftleft(band[i], step) + band[j]).alias("v")) for i in range(most + 2) for j in range(i)]
+    cut = rows.select("least", "code", F.explode(F.array(*two)).alias("band")).select("least", "code", "band.i", "band.v")
+    other = cut.select(F.col("least").alias("key2"), F.col("code").alias("code2"), "i", "v")
     distance = F.bit_count(F.col("code").bitwiseXOR(F.col("code2")))
-    near = cut.join(other, ["i", "v"]).where((F.col("key") < F.col("key2")) & (distance <= most))
-    return near.select(F.col("key").alias("a"), F.col("key2").alias("b"), distance.alias("distance")).distinct()
+    near = cut.join(other, ["i", "v"]).where((F.col("least") < F.col("key2")) & (distance <= most))
+    return near.select(F.col("least").alias("a"), F.col("key2").alias("b"), distance.alias("distance")).distinct().unionByName(copies)

@@ -58,14 +58,32 @@ def credential_level(c2pa: Column) -> Column:
     return F.when(bad, F.lit("invalid")).when(good, F.lit("verified")).otherwise(F.lit("unverified"))
 
 
+# Parts of codes that fail a content binding, codes that match one, and codes that fail a signature.
+BINDING_FAILURES = (
+    "Hash.incorrectFileCount", "Hash.malformed", "Hash.mismatch", "Hash.missingPart", "assertion.hashedURI.mismatch", "claim.hardBindings.missing", "hashedUri.mismatch", "ingredient.manifest.mismatch",
+)
+BINDING_MATCHES = ("assertion.dataHash.match", "assertion.bmffHash.match", "assertion.boxesHash.match", "assertion.collectionHash.match", "assertion.multiAssetHash.match")
+SIGNATURE_FAILURES = ("claimSignature.mismatch", "claimSignature.missing", "claimSignature.outsideValidity")
+
+
+def _any_code(codes: Column, test) -> Column:
+    return F.exists(F.coalesce(codes, F.array().cast("array<string>")), test)
+
+
+def binding_failed(failures: Column) -> Column:
+    return _any_code(failures, lambda c: contains_any(c, BINDING_FAILURES))
+
+
+def signature_failed(failures: Column) -> Column:
+    return _any_code(failures, lambda c: c.isin(*SIGNATURE_FAILURES))
+
+
 def validation_states(successes: Column, failures: Column) -> Column:
     """struct<integrity, signature, signer_trust, signer_validity> from lists of validation status codes."""
-    any_of = lambda codes, test: F.exists(F.coalesce(codes, F.array().cast("array<string>")), test)
-    among = lambda codes, *names: any_of(codes, lambda c: c.isin(*names))
-    binding = lambda c: c.rlike(r"(dataHash|bmffHash|boxesHash|collectionHash)\.mismatch")
-    matched = lambda c: c.rlike(r"(dataHash|bmffHash|boxesHash|collectionHash)\.match$")
-    integrity = F.when(any_of(failures, binding), "invalid").when(any_of(successes, matched), "valid").otherwise("unknown")
-    signature = F.when(among(failures, "claimSignature.mismatch", "claimSignature.missing"), "invalid").when(among(successes, "claimSignature.validated"), "valid").otherwise("unknown")
+    among = lambda codes, *names: _any_code(codes, lambda c: c.isin(*names))
+    matched = _any_code(successes, lambda c: reduce(lambda a, b: a | b, (F.endswith(c, F.lit(m)) for m in BINDING_MATCHES)))
+    integrity = F.when(binding_failed(failures), "invalid").when(matched, "valid").otherwise("unknown")
+    signature = F.when(signature_failed(failures), "invalid").when(among(successes, "claimSignature.validated"), "valid").otherwise("unknown")
     trust = F.when(among(successes, "signingCredential.trusted"), "trusted").when(among(failures, "signingCredential.untrusted"), "untrusted").otherwise("unknown")
     validity = (
         F.when(among(failures, "signingCredential.invalid", "signingCredential.ocsp.revoked"), "invalid")
@@ -76,9 +94,9 @@ def validation_states(successes: Column, failures: Column) -> Column:
     return F.struct(integrity.alias("integrity"), signature.alias("signature"), trust.alias("signer_trust"), validity.alias("signer_validity"))
 
 
-def synthid_vendors(region: Column) -> Column:
-    """Sorted organisations whose provenance implies SynthID; some need an explicit watermark action."""
-    action = has(region, "c2pa.watermarked", True)
+def synthid_vendors(region: Column, action: Column | None = None) -> Column:
+    """Sorted organisations whose provenance implies SynthID; some need an explicit watermark action, by default one in the bytes."""
+    action = has(region, "c2pa.watermarked", True) if action is None else action
     found = [F.when(has(region, x[0], True) & (action if x[5] else F.lit(True)), F.lit(x[1])) for x in R.ISSUERS if x[4]]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 
@@ -291,12 +309,10 @@ def manifest_chain(edges: DataFrame, roots: DataFrame, depth: int = 16) -> DataF
     good = edges.where("valid").select("store", F.col("parent").alias("manifest"), "child")
     for d in range(1, depth + 1):
         step = frontier.join(good, ["store", "manifest"]).select("store", F.col("child").alias("manifest")).distinct()
-        frontier = step.join(reached, ["store", "manifest"], "left_anti").withColumn("depth", F.lit(d))
+        frontier = step.join(reached, ["store", "manifest"], "left_anti").withColumn("depth", F.lit(d)).checkpoint()
+        if frontier.isEmpty():
+            break
         reached = reached.unionByName(frontier)
-        if d % 4 == 0:  # keep the plan short; stop when a level is empty
-            reached, frontier = reached.checkpoint(), frontier.checkpoint()
-            if frontier.isEmpty():
-                break
     return reached
 
 

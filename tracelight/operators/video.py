@@ -5,7 +5,6 @@ A video's confidence is high or unknown: no local decoder can rule marks out, so
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,29 +65,31 @@ def pooled_psnr(frames: DataFrame, key: str) -> DataFrame:
 
 
 def merge_words(words: DataFrame, keys: list[str], least_overlap: float = 0.45, floor: float = 24, factor: float = 3) -> DataFrame:
-    """Word boxes (x1, y1, x2, y2) of each group merged into line boxes: a box joins the line that it overlaps most in
-    height and that is near enough; lines grow, so it is a fold."""
-
-    def overlap(a, b) -> float:
-        return max(0, min(a[3], b[3]) - max(a[1], b[1])) / max(1, min(a[3] - a[1], b[3] - b[1]))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = lambda b: ((b[1] + b[3]) / 2, b[0])
-        lines: list[list] = []
-        for b in sorted(pdf[["x1", "y1", "x2", "y2"]].to_numpy().tolist(), key=place):
-            fits = []
-            for line in lines:
-                gap = max(0, max(b[0], line[0]) - min(b[2], line[2]))
-                if overlap(b, line) >= least_overlap and gap <= max(floor, factor * min(b[3] - b[1], line[3] - line[1])):
-                    fits.append(line)
-            if fits:
-                line = max(fits, key=lambda x: overlap(b, x))
-                line[:] = [min(line[0], b[0]), min(line[1], b[1]), max(line[2], b[2]), max(line[3], b[3])]
-            else:
-                lines.append(b)
-        lines.sort(key=place)
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(lines) for k in keys}, "line": range(len(lines)), **{c: [x[i] for x in lines] for i, c in enumerate(("x1", "y1", "x2", "y2"))}})
-
-    kinds = dict(words.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "line int", *(f"{c} {kinds[c]}" for c in ("x1", "y1", "x2", "y2"))])
-    return words.groupBy(*keys).applyInPandas(fold, schema)
+    """Word boxes (x1, y1, x2, y2) of each group merged into line boxes (keys, line, x1, y1, x2, y2).
+
+    A box joins the line that it overlaps most in height and that is near enough, the first of equals; lines grow as they
+    take boxes, so the rule is a fold: over the array of a group's boxes in reading order, with the array of lines as its state.
+    """
+    names = ("x1", "y1", "x2", "y2")
+    box = F.struct(*names)
+    order = F.struct(((F.col("y1") + F.col("y2")) / 2).alias("middle"), F.col("x1").alias("left"), box.alias("box"))
+
+    def share(a: Column, b: Column) -> Column:
+        both = F.least(a["y2"], b["y2"]) - F.greatest(a["y1"], b["y1"])
+        return F.greatest(F.lit(0), both) / F.greatest(F.lit(1), F.least(a["y2"] - a["y1"], b["y2"] - b["y1"]))
+
+    def near(a: Column, b: Column) -> Column:
+        gap = F.greatest(a["x1"], b["x1"]) - F.least(a["x2"], b["x2"])
+        return gap <= F.greatest(F.lit(floor), factor * F.least(a["y2"] - a["y1"], b["y2"] - b["y1"]))
+
+    def take(lines: Column, word: Column) -> Column:
+        fits = F.transform(lines, lambda x, i: F.when((share(x, word) >= least_overlap) & near(x, word), F.struct(share(x, word).alias("share"), (-i).alias("turn"))))
+        grown = lambda x: F.struct(*((F.least if n[1] == "1" else F.greatest)(x[n], word[n]).alias(n) for n in names))
+        best = F.array_max(fits)
+        return F.when(best.isNull(), F.concat(lines, F.array(word))).otherwise(F.transform(lines, lambda x, i: F.when(i == -best["turn"], grown(x)).otherwise(x)))
+
+    kind = f"array<struct<{','.join(f'{n}:{dict(words.dtypes)[n]}' for n in names)}>>"
+    folded = words.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(order)), lambda o: o["box"]).alias("boxes"))
+    folded = folded.select(*keys, F.aggregate("boxes", F.array().cast(kind), take).alias("lines"))
+    ranked = F.array_sort(F.transform("lines", lambda x: F.struct(((x["y1"] + x["y2"]) / 2).alias("middle"), x["x1"].alias("left"), x.alias("box"))))
+    return folded.select(*keys, F.posexplode(ranked).alias("line", "o")).select(*keys, "line", *(F.col(f"o.box.{n}").alias(n) for n in names))

@@ -136,14 +136,13 @@ def validation_state_codes(spark, sf):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT p_partkey AS parent, p_partkey * 2 % 97 AS child, p_partkey % 3 <> 0 AS valid FROM part WHERE p_partkey < 97),
+WITH RECURSIVE e AS (SELECT p_partkey AS parent, p_partkey * 7 % 997 AS child, p_partkey % 11 <> 0 AS valid FROM part),
 r AS (SELECT 5::BIGINT AS manifest, 0 AS depth UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.manifest AND e.valid WHERE r.depth < 16)
 SELECT 1 AS store, manifest, min(depth)::INT AS depth FROM r GROUP BY manifest
 """)
 def manifest_chain(spark, sf):
     """Breadth-first walk over valid ingredient edges."""
-    part = table(spark, sf, "part").where("p_partkey < 97")
-    edges = part.select(F.lit(1).alias("store"), F.col("p_partkey").alias("parent"), (F.col("p_partkey") * 2 % 97).alias("child"), (F.col("p_partkey") % 3 != 0).alias("valid"))
+    edges = table(spark, sf, "part").select(F.lit(1).alias("store"), F.col("p_partkey").alias("parent"), (F.col("p_partkey") * 7 % 997).alias("child"), (F.col("p_partkey") % 11 != 0).alias("valid"))
     roots = spark.createDataFrame([(1, 5)], "store int, active long")
     from ..sources.shared import ensure_checkpoint_dir
 

@@ -41,20 +41,46 @@ def tile_plan(spark, sf):
     return table(spark, sf, "part").select(k.alias("k"), F.explode(tiles).alias("t")).select("k", "t.x", "t.y", F.col("t.w").cast("long").alias("w"), F.col("t.h").cast("long").alias("h"))
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (
+  SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, x, y, w, h, k) AS i
+  FROM (SELECT p_brand, p_partkey * 7 % 50 AS x, p_partkey * 11 % 40 AS y, p_partkey % 30 + 5 AS w, p_partkey % 20 + 5 AS h, p_retailprice AS score, p_partkey AS k FROM part)
+),
+r AS (
+  SELECT p_brand, 0::BIGINT AS i, []::STRUCT(x BIGINT, y BIGINT, w BIGINT, h BIGINT)[] AS kept, NULL::BIGINT AS taken FROM (SELECT DISTINCT p_brand FROM part)
+  UNION ALL
+  SELECT p_brand, i, CASE WHEN free THEN list_append(kept, {'x': x, 'y': y, 'w': w, 'h': h}) ELSE kept END, CASE WHEN free THEN k END FROM (
+    SELECT o.*, kept, len(list_filter(list_transform(kept, lambda b: [greatest(0, least(b.x + b.w, o.x + o.w) - greatest(b.x, o.x)) * greatest(0, least(b.y + b.h, o.y + o.h) - greatest(b.y, o.y)), b.w * b.h + o.w * o.h]), lambda p: p[1] / (p[2] - p[1]) >= 0.5)) = 0 AS free
+    FROM r JOIN o ON o.p_brand = r.p_brand AND o.i = r.i + 1)
+)
+SELECT o.p_brand, o.x, o.y, o.w, o.h, o.score, o.k FROM o JOIN r ON r.taken = o.k
+""")
 def nms(spark, sf):
-    """Greedy suppression of overlapping boxes in each brand; ordered by what was kept before, so beyond SQL."""
+    """Greedy suppression of overlapping boxes in each brand."""
     k = F.col("p_partkey")
     boxes = table(spark, sf, "part").select("p_brand", *(_box(k)[c].alias(c) for c in "xywh"), F.col("p_retailprice").alias("score"), k.alias("k"))
     return greedy_suppress(boxes, ["p_brand"])
 
 
-@query()
+@query("""
+WITH RECURSIVE near AS (
+  SELECT s_nationkey AS nation, s_suppkey, c_custkey, round(abs(s_acctbal - c_acctbal), 6) AS distance FROM supplier JOIN customer ON s_nationkey = c_nationkey WHERE round(abs(s_acctbal - c_acctbal), 6) <= 500
+),
+o AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY distance, s_suppkey, c_custkey) AS i FROM near),
+r AS (
+  SELECT nation, 0::BIGINT AS i, []::BIGINT[] AS s, []::BIGINT[] AS c, false AS taken FROM (SELECT DISTINCT nation FROM near)
+  UNION ALL
+  SELECT o.nation, o.i, CASE WHEN free THEN list_append(s, o.s_suppkey) ELSE s END, CASE WHEN free THEN list_append(c, o.c_custkey) ELSE c END, free
+  FROM (SELECT o.*, s, c, NOT list_contains(s, o.s_suppkey) AND NOT list_contains(c, o.c_custkey) AS free FROM r JOIN o ON o.nation = r.nation AND o.i = r.i + 1) o
+)
+SELECT o.nation, o.s_suppkey, o.c_custkey, o.distance FROM o JOIN r ON r.nation = o.nation AND r.i = o.i WHERE r.taken
+""")
 def assign_one_to_one(spark, sf):
-    """Greedy matching of a supplier's nearest customers in each nation, nearest balance first."""
-    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal")
-    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal")
-    near = s.join(c, "nation").withColumn("distance", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 6)).where("distance <= 500")
+    """Greedy matching of a supplier's nearest customers in each nation, nearest balance first; balances meet in neighbouring bands."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), "s_acctbal", F.floor(F.col("s_acctbal") / 500).alias("own"))
+    s = s.withColumn("band", F.explode(F.array(F.col("own") - 1, F.col("own"), F.col("own") + 1))).drop("own")
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), "c_acctbal", F.floor(F.col("c_acctbal") / 500).alias("band"))
+    near = s.join(c, ["nation", "band"]).withColumn("distance", F.round(F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 6)).where("distance <= 500")
     return match_one_to_one(near.select("nation", "s_suppkey", "c_custkey", "distance"), ["nation"], "s_suppkey", "c_custkey", "distance")
 
 
@@ -108,14 +134,15 @@ def bit_hamming(spark, sf):
 
 
 @query("""
-WITH h AS (SELECT p_partkey AS k, p_partkey * 40503 % 65536 * 257 % 16777216 AS c FROM part), d AS (SELECT c, min(k) AS k FROM h GROUP BY c)
+WITH h AS (SELECT p_partkey AS k, p_partkey % 1900 * 40503 % 65536 * 257 % 16777216 AS c FROM part), d AS (SELECT c, min(k) AS k FROM h GROUP BY c)
 SELECT x.k AS a, y.k AS b, bit_count(xor(x.c, y.c))::INT AS distance FROM d x JOIN d y ON x.k < y.k AND bit_count(xor(x.c, y.c)) <= 2
+UNION ALL SELECT d.k, h.k, 0 FROM h JOIN d ON h.c = d.c AND h.k > d.k
 """)
 def near_hash_pairs(spark, sf):
     """Perceptual hashes that differ in two bits at most, by banded equi-joins."""
     from ..operators.audit import near_hashes
 
-    hashes = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey * 40503 % 65536 * 257 % 16777216").alias("c"))
+    hashes = table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.expr("p_partkey % 1900 * 40503 % 65536 * 257 % 16777216").alias("c"))
     return near_hashes(hashes, "k", "c", 24, 2)
 
 
