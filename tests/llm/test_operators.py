@@ -713,19 +713,10 @@ def monotone(y, w):
     return [max(min(sum(a * b for a, b in zip(y[i : j + 1], w[i : j + 1], strict=True)) / sum(w[i : j + 1]) for j in range(k, len(y))) for i in range(k + 1)) for k in range(len(y))]
 
 
-def test_classifier_by_brute_force(spark):
-    """Every score against one made from whole matrices: features, weighted ridge by least squares, isotonic steps by their formula."""
-    rng = random.Random(14)
-    word = lambda: "".join(rng.choice("aeioultnrsé1") for _ in range(rng.randint(1, 9)))
-    rows = [(i, rng.choice((" ", "\n")).join(rng.choice((word(), word().upper() + "!", "|")) if i % 3 else word() for _ in range(rng.randint(0, 40)))) for i in range(400)]
-    rows += [(7, rows[7][1]), (400, None), (401, "")]
-    quality = {i: int(rng.random() < (0.85 if i % 3 == 0 else 0.25)) for i in range(0, 400, 2)}
-    labels = [(i, q, 0) for i, q in quality.items()] + [(8, 1 - quality[8], 0)]
-    quality[8] = 0
-    got = quality_classifier.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
-
+def brute_scores(rows, quality):
+    """The score of each row (id, text) from whole matrices: features, weighted ridge by least squares, isotonic steps by their formula."""
     x = np.array([plain_statistics(t) for _, t in rows]).astype(np.float32).astype(float)
-    fold = np.array([zlib.crc32(str(i).encode()) % 5 for i, _ in rows])
+    fold = np.array([zlib.crc32(("" if i is None else str(i)).encode()) % 5 for i, _ in rows])
     known = np.array([i in quality for i, _ in rows])
     y = np.array([float(quality.get(i, 0)) for i, _ in rows])
     own, held = known & (fold > 1), known & (fold == 1)
@@ -738,12 +729,24 @@ def test_classifier_by_brute_force(spark):
     root = np.sqrt(weight)[:, None]
     beta = np.linalg.lstsq(np.vstack([f[own] * root, np.eye(257)]), np.concatenate([y[own] * root[:, 0], np.zeros(257)]), rcond=None)[0]
     raw = f @ beta
-    at = np.clip(np.round(raw[held] * 1000), -2000, 2000) / 1000
-    bins = sorted(set(at.tolist()))
-    n, p = [int((at == s).sum()) for s in bins], [y[held][at == s].sum() for s in bins]
-    steps = monotone([a / b for a, b in zip(p, n, strict=True)], n)
-    knots = [np.average([s for s, v in zip(bins, steps, strict=True) if abs(v - u) < 1e-9], weights=[k for k, v in zip(n, steps, strict=True) if abs(v - u) < 1e-9]) for u in sorted({round(v, 9) for v in steps})]
-    want = np.interp(raw, knots, sorted({round(v, 9) for v in steps}))
+    spot = np.clip(np.round(raw[held] * 1000), -2000, 2000) / 1000
+    bins = sorted(set(spot.tolist()))
+    n, p = [int((spot == s).sum()) for s in bins], [y[held][spot == s].sum() for s in bins]
+    steps = [round(v, 9) for v in monotone([a / b for a, b in zip(p, n, strict=True)], n)]
+    knots = [np.average([s for s, v in zip(bins, steps, strict=True) if v == u], weights=[k for k, v in zip(n, steps, strict=True) if v == u]) for u in sorted(set(steps))]
+    return np.interp(raw, knots, sorted(set(steps)))
+
+
+def test_classifier_by_brute_force(spark):
+    rng = random.Random(14)
+    word = lambda: "".join(rng.choice("aeioultnrsé1") for _ in range(rng.randint(1, 9)))
+    rows = [(i, rng.choice((" ", "\n")).join(rng.choice((word(), word().upper() + "!", "|")) if i % 3 else word() for _ in range(rng.randint(0, 40)))) for i in range(400)]
+    rows += [(7, rows[7][1]), (400, None), (401, ""), (402, "long " * 20_000)]
+    quality = {i: int(rng.random() < (0.85 if i % 3 == 0 else 0.25)) for i in range(0, 400, 2)}
+    labels = [(i, q, 0) for i, q in quality.items()] + [(8, 1 - quality[8], 0)]
+    quality[8] = 0
+    got = quality_classifier.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    want = brute_scores(rows, quality)
     assert len(got) == len(rows) and len(set(want.round(6))) > 50
     assert sorted((r.doc_id, round(r.score, 5)) for r in got) == sorted((i, round(float(s), 5)) for (i, _), s in zip(rows, want, strict=True))
     assert all(r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
