@@ -221,10 +221,15 @@ def _assemble(percent: int, orders: int, leaders: int):
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (u, v) of classes with the sizes (n), shared sizes (m) and shared shingles (t) of both, and the size of their intersection."""
+    """Pairs (u, v) of classes with the sizes (n), shared sizes (m) and shared shingles (t) of both, and the size of their intersection.
+
+    A class can be v of very many pairs, so its set goes to each salted part of them.
+    """
     left = sets.select(F.col("sig").alias("u"), F.col("n").alias("nu"), F.col("m").alias("mu"), F.col("toks").alias("tu"))
     right = sets.select(F.col("sig").alias("v"), F.col("n").alias("nv"), F.col("m").alias("mv"), F.col("toks").alias("tv"))
-    return pairs.join(left, "u").join(right, "v").withColumn("both", F.size(F.array_intersect("tu", "tv")))
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64(F.lit(13), "u"), F.lit(SALTS)))
+    right = pairs.select("v", "salt").distinct().join(right, "v")
+    return pairs.join(left, "u").join(right, ["v", "salt"]).drop("salt").withColumn("both", F.size(F.array_intersect("tu", "tv")))
 
 
 def _similar(both: Column, n: Column, percent: int) -> Column:
