@@ -12,6 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tracelight.functions import geometry, stats, text, tokens, vectors
+from tracelight.operators import quantiles
 
 
 def one(spark, *cols):
@@ -34,14 +35,6 @@ def test_contains_any(spark):
     assert (row.a, row.b, row.c) == (True, False, None)
 
 
-def test_nearest_rank(spark):
-    rng = random.Random(0)
-    for n in (1, 2, 3, 10, 77):
-        v = sorted(rng.random() for _ in range(n))
-        row = spark.createDataFrame([(x,) for x in v], "v double").agg(*(stats.nearest_rank("v", q).alias(f"q{i}") for i, q in enumerate((0.5, 0.9, 0.99)))).first()
-        assert list(row) == [v[max(0, math.ceil(q * n) - 1)] for q in (0.5, 0.9, 0.99)]
-
-
 @pytest.mark.parametrize("k, n", [(0, 0), (0, 5), (5, 5), (3, 10), (999, 1000)])
 def test_wilson(spark, k, n):
     low, high = one(spark, stats.wilson(F.lit(k), F.lit(n)).alias("w")).w
@@ -62,7 +55,7 @@ def test_safe_corr(spark):
 def test_terciles(spark):
     for n in (1, 2, 5, 30, 100):
         v = [(i * 7 % 10) / 2 for i in range(n)]
-        row = stats.terciles(spark.createDataFrame([(x,) for x in v], "v double"), "v").first()
+        row = quantiles.terciles(spark.createDataFrame([(x,) for x in v], "v double"), "v").first()
         assert tuple(row) == (sorted(v)[n // 3], sorted(v)[2 * n // 3])
 
 

