@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load() -> None:
-    from . import audits, evaluation, matching, rules, temporal, vectors  # noqa: F401
+    from . import audits, evaluation, matching, reports, rules, temporal, vectors  # noqa: F401
