@@ -112,3 +112,37 @@ def test_videos(spark, table):
     assert {r.video: r.variable for r in video.variable_rate(ts).collect()} == {"a": False, "b": True}
     words = spark.createDataFrame([(1, 0, 0, 10, 10), (1, 14, 1, 20, 11), (1, 0, 40, 10, 50), (1, 200, 0, 220, 10)], "k int, x1 int, y1 int, x2 int, y2 int")
     assert sorted((r.x1, r.y1, r.x2, r.y2) for r in video.merge_words(words, ["k"]).collect()) == [(0, 0, 20, 11), (0, 40, 10, 50), (200, 0, 220, 10)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_windows_are_the_fold(spark, seed):
+    """Random frames of marks without an anchor rule: windows against the fold, with and without provenance."""
+    import random
+
+    rng = random.Random(seed)
+    rows, known = [], []
+    for v in range(25):
+        mark = rng.choice(("sora", "veo"))
+        if rng.random() < 0.4:
+            known.append((f"v{v}", mark))
+        x = 10
+        for i in range(rng.randint(1, 80)):
+            if rng.random() < 0.1:
+                continue
+            x += rng.choice((0, 0, 0, 0, 2, 30)) * (rng.random() < 0.3)
+            shown = rng.random() < 0.85
+            box = (x, 10, 40, 20) if shown else (None,) * 4
+            rows.append((f"v{v}", mark, i, rng.choice((None, 0.2, 0.4, 0.5, 0.6, 0.7)), *box))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    sure = spark.createDataFrame(known, "video string, mark string") if known else None
+    policy = {p[0]: p for p in temporal.VIDEO_POLICIES}
+    want = []
+    for v, mark in sorted({r[:2] for r in rows}):
+        own = sorted((r for r in rows if r[:2] == (v, mark)), key=lambda r: r[2])
+        _, weak, prov_weak, strong, transition, frames_, carries, anchor, accepts = policy[mark]
+        yes = (v, mark) in known and accepts
+        out = temporal.stabilise([(r[2], r[3] or 0.0, r[4:] if r[4] is not None else None) for r in own], yes, prov_weak if yes else weak, strong, transition, frames_, carries, anchor)
+        want += [(v, mark, r[2], b is not None, *(b or (None,) * 4)) for r, b in zip(own, out, strict=True)]
+    got = sorted(map(tuple, temporal.stable_regions(df, sure).collect()), key=str)
+    assert got == sorted(want, key=str)
+    assert any(r[3] for r in want) and not all(r[3] for r in want)

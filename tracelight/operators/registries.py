@@ -148,8 +148,3 @@ VIDEO_POLICIES = (
     ("kling", 0.20, None, 0.24, 0.30, 12, True, 0.80, False),
 )
 STABLE_GAP, STABLE_IOU = 3, 0.55
-
-
-def priorities(spark, registry):
-    """A registry as a table (priority, token, label) for joins that need one."""
-    return spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(registry)], "priority int, token string, label string")

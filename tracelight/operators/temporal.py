@@ -22,14 +22,42 @@ def policies(spark) -> DataFrame:
     return spark.createDataFrame(list(VIDEO_POLICIES), POLICY)
 
 
-def plain_runs(detections: DataFrame, keys: list[str], order: str, weak: float, gap: int = STABLE_GAP, least_iou: float = STABLE_IOU) -> DataFrame:
-    """Rows at or above ``weak`` with ``run``: a new run starts after more than ``gap`` missing frames or a jump of the box."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    box = F.struct("x", "y", "w", "h")
-    seen = detections.where(F.col("x").isNotNull() & (F.col("confidence") >= weak))
-    seen = seen.withColumn("_prev", F.lag(box).over(w)).withColumn("_gap", F.col(order) - F.lag(order).over(w))
-    new = F.col("_prev").isNull() | (F.col("_gap") > gap + 1) | (iou(F.col("_prev"), box) < least_iou)
-    return seen.withColumn("run", F.sum(new.cast("int")).over(w)).drop("_prev", "_gap")
+def plain_regions(rows: DataFrame) -> DataFrame:
+    """The accepted boxes of marks without an anchor rule, by windows over the frames of each (video, mark).
+
+    ``rows`` are detections with their policy and ``sure``, whether metadata confirms the mark. Gaps and islands make the runs, so
+    Spark sorts and spills them; nothing holds a video.
+    """
+    w = Window.partitionBy("video", "mark").orderBy("frame_index")
+    box = F.when(F.col("x").isNotNull(), F.struct("x", "y", "w", "h"))
+    weak = F.when(F.col("sure"), F.coalesce("prov_weak", "weak")).otherwise(F.col("weak"))
+    rows = rows.withColumns({"box": box, "confidence": F.coalesce("confidence", F.lit(0.0))})
+    rows = rows.withColumns({"seen": F.col("box").isNotNull() & (F.col("confidence") >= weak), "pos": F.row_number().over(w)})
+    here = F.when(F.col("seen"), F.struct("frame_index", "pos", "box"))
+    # what follows is what precedes in the reverse order: a frame that ends unbounded is computed anew for every row
+    back = Window.partitionBy("video", "mark").orderBy(F.desc("frame_index"))
+    rows = rows.withColumn("prev", F.last(here, True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    new = F.col("prev").isNull() | (F.col("frame_index") - F.col("prev.frame_index") > STABLE_GAP + 1) | (iou(F.col("prev.box"), F.col("box")) < STABLE_IOU)
+    rows = rows.withColumn("new", F.col("seen") & new)
+    run = Window.partitionBy("video", "mark", "run")
+    rows = rows.withColumn("run", F.sum(F.col("new").cast("int")).over(w))
+    strongest = F.max(F.when(F.col("seen"), F.col("confidence"))).over(run)
+    rows = rows.withColumn("ok", (F.count(F.when(F.col("seen"), 1)).over(run) >= F.col("min_frames")) & (F.col("sure") | (strongest >= F.col("strong"))))
+    # what is missing inside a run takes the box of its nearer end, if both ends agree
+    rows = rows.withColumn("next", F.last(F.when(F.col("seen"), F.struct("pos", "box", "new")), True).over(back.rowsBetween(Window.unboundedPreceding, -1)))
+    inside = F.col("ok") & ~F.col("seen") & F.col("next").isNotNull() & ~F.col("next.new") & (iou(F.col("prev.box"), F.col("next.box")) >= STABLE_IOU)
+    nearer = F.when(F.col("pos") - F.col("prev.pos") <= F.col("next.pos") - F.col("pos"), F.col("prev.box")).otherwise(F.col("next.box"))
+    rows = rows.withColumn("kept", F.when(F.col("seen") & F.col("ok"), F.col("box")).when(inside, nearer))
+    # a confirmed mark is there in all frames: where a weaker box overlaps a known one, that box, else the last known, at first the first
+    rows = rows.withColumn("spread", (F.col("sure") | F.col("carries")) & F.col("kept").isNull())
+    weaker = F.col("spread") & F.col("box").isNotNull() & (F.col("confidence") >= F.col("transition"))
+    known = rows.where(F.col("kept").isNotNull()).select("video", "mark", F.col("kept").alias("known")).distinct()
+    near = rows.where(weaker).select("video", "mark", "frame_index", "box").join(known, ["video", "mark"]).where(iou(F.col("box"), F.col("known")) >= STABLE_IOU)
+    near = near.select("video", "mark", "frame_index", F.lit(True).alias("near")).distinct()
+    rows = rows.join(near, ["video", "mark", "frame_index"], "left")
+    carried = F.coalesce(F.last("kept", True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.first("kept", True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    out = F.when(F.col("spread") & F.col("near"), F.when(F.max(F.col("kept").isNotNull()).over(Window.partitionBy("video", "mark")), F.col("box"))).when(F.col("spread"), carried).otherwise(F.col("kept"))
+    return rows.withColumn("out", out).select("video", "mark", F.col("frame_index").cast("int").alias("frame_index"), F.col("out").isNotNull().alias("accepted"), *(F.col(f"out.{c}").cast("int").alias(c) for c in "xywh"))
 
 
 def _iou(a, b) -> float:
@@ -78,31 +106,31 @@ def stabilise(frames: list[tuple], provenance: bool, weak: float, strong: float,
 
 
 def stable_regions(detections: DataFrame, provenance: DataFrame | None = None) -> DataFrame:
-    """(video, mark, frame_index, accepted, x, y, w, h): the anchored fold with each mark's policy.
+    """(video, mark, frame_index, accepted, x, y, w, h): the accepted box of each frame by its mark's policy.
 
-    ``provenance`` (video, mark) names marks that metadata confirms. A group is one mark of one video.
+    ``provenance`` (video, mark) names marks that metadata confirms. Marks without an anchor rule go through windows; where a run also
+    depends on its own first box, a fold takes one mark of one video at a time.
     """
     rows = detections.join(F.broadcast(policies(detections.sparkSession)), "mark")
     if provenance is not None:
         rows = rows.join(provenance.select("video", "mark", F.lit(True).alias("known")).distinct(), ["video", "mark"], "left")
     else:
         rows = rows.withColumn("known", F.lit(False))
+    rows = rows.withColumn("sure", F.coalesce("known", F.lit(False)) & F.col("accepts_provenance")).drop("known")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_index").reset_index(drop=True)
+        pdf = pdf.sort_values("frame_index")
         p = pdf.iloc[0]
-        sure = bool(p.known) if not pd.isna(p.known) else False
-        sure = sure and bool(p.accepts_provenance)
-        weak = p.prov_weak if sure and not pd.isna(p.prov_weak) else p.weak
+        weak = p.prov_weak if p.sure and not pd.isna(p.prov_weak) else p.weak
         shown = pdf.x.notna().tolist()
-        boxes = [b if ok else None for ok, *b in zip(shown, *(pdf[c].fillna(0).astype(int).tolist() for c in "xywh"), strict=True)]
-        boxes = [tuple(b) if b else None for b in boxes]
+        boxes = [tuple(b) if ok else None for ok, *b in zip(shown, *(pdf[c].fillna(0).astype(int).tolist() for c in "xywh"), strict=True)]
         frames = list(zip(pdf.frame_index.tolist(), pdf.confidence.fillna(0.0).tolist(), boxes, strict=True))
-        out = stabilise(frames, sure, weak, p.strong, p.transition, int(p.min_frames), bool(p.carries), None if pd.isna(p.anchor_iou) else p.anchor_iou)
+        out = stabilise(frames, bool(p.sure), weak, p.strong, p.transition, int(p.min_frames), bool(p.carries), None if pd.isna(p.anchor_iou) else p.anchor_iou)
         made = {k: pd.array([None if b is None else b[j] for b in out], "Int32") for j, k in enumerate("xywh")}
-        return pd.DataFrame({"video": pdf.video, "mark": pdf.mark, "frame_index": pdf.frame_index.astype("int32"), "accepted": [b is not None for b in out], **made})
+        return pd.DataFrame({"video": pdf.video.to_numpy(), "mark": pdf.mark.to_numpy(), "frame_index": pdf.frame_index.astype("int32").to_numpy(), "accepted": [b is not None for b in out], **made})
 
-    return rows.groupBy("video", "mark").applyInPandas(fold, OUT)
+    anchored = rows.where(F.col("anchor_iou").isNotNull()).groupBy("video", "mark").applyInPandas(fold, OUT)
+    return plain_regions(rows.where(F.col("anchor_iou").isNull())).unionByName(anchored)
 
 
 def first_stable_mark(stable: DataFrame) -> DataFrame:

@@ -182,22 +182,26 @@ def variable_frame_rate(spark, sf):
     return variable_rate(frames, 0.5).withColumnRenamed("video", "user_id")
 
 
-@query("SELECT event_type, count(*) AS n, count(*) FILTER (value > 50) AS k FROM events GROUP BY event_type")
+@query("SELECT time_bucket(INTERVAL '1 day', ts) AS start, event_type, count(*) AS n, count(*) FILTER (value > 50) AS k FROM events GROUP BY ALL")
 def streamed_rates(spark, sf):
-    """The windowed stream run to its end over the events, then added up: the same rows as the batch."""
+    """The windowed stream run to its end over the events: the same rows as the batch."""
     from ..sources.shared import shared_folder
-    from ..streaming import stream_events, windowed_rates
+    from ..streaming import run_to_end, windowed_rates
 
     schema = table(spark, sf, "events").schema
-    folder = shared_folder(spark)
     # a file source takes folders, so the one file of small scales is named by a pattern
-    rates = windowed_rates(stream_events(spark, f"{sf}/events.parquet*", schema))
-    q = rates.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination()
-    closed = spark.read.schema(rates.schema).parquet(f"{folder}/out").select("start", "event_type", "n", "k")
-    # windows that the watermark has not closed yet are counted from the table
-    last = closed.agg(F.max("start")).first()[0]
-    rows = table(spark, sf, "events").withColumn("start", F.window(F.col("ts").cast("timestamp"), "1 day")["start"])
-    rows = rows if last is None else rows.where(F.col("start") > F.lit(last))
-    open_ = rows.groupBy("start", "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("k"))
-    return closed.unionByName(open_).groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    return run_to_end(spark, f"{sf}/events.parquet*", schema, windowed_rates, shared_folder(spark)).select("start", "event_type", "n", "k")
+
+
+@query("""
+WITH e AS (SELECT user_id, ts, event_id, value, lag(ts) OVER w AS prev FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= 14400000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM e)
+SELECT user_id, min(ts) AS started, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, session
+""")
+def streamed_sessions(spark, sf):
+    """Sessions as the stream closes them."""
+    from ..sources.shared import shared_folder
+    from ..streaming import run_to_end, sessions
+
+    out = run_to_end(spark, f"{sf}/events.parquet*", table(spark, sf, "events").schema, sessions, shared_folder(spark))
+    return out.where("user_id IS NOT NULL").select("user_id", "started", "n", F.round("total", 4).alias("total"))

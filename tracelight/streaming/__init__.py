@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.registries import STABLE_GAP, STABLE_IOU, VIDEO_POLICIES
 from ..operators.temporal import _iou
@@ -35,6 +36,30 @@ def windowed_rates(events: DataFrame, window: str = "1 day", slide: str | None =
     return events.groupBy(bucket.alias("w"), "event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > fires).alias("k")).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n", "k")
 
 
+def run_to_end(spark: SparkSession, path: str, schema: StructType, windowed: Callable[[DataFrame], DataFrame], folder: str, watermark: str = "1 hour", beyond: str = "400 days") -> DataFrame:
+    """The rows of ``windowed`` over all events of a folder or pattern, each window closed by the stream itself.
+
+    The stream has a second source: after all that is there has been taken, one last event comes from it, so far ahead that the watermark
+    passes every window. Its own window never closes. State and output are in ``folder``, which driver and executors share, so
+    the query can be started again after a failure; ``beyond`` must exceed window and watermark.
+    """
+    blank = spark.createDataFrame([], schema)
+    blank.write.parquet(f"{folder}/last")
+    # one watermark for both sources, or the one without rows would hold the other back
+    events = spark.readStream.schema(schema).parquet(path).unionByName(spark.readStream.schema(schema).parquet(f"{folder}/last"))
+    rows = windowed(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark))
+
+    def take_all() -> None:
+        query = rows.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    take_all()
+    ahead = F.lit(spark.read.schema(schema).parquet(path).agg(F.max("ts").cast("timestamp")).first()[0]) + F.expr(f"INTERVAL {beyond}")
+    spark.range(1).select(*((ahead if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema)).write.mode("append").parquet(f"{folder}/last")
+    take_all()
+    return spark.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
 def sessions(events: DataFrame, gap: str = "4 hours") -> DataFrame:
     return events.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("started"), "n", "total")
 
