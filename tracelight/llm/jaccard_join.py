@@ -258,10 +258,15 @@ def _leader_links(store: Store, sets: DataFrame, percent: int) -> tuple[DataFram
     near = _with_sets(pairs, sets).where(_similar(F.col("both"), sizes, 50))
     near = store.put(near.select("u", "v", F.col("nu").alias("n"), F.col("mu").alias("m"), _similar(F.col("both"), sizes, percent).alias("linked"), differ.alias("differ")))
     links = near.where("linked").select("u", "v")
-    groups = near.groupBy("v").agg(F.count("*").alias("all"), F.count_if("linked").alias("some")).where("3 * some >= all")
+    # counted in salted parts, which the result goes back to, so that a large group is never in one task
+    salt = F.pmod(F.xxhash64(F.lit(17), "u"), F.lit(SALTS))
+    near = near.withColumn("salt", salt)
+    counts = near.groupBy("v", "salt").agg(F.count("*").alias("all"), F.count_if("linked").alias("some"))
+    groups = counts.groupBy("v").agg(F.sum("all").alias("all"), F.sum("some").alias("some")).where("3 * some >= all")
     # a large group is dealt to several tasks: each of its parts meets all that do not link with the leader
     parts = F.least(F.lit(64), F.ceil(F.col("all") / PART)).cast("int")
-    members = near.join(groups.select("v", parts.alias("parts")), "v")
+    groups = counts.select("v", "salt").join(groups.select("v", parts.alias("parts")), "v")
+    members = near.join(groups, ["v", "salt"])
     one = members.where(~F.col("linked")).select("v", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *(F.col(c).alias(f"{c}1") for c in ("u", "n", "m", "differ")))
     two = members.select("v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"), *(F.col(c).alias(f"{c}2") for c in ("u", "n", "m", "linked", "differ")))
     shared = F.size(F.array_intersect("differ1", "differ2"))

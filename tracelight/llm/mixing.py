@@ -48,10 +48,11 @@ def topic_of(text: Column, n_words: Column) -> Column:
 
 
 def cells_of(docs: DataFrame, keep: list[Column], text_col: str = "text") -> DataFrame:
-    """``keep``, the cell (source, lang, topic) and ``n_tokens`` of each row."""
+    """``keep``, the cell (source, lang, topic) and ``n_tokens`` of each row. No part of a cell can be null, so joins on it add no filter
+    that would compute it twice."""
     text = text_or_empty(text_col)
     rows = docs.select(*keep, F.coalesce(F.col("source"), F.lit("")).alias("source"), F.coalesce(F.col("lang"), F.lit("")).alias("lang"), let(F.regexp_count(text, F.lit(WORD)).cast("long"), lambda n: F.struct(n.alias("n"), topic_of(text, n).alias("t"))).alias("__cell"))
-    return rows.select(*(c for c in rows.columns if c != "__cell"), F.col("__cell.t").alias("topic"), F.col("__cell.n").alias("n_tokens"))
+    return rows.select(*(c for c in rows.columns if c != "__cell"), F.coalesce("__cell.t", F.lit("prose")).alias("topic"), F.col("__cell.n").alias("n_tokens"))
 
 
 def shares(observed: Mapping, target) -> dict:
