@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -68,6 +67,9 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Store:
     """Tables written to the shared folder and read back, which cuts their lineage."""
 
@@ -77,7 +79,13 @@ class Store:
 
     def put(self, df: DataFrame, **options) -> DataFrame:
         path = f"{self.base}/{len(self.paths)}"
-        df.write.options(**options).parquet(path)
+        # the shuffle files of this write go with it: what comes later reads the table
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.options(**options).parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         if not self.paths:  # what is still there goes when the application ends
             at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.base)
             at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
@@ -93,13 +101,6 @@ class Store:
             p = jvm.org.apache.hadoop.fs.Path(df._tracelight_path)
             p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
-    def tidy(self) -> None:
-        """Free the shuffle files of plans that nothing refers to; Spark's cleaner does so after a collection, in its own thread."""
-        for _ in range(2):
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-
 
 def give_back() -> None:
     """Return memory that a Python worker has freed to the system, as the worker lives on for other stages."""

@@ -348,11 +348,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = words.agg(F.sum("kept_sum"), F.sum("total_sum"), F.sum("distinct")).first()
     n_kept, n_total, distinct = (x or 0 for x in n)
     learned = rows.where(F.col("fold") != HELD_FOLD).agg(F.count("*"), F.count(F.when(F.col("fold") != DELETED_FOLD, 1))).first()
-    store.tidy()
     answers = words.where("batch >= 0")
     asked = packed.groupBy("batch").cogroup(answers.select("batch", "bucket", "kept").groupBy("batch")).applyInArrow(_send_pairs(buckets, learned[1]), _REQUEST)
     pairs = store.put(asked.groupBy("bucket").applyInArrow(_count(True), _REPLY))
-    store.tidy()
     history = store.put(pairs.where("batch < 0 AND weight IS NOT NULL").groupBy("context", "pair", "word").agg(F.sum("weight").alias("weight")))
     weights = learn_weights(history, n_kept, distinct)
     replies = answers.select("batch", "bucket", "total", F.lit(1).alias("kind")).union(pairs.where("batch >= 0").select("batch", "bucket", "total", F.lit(2).alias("kind")))
