@@ -286,3 +286,23 @@ def test_app_evidence(spark):
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", app_evidence(F.col("t")).alias("e"), is_ai_value(F.col("t"), GENERATOR_TOKENS).alias("ai")).collect()
     assert {r.t: (r.e.provenance, r.e.generator) for r in rows} == cases
     assert all(r.ai == any(cases[r.t]) for r in rows)
+
+
+def test_item_inventory(spark, tmp_path):
+    box = lambda kind, *parts: (8 + sum(map(len, parts))).to_bytes(4, "big") + kind + b"".join(parts)
+    infe = lambda version, kind: box(b"infe", bytes([version, 0, 0, 0]) + bytes(4 if version == 3 else 2) + b"\0\0" + kind)
+    meta = box(b"meta", bytes(4), box(b"iinf", bytes(4) + b"\0\3", infe(2, b"hvc1"), infe(3, b"Exif"), infe(2, b"hvc1")), box(b"iprp", box(b"ipco", box(b"ispe", bytes(12)), box(b"auxC", bytes(4) + b"urn:depth\0x"))))
+    mvhd = box(b"mvhd", bytes(4) + (C.EPOCH_1904 + 1000).to_bytes(4, "big") + bytes(40))
+    data = box(b"ftyp", b"heic") + meta + box(b"moov", mvhd, box(b"udta", b"\xa9mak\0\x05\0\0Apple\0"))
+    assert C.item_inventory(data) == {"items": ["Exif", "hvc1"], "properties": ["ispe", "auxC"], "auxiliary": "urn:depth", "created": 1000, "quicktime": [("make", "Apple")]}
+    rng = random.Random(5)
+    for _ in range(100):
+        bad = bytearray(data)
+        for _ in range(5):
+            bad[rng.randrange(len(bad))] = rng.randrange(256)
+        C.item_inventory(bytes(bad[: rng.randint(0, len(bad))]))
+    from tracelight.sources.media import forensic_records
+
+    (tmp_path / "a.heic").write_bytes(data)
+    (row,) = forensic_records(read_media(spark, str(tmp_path))).collect()
+    assert (row["items"], row.auxiliary, row.created, row.quicktime[0].v, row.issue) == (["Exif", "hvc1"], "urn:depth", 1000, "Apple", None)

@@ -43,3 +43,15 @@ def decide(candidates: Column, provenance: Column, sensitivity: Column) -> Colum
     keys = F.transform(fired, lambda j: j["key"])
     kept = F.filter(fired, lambda j: (j["key"] != "jimeng_pill") | keep_pill(keys, provenance, F.coalesce(j["flat"], F.lit(False))))
     return F.transform(kept, lambda j: F.struct(j["key"].alias("key"), j["relaxed"].alias("relaxed")))
+
+
+def top_candidates(candidates: Column, score: str, most: int = 3) -> Column:
+    """The ``most`` best of an array of structs by a field, best first; of equals the earlier. NULL scores come last."""
+    ranked = F.array_sort(F.transform(candidates, lambda c, i: F.struct(F.coalesce(-c[score].cast("double"), F.lit(float("inf"))).alias("rank"), i.alias("place"), c.alias("one"))))
+    return F.transform(F.slice(ranked, 1, most), lambda r: r["one"])
+
+
+def selected(candidates: Column, first: str, then: str, most: int = 3) -> Column:
+    """Of the ``most`` best by ``first``, the one with the highest ``then``; the better by ``first`` of equals."""
+    best = top_candidates(candidates, first, most)
+    return F.get(top_candidates(best, then, 1), F.lit(0))

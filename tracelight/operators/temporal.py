@@ -7,6 +7,7 @@ current run and is a group function over one (video, mark).
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,15 +150,21 @@ def line_groups(rows: DataFrame, keys: list[str], order: list[str], script: str,
 
 
 def greedy_suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
-    """Greedy non-maximum suppression in each group: rows (x, y, w, h, score) that no better kept row overlaps."""
+    """Greedy non-maximum suppression in each group: rows (x, y, w, h, score) that no better kept row overlaps. A kept row meets all
+    that are left at once, so the work of a group is its kept rows times its rows."""
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "x", "y", "w", "h"], ascending=[False, True, True, True, True])
-        kept: list[int] = []
-        rows = pdf[["x", "y", "w", "h"]].to_numpy()
-        for i in range(len(rows)):
-            if all(_iou(rows[i], rows[k]) < threshold for k in kept):
-                kept.append(i)
+        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+        kept, left = [], np.arange(len(pdf))
+        while len(left):
+            i, left = left[0], left[1:]
+            kept.append(i)
+            wide = np.minimum(x[i] + w[i], x[left] + w[left]) - np.maximum(x[i], x[left])
+            high = np.minimum(y[i] + h[i], y[left] + h[left]) - np.maximum(y[i], y[left])
+            both = np.maximum(wide, 0) * np.maximum(high, 0)
+            union = w[i] * h[i] + w[left] * h[left] - both
+            left = left[np.divide(both, union, out=np.zeros(len(left)), where=union > 0) < threshold]
         return pdf.iloc[kept]
 
     return boxes.groupBy(*keys).applyInPandas(keep, boxes.schema)

@@ -286,3 +286,14 @@ def signal_family(spark, sf):
     k = F.col("p_partkey") % 5
     t = F.concat("p_name", F.when(k == 0, " Made with AI").when(k == 1, " C2PA Content Credentials").when(k == 2, " Visible Gemini sparkle").when(k == 3, " TC260 label").otherwise(""))
     return table(spark, sf, "part").select("p_partkey", verdict.family_of(t).alias("family"))
+
+
+@query("""
+WITH t AS (SELECT user_id, event_id, round(value, 4) AS ncc, event_id * 37 % 101 AS fused FROM events WHERE event_type = 'click' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY round(value, 4) DESC, event_id) <= 3)
+SELECT user_id, arg_max(event_id, (fused, ncc, -event_id)) AS event_id, count(*) AS considered FROM t GROUP BY user_id
+""")
+def sparkle_selection(spark, sf):
+    """Of the three candidates that match best, the one whose fused score is highest."""
+    one = F.struct("event_id", F.round("value", 4).alias("ncc"), (F.col("event_id") * 37 % 101).alias("fused"))
+    found = table(spark, sf, "events").where("event_type = 'click'").groupBy("user_id").agg(F.array_sort(F.collect_list(one)).alias("c"))
+    return found.select("user_id", arbiter.selected(F.col("c"), "ncc", "fused")["event_id"].alias("event_id"), F.least(F.lit(3), F.size("c")).cast("long").alias("considered"))

@@ -194,7 +194,8 @@ def live_photo_id(text: str) -> str | None:
 
 FORENSIC = (
     "path string, sha256 string, container string, size_bytes long, parts array<struct<name:string,offset:long,length:long>>, progressive boolean, subsampling string, "
-    "restart int, tables array<array<int>>, huffman array<struct<id:int,counts:array<int>>>, scans array<struct<components:int,first:int,last:int,high:int,low:int>>, comments array<string>, texts array<struct<k:string,v:string>>, tags array<struct<k:string,v:string>>, issue string"
+    "restart int, tables array<array<int>>, huffman array<struct<id:int,counts:array<int>>>, scans array<struct<components:int,first:int,last:int,high:int,low:int>>, comments array<string>, texts array<struct<k:string,v:string>>, tags array<struct<k:string,v:string>>, "
+    "items array<string>, properties array<string>, auxiliary string, created long, quicktime array<struct<k:string,v:string>>, issue string"
 )
 
 
@@ -209,6 +210,9 @@ def forensic_records(files: DataFrame) -> DataFrame:
             jpeg = C.jpeg_structure(data) if row["container"] == "jpeg" else {}
             pairs = lambda p: [{"k": k, "v": v} for k, v in p]
             row |= {k: jpeg.get(k) for k in ("progressive", "subsampling", "restart", "tables", "comments", "huffman", "scans")}
+            if row["container"] == "isobmff":
+                found = C.item_inventory(data)
+                row |= found | {"quicktime": pairs(found["quicktime"])}
             row |= {"parts": [{"name": n, "offset": o, "length": k} for n, o, k in C.inventory(data)], "texts": pairs(C.png_texts(data) if row["container"] == "png" else []), "tags": pairs(C.tiff_tags(C.exif_block(data)))}
         except Exception as e:  # noqa: BLE001
             row["issue"] = f"{type(e).__name__}: {e}"[:200]
