@@ -154,9 +154,25 @@ def test_logs(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).first().schema_version == 1
 
 
-def test_live_photo_id():
-    assert live_photo_id("Apple 123E4567-E89B-12D3-A456-426614174000") == "123E4567-E89B-12D3-A456-426614174000"
-    assert live_photo_id("123E4567-E89B-12D3-A456-426614174000") is None and live_photo_id("Apple") is None
+def test_live_photo_id(spark):
+    from tracelight.sources.media import live_photos
+
+    uid = "123E4567-E89B-12D3-a456-426614174000"
+    rows = [("a.HEIC", f"Apple iOS {uid}"), ("b.mov", f"com.apple.quicktime {uid}"), ("c.jpg", uid), ("d.jpg", "Apple iOS"), ("e.jpg", f"content.identifier é {uid[:-1]}0")]
+    df = spark.createDataFrame([(p, "x", t.encode("latin-1")) for p, t in rows], "path string, container string, scan binary")
+    got = {r.path: r.id for r in df.select("path", live_photo_id(F.col("scan")).alias("id")).collect()}
+    assert got == {"a.HEIC": uid, "b.mov": uid, "c.jpg": None, "d.jpg": None, "e.jpg": uid}
+    assert {(r.still, r.clip) for r in live_photos(df).collect()} == {("a.HEIC", "b.mov"), ("e.jpg", "b.mov")}
+
+
+def test_iptc():
+    field = lambda r, d, v: bytes([0x1C, r, d]) + len(v).to_bytes(2, "big") + v
+    body = field(2, 5, b"Title") + field(2, 80, "Zoë".encode())
+    block = lambda kind, name, body: b"8BIM" + kind.to_bytes(2, "big") + name + len(body).to_bytes(4, "big") + body + b"\0" * (len(body) & 1)
+    data = m.jpeg(m.segment(0xED, b"Photoshop 3.0\0" + block(0x03ED, b"\0\0", b"abc") + block(0x0404, b"\x01x", body)))
+    assert C.iptc_fields(data) == [("2:5", "Title"), ("2:80", "Zoë")] and C.iptc_fields(m.png()) == []
+    for k in range(len(data)):
+        C.iptc_fields(data[:k])
 
 
 def test_verdict_changes(spark):

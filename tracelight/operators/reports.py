@@ -44,6 +44,33 @@ def ground_truth(labels: DataFrame, manifest: DataFrame, order: str = "line") ->
     return out
 
 
+# What a recorded watermark says of marks, by the text that it holds.
+SIDECAR_MARKS = (("China AIGC label", ("doubao", "jimeng")), ("C2PA Content Credentials (Google LLC", ("gemini",)), ("Samsung Galaxy AI", ("samsung",)))
+
+
+def sidecar_provenance(truth: DataFrame, sidecars: DataFrame) -> DataFrame:
+    """``truth`` with ``provenance``: the marks that the metadata of each asset confirms, in a stated order, from its sidecar (uid, watermarks).
+
+    It comes from the recorded verdict and never from the labels, which would hand a detector the answer. Without a sidecar it is empty.
+    """
+    said = F.array_join("watermarks", " | ")
+    marks = F.flatten(F.array_compact(F.array(*(F.when(F.contains(said, F.lit(t)), F.array(*map(F.lit, m))) for t, m in SIDECAR_MARKS))))
+    found = sidecars.groupBy("uid").agg(F.min(marks).alias("provenance"))
+    return truth.join(found, "uid", "left").withColumn("provenance", F.coalesce("provenance", F.array().cast("array<string>")))
+
+
+def match_faces(before: DataFrame, after: DataFrame, key: str, most: float = 0.6) -> DataFrame:
+    """(key, a, b, distance): faces (key, id, x, y, w, h) of two versions of an image, nearest centres first, each once, and none farther
+    than a share of the first one's diagonal."""
+    from ..functions.geometry import centre_distance
+    from .temporal import match_one_to_one
+
+    box = F.struct("x", "y", "w", "h")
+    pairs = before.select(key, F.col("id").alias("a"), box.alias("_p")).join(after.select(key, F.col("id").alias("b"), box.alias("_q")), key)
+    pairs = pairs.withColumn("distance", centre_distance(F.col("_p"), F.col("_q"))).where(F.col("distance") <= most * F.hypot(F.col("_p.w"), F.col("_p.h")))
+    return match_one_to_one(pairs.select(key, "a", "b", "distance"), [key], "a", "b", "distance")
+
+
 def sidecar_status(sidecars: DataFrame, fresh: DataFrame) -> DataFrame:
     """(uid, status, classes) of every recorded verdict against a fresh one.
 

@@ -175,3 +175,31 @@ def gate_intervals(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", "lang", contains_any(F.col("text"), ["!!", "***"]).alias("f")).join(table(spark, sf, "labels").select("doc_id", (F.col("quality") == 0).alias("b")), "doc_id")
     out = reports.gate_quality(rows, ["lang"], F.col("f"), F.col("b"))
     return out.select("lang", "tp", "fp", "fn", *(F.round(f"{m}{e}", 9).alias(f"{m}{e}") for m in ("precision", "recall") for e in ("", "_low", "_high")))
+
+
+@query("""
+WITH s AS (SELECT doc_id AS uid, list_filter([CASE WHEN contains(text, 'icense') THEN 'China AIGC label (TC260 standard)' END, CASE WHEN contains(text, '@') THEN 'C2PA Content Credentials (Google LLC)' END, CASE WHEN contains(text, '#') THEN 'other' END], lambda x: x IS NOT NULL) AS w FROM documents WHERE doc_id % 3 > 0)
+SELECT l.doc_id AS uid, coalesce(array_to_string(list_filter([CASE WHEN list_contains(w, 'China AIGC label (TC260 standard)') THEN 'doubao,jimeng' END, CASE WHEN list_contains(w, 'C2PA Content Credentials (Google LLC)') THEN 'gemini' END], lambda x: x IS NOT NULL), ','), '') AS provenance
+FROM (SELECT DISTINCT doc_id FROM labels) l LEFT JOIN s ON s.uid = l.doc_id
+""")
+def sidecar_provenance(spark, sf):
+    d, t = table(spark, sf, "documents"), F.col("text")
+    say = lambda mark, text: F.when(F.contains(t, F.lit(mark)), F.lit(text))
+    sidecars = d.where("doc_id % 3 > 0").select(F.col("doc_id").alias("uid"), F.array_compact(F.array(say("icense", "China AIGC label (TC260 standard)"), say("@", "C2PA Content Credentials (Google LLC)"), say("#", "other"))).alias("watermarks"))
+    truth = table(spark, sf, "labels").select(F.col("doc_id").alias("uid")).distinct()
+    return reports.sidecar_provenance(truth, sidecars).select("uid", F.array_join("provenance", ",").alias("provenance"))
+
+
+@query("""
+WITH RECURSIVE b AS (SELECT p_brand AS k, p_partkey AS id, p_partkey * 7 % 500 AS x, p_partkey * 11 % 400 AS y, p_partkey % 30 + 5 AS w, p_partkey % 20 + 5 AS h FROM part),
+p AS (SELECT a.k, a.id AS a, c.id AS b, sqrt(pow(a.x + a.w / 2 - c.x - c.w / 2, 2) + pow(a.y + a.h / 2 - c.y - c.h / 2, 2)) AS d FROM b a JOIN b c ON a.k = c.k AND a.id % 2 = 0 AND c.id % 2 = 1 WHERE sqrt(pow(a.x + a.w / 2 - c.x - c.w / 2, 2) + pow(a.y + a.h / 2 - c.y - c.h / 2, 2)) <= 0.6 * sqrt(a.w * a.w + a.h * a.h)),
+o AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY d, a, b) AS i FROM p),
+r AS (SELECT k, 0::BIGINT AS i, []::BIGINT[] AS s, []::BIGINT[] AS c, false AS taken FROM (SELECT DISTINCT k FROM p)
+  UNION ALL SELECT k, i, CASE WHEN free THEN list_append(s, a) ELSE s END, CASE WHEN free THEN list_append(c, b) ELSE c END, free
+  FROM (SELECT o.*, s, c, NOT list_contains(s, o.a) AND NOT list_contains(c, o.b) AS free FROM r JOIN o ON o.k = r.k AND o.i = r.i + 1) o)
+SELECT o.k, o.a, o.b, round(o.d, 6) AS distance FROM o JOIN r ON r.k = o.k AND r.i = o.i WHERE r.taken
+""")
+def face_matches(spark, sf):
+    k = F.col("p_partkey")
+    b = table(spark, sf, "part").select(F.col("p_brand").alias("k"), k.alias("id"), (k * 7 % 500).alias("x"), (k * 11 % 400).alias("y"), (k % 30 + 5).alias("w"), (k % 20 + 5).alias("h"))
+    return reports.match_faces(b.where("id % 2 = 0"), b.where("id % 2 = 1"), "k").withColumn("distance", F.round("distance", 6))

@@ -8,10 +8,9 @@ large to hold, windows at its head and tail and its metadata boxes are read, and
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -184,18 +183,28 @@ def evidence_of(records: DataFrame) -> DataFrame:
     return records.select("path", *(named_cols.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty.schema if f.name != "path"))
 
 
-def live_photo_id(text: str) -> str | None:
-    """The content identifier that links a still to its clip, next to one of the maker's markers."""
-    if not re.search("Apple|com.apple.quicktime|ContentIdentifier", text):
-        return None
-    found = re.search(r"[0-9A-F]{8}(?:-[0-9A-F]{4}){3}-[0-9A-F]{12}", text)
-    return found[0] if found else None
+#: Markers of the maker that gate a Live Photo's identifier.
+LIVE_PHOTO = ("content.identifier", "com.apple.quicktime", "Apple iOS")
+
+
+def live_photo_id(scan: Column) -> Column:
+    """The content identifier that links a still to its clip, from the bytes of either; NULL without one of the maker's markers."""
+    text = F.decode(scan, "ISO-8859-1")
+    found = F.regexp_extract(text, "[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}", 0)
+    return F.when(contains_any(text, LIVE_PHOTO), F.nullif(found, F.lit("")))
+
+
+def live_photos(records: DataFrame) -> DataFrame:
+    """(id, still, clip): stills and clips of one identifier, over records."""
+    rows = records.select("path", "container", live_photo_id(F.col("scan")).alias("id")).where(F.col("id").isNotNull())
+    clip = F.lower(F.col("path")).rlike(r"\.(mov|mp4)$")
+    return rows.where(~clip).select("id", F.col("path").alias("still")).join(rows.where(clip).select("id", F.col("path").alias("clip")), "id")
 
 
 FORENSIC = (
     "path string, sha256 string, container string, size_bytes long, parts array<struct<name:string,offset:long,length:long>>, progressive boolean, subsampling string, "
     "restart int, tables array<array<int>>, huffman array<struct<id:int,counts:array<int>>>, scans array<struct<components:int,first:int,last:int,high:int,low:int>>, comments array<string>, texts array<struct<k:string,v:string>>, tags array<struct<k:string,v:string>>, "
-    "items array<string>, properties array<string>, auxiliary string, created long, quicktime array<struct<k:string,v:string>>, issue string"
+    "iptc array<struct<k:string,v:string>>, items array<string>, properties array<string>, auxiliary string, created long, quicktime array<struct<k:string,v:string>>, issue string"
 )
 
 
@@ -213,7 +222,7 @@ def forensic_records(files: DataFrame) -> DataFrame:
             if row["container"] == "isobmff":
                 found = C.item_inventory(data)
                 row |= found | {"quicktime": pairs(found["quicktime"])}
-            row |= {"parts": [{"name": n, "offset": o, "length": k} for n, o, k in C.inventory(data)], "texts": pairs(C.png_texts(data) if row["container"] == "png" else []), "tags": pairs(C.tiff_tags(C.exif_block(data)))}
+            row |= {"parts": [{"name": n, "offset": o, "length": k} for n, o, k in C.inventory(data)], "texts": pairs(C.png_texts(data) if row["container"] == "png" else []), "tags": pairs(C.tiff_tags(C.exif_block(data))), "iptc": pairs(C.iptc_fields(data))}
         except Exception as e:  # noqa: BLE001
             row["issue"] = f"{type(e).__name__}: {e}"[:200]
         return row
