@@ -300,11 +300,12 @@ def _classes(store: Store, docs: DataFrame, id_col: str, text_col: str, percent:
     buckets, factor = deal(plan_bytes(rows, "text"), bucket_bytes)
     most = int(BATCH_DOCS * factor)
     sent = rows.mapInArrow(_send(int(batch * factor), most, buckets, shingle), "bucket int, toks binary, refs binary, sigs binary, sizes binary, doc_ids binary, doc_sigs binary, doc_ns binary")
-    back = sent.groupBy("bucket").applyInArrow(_return(buckets, most), "owner int, doc_id long, sig long, n long, sigs binary, sizes binary, refs binary, toks binary, dfs binary")
+    # a partition for each bucket, as a bucket is what a task is to hold
+    back = sent.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_return(buckets, most), "owner int, doc_id long, sig long, n long, sigs binary, sizes binary, refs binary, toks binary, dfs binary")
     back = store.put(back)
     classes = back.where(F.col("owner") < 0).select("doc_id", "sig", "n")
     shared = back.where(F.col("owner") >= 0).select("owner", "sigs", "sizes", "refs", "toks", "dfs")
-    sets = shared.groupBy("owner").applyInArrow(_assemble(percent, ORDERS, LEADERS), "sig long, n long, m long, common long, toks array<long>, leaders array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
+    sets = shared.repartition(buckets, "owner").groupBy("owner").applyInArrow(_assemble(percent, ORDERS, LEADERS), "sig long, n long, m long, common long, toks array<long>, leaders array<long>, " + ", ".join(f"p{k} array<long>" for k in range(ORDERS)))
     sets = store.put(sets)
     classes = store.put(classes)
     store.drop(back)
