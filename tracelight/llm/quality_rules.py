@@ -23,8 +23,8 @@ WINDOW = 8
 class Metric:
     """An integer metric of a document, from 0 for most to ``scale`` in the worst case or around a typical value.
 
-    With ``fences`` None, a document fails above the group's 99th percentile, which is 0 where hardly any document has a
-    value: the few with the most go, and ties stay. With ``fences``, it fails beyond q90 + fences * spread or q10 - fences *
+    With ``fences`` None, a document fails above q99 + (q99 - q90) of its group: few have a value at all, so the tail's own
+    spread says what lies beyond it. With ``fences``, it fails beyond q90 + fences * spread or q10 - fences *
     spread, where the spread is q90 - q10, or an eighth of the median where copies leave less than that.
     """
 
@@ -129,7 +129,7 @@ def limits(sketches: DataFrame, least_group: int = LEAST_GROUP) -> DataFrame:
     quantile = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("total"), F.col("bucket"))).alias(f"q{q}")
     of = ranked.groupBy("g", "metric").agg(F.max("total").alias("total"), *map(quantile, (10, 50, 90, 99)))
     spread = F.greatest(F.col("q90") - F.col("q10"), F.floor(F.col("q50") / 8))
-    low, high = F.lit(0).cast("long"), F.col("q99")
+    low, high = F.lit(0).cast("long"), 2 * F.col("q99") - F.col("q90")
     for m in METRICS:
         if m.fences is not None:
             low = F.when(F.col("metric") == m.name, F.col("q10") - m.fences * spread).otherwise(low)
@@ -218,7 +218,7 @@ q AS (
 ),
 lim AS (
   SELECT *, CASE WHEN fences IS NULL THEN 0 ELSE q10 - fences * greatest(q90 - q10, q50 // 8) END AS low,
-         CASE WHEN fences IS NULL THEN q99 ELSE q90 + fences * greatest(q90 - q10, q50 // 8) END AS high FROM q
+         CASE WHEN fences IS NULL THEN 2 * q99 - q90 ELSE q90 + fences * greatest(q90 - q10, q50 // 8) END AS high FROM q
 ),
 failed AS (
   SELECT DISTINCT b.doc_id FROM b JOIN lim o ON o.level = 2 AND o.lang = b.lang AND o.source = b.source AND o.metric = b.metric
