@@ -5,8 +5,8 @@ centres that are fitted on a sample of it, again and again until all fit. A spli
 the shards overlap. Each shard builds a flat graph in which an edge is pruned when a kept neighbour is much closer to
 its target; the adjacency lists of a node from all its shards are united. Every node then searches its shards: greedy search
 from the medoids and from itself until its best candidates are expanded, then the range of hits is expanded until no new
-hit appears. Each node has one home among its shards. A hit whose home is elsewhere sends the search on to that
-shard, with the hit as the entry, until no search leads to a shard that it has not seen. Hits are verified by their
+hit appears. Each hit sends the search on to its other shards, where the rest of its united list is, with the hit as the
+entry, until no search leads to a shard that it has not seen. Each node has one home among its shards. Hits are verified by their
 cosine in double precision and counted at home, so each link counts once and no list of links is ever made: a shard
 returns a count for each node and a spanning forest of its links. ``audit_recall`` measures what was found against brute force.
 """
@@ -190,7 +190,7 @@ def _build(degree: int, alpha: float):
         edges = np.unique(np.concatenate([a * len(node) + b, b * len(node) + a]))
         cut = np.searchsorted(edges // len(node), np.arange(len(node) + 1))
         lists = [node[edges[cut[i] : cut[i + 1]] % len(node)] for i in range(len(node))]
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(node)), t["node"].combine_chunks(), t["home"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))], ["cell", "node", "home", "near"])
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(node)), t["node"].combine_chunks(), pa.array(lists, pa.list_(pa.int64()))], ["cell", "node", "near"])
         give_back()
 
     return grouped(run)
@@ -280,7 +280,7 @@ COUNT, LINK, ASK = 0, 1, 2
 
 
 def _look(members, asking, threshold: float, beam: int):
-    """Searches a shard (rows cell, node, home, copies, vec, near, at, cells) for ``asking`` (node, vec, cells, entry), or for its own members."""
+    """Searches a shard (rows cell, node, home, copies, vec, near, cells) for ``asking`` (node, vec, cells, entry), or for its own members."""
     import numpy as np
     import pyarrow as pa
 
@@ -289,7 +289,10 @@ def _look(members, asking, threshold: float, beam: int):
     raw = _matrix(members["vec"])
     raw = raw / np.abs(raw).max(1, keepdims=True)
     x, home, copies = _unit(raw), members["home"].to_numpy(zero_copy_only=False), members["copies"].to_numpy()
-    at, place = np.unique(np.array(members["at"].to_pylist(), object), return_inverse=True)
+    shards = members["cells"].to_pylist()
+    shard_names, shard_of = np.unique(np.array([c for x in shards for c in x], object), return_inverse=True)
+    n_shards = np.fromiter(map(len, shards), np.int64, len(shards))
+    first_shard = np.cumsum(n_shards) - n_shards
     lists = members["near"].to_pylist()
     degree = np.fromiter(map(len, lists), np.int64, len(lists))
     ids, of_node = np.fromiter((i for x in lists for i in x), np.int64, degree.sum()), np.repeat(np.arange(len(node)), degree)
@@ -320,15 +323,16 @@ def _look(members, asking, threshold: float, beam: int):
             counted = sure & home[j]
             links += np.bincount(i[counted], copies[j[counted]], len(names)).astype(np.int64)
             root = _roots(len(known), np.concatenate([np.arange(len(known)), code[len(node) + i[sure]]]), np.concatenate([root, code[j[sure]]]))
-            # a home that the search has not seen
-            _, once = np.unique(i[~home[j]] * len(at) + place[j[~home[j]]], return_index=True)
-            i, j = i[~home[j]][once], j[~home[j]][once]
-            for q, p in zip(i.tolist(), j.tolist(), strict=True):
-                if (to := at[place[p]]) != cell and to not in of[q]:
+            # the other shards of each hit, where the rest of its united list is
+            n = n_shards[j]
+            to = shard_of[np.arange(n.sum()) + np.repeat(first_shard[j] - (np.cumsum(n) - n), n)]
+            _, once = np.unique(np.repeat(i, n) * len(shard_names) + to, return_index=True)
+            for q, c, p in zip(np.repeat(i, n)[once].tolist(), shard_names[to[once]], np.repeat(j, n)[once].tolist(), strict=True):
+                if c != cell and c not in of[q]:
                     kind.append(ASK)
                     who.append(int(names[q]))
                     other.append(int(node[p]))
-                    where.append(to)
+                    where.append(c)
     some, tied = np.flatnonzero(links), np.flatnonzero(root != np.arange(len(known)))
     kinds = np.concatenate([np.full(len(some), COUNT), np.full(len(tied), LINK), np.array(kind, np.int64)]).astype(np.int32)
     return pa.table(
@@ -352,10 +356,10 @@ def _nodes(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> tuple[Da
 def _links(store: Store, nodes: DataFrame, threshold: float, shard: int, degree: int, beam: int, sample: int) -> tuple[DataFrame, DataFrame]:
     """(node, others): the linked vectors of other nodes; (u, v): a spanning forest of the links between nodes."""
     cells = _shards(store, nodes, shard, sample)
-    lists = cells.select("cell", "node", "home", "vec").groupBy("cell").applyInArrow(_build(degree, ALPHA), "cell string, node long, home boolean, near array<long>")
+    lists = cells.select("cell", "node", "vec").groupBy("cell").applyInArrow(_build(degree, ALPHA), "cell string, node long, near array<long>")
     # lists of a node: one more than there are levels of splits
-    union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("cell").alias("cells"), F.max(F.when(F.col("home"), F.col("cell"))).alias("at"))
-    members = store.put(cells.join(union, "node").select("cell", "node", "home", "copies", "vec", "near", "at", "cells"))
+    union = lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.collect_list("cell").alias("cells"))
+    members = store.put(cells.join(union, "node").select("cell", "node", "home", "copies", "vec", "near", "cells"))
 
     def inside(key, rows: Iterator) -> Iterator:
         import pyarrow as pa
