@@ -809,6 +809,26 @@ def test_every_notice_is_found(spark):
         assert label in got[i].labels.split(",") and got[i].score == 1
 
 
+def test_texts_of_many_words(spark):
+    """Texts of 40,000 words through 3, 7 and 10: counts, links and a notice at the very end."""
+    rng = random.Random(30)
+    words_ = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(40_000)]
+    near = list(words_)
+    for _ in range(600):
+        near[rng.randrange(len(near))] = "changed"
+    notice = license_scan.TEMPLATES[1][1]
+    rows = [(0, " ".join(words_), "en", "a", 0), (1, " ".join(near), "en", "a", 0), (2, " ".join(words_[:36_000]) + " " + notice, "en", "a", 0), (3, "short", "en", "a", 0)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    assert sorted(map(tuple, jaccard_join.join_near_duplicates(df, batch=50_000).select(*jaccard_join.COLUMNS).collect())) == components(rows)
+    got = {r.doc_id: r for r in lm_scoring.score_texts(df, batch=50_000).collect()}
+    for i, held, n, known, train, base in reference_scores(rows):
+        r = got[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held, n, known, train) and r.base_score == pytest.approx(base, rel=1e-9)
+    found = {r.doc_id: r for r in license_scan.scan_licenses(df).collect()}
+    assert found[2].labels == "mit" and found[2].score == 1 and (1, 36_000, found[2].alignments[0].matched) in [tuple(a) for a in found[2].alignments]
+    assert found[0].labels == "" and found[0].n_words == 40_000
+
+
 # native operators run no Python
 
 
