@@ -74,10 +74,9 @@ def _joined(values: Column) -> Column:
     return F.when(F.size(values) > 0, F.array_join(values, ", "))
 
 
-def fields_of(store: Column) -> Column:
-    """struct of what a parsed store says: the ``c2pa`` fields of evidence rows, and actions, watermarked, soft_binding, synthid, time."""
-    labels = chain(store)
-    manifests = F.transform(labels, lambda label: F.element_at(store["manifests"], label))
+def fields_of(store: Column, manifests: Column) -> Column:
+    """struct of what a parsed store and the manifests of its chain say: the ``c2pa`` fields of evidence rows, and actions, watermarked,
+    soft_binding, synthid, time."""
     active = F.element_at(store["manifests"], store["active_manifest"])
     assertions = F.flatten(F.transform(manifests, lambda m: F.coalesce(m["assertions"], F.array().cast("array<struct<label:string,data:struct<alg:string,actions:array<" + _ACTION + ">>>>"))))
     starting = lambda prefix: F.filter(assertions, lambda a: F.startswith(F.coalesce(a["label"], F.lit("")), F.lit(prefix)))
@@ -124,8 +123,12 @@ def credentials(stores: DataFrame, key: str = "path", store: str = "store") -> D
     A text that is no JSON object, an empty one or one with an error gives a null ``c2pa``.
     """
     made = F.from_json(F.col(store), STORE)
-    usable = made["error"].isNull() & (made["active_manifest"].isNotNull() | made["manifests"].isNotNull() | made["validation_results"].isNotNull() | made["validation_status"].isNotNull())
-    rows = stores.select(key, F.when(usable, made).alias("s")).select(key, F.when(F.col("s").isNotNull(), fields_of(F.col("s"))).alias("f"))
+    of = lambda f: F.col(f"m.{f}")
+    usable = of("error").isNull() & (of("active_manifest").isNotNull() | of("manifests").isNotNull() | of("validation_results").isNotNull() | of("validation_status").isNotNull())
+    # in steps, so that the store is parsed and its chain is walked once a row, however many fields read them
+    rows = stores.select(key, made.alias("m")).select(key, F.when(usable, F.col("m")).alias("s")).withColumn("labels", chain(F.col("s")))
+    rows = rows.withColumn("chain", F.transform("labels", lambda label: F.element_at(F.col("s.manifests"), label)))
+    rows = rows.select(key, F.when(F.col("s").isNotNull(), fields_of(F.col("s"), F.col("chain"))).alias("f"))
     wanted = stores.sparkSession.createDataFrame([], EVIDENCE).schema["c2pa"].dataType
     c2pa = F.when(F.col("f").isNotNull(), F.struct(*(F.col(f"f.{f.name}").cast(f.dataType).alias(f.name) for f in wanted)))
     return rows.select(key, c2pa.alias("c2pa"), *(F.col(f"f.{n}").alias(n) for n in ("actions", "watermarked", "soft_binding", "synthid", "time")))
