@@ -52,6 +52,14 @@ def test_safe_corr(spark):
     assert row.r == pytest.approx(statistics.correlation([1, 2, 3], [2, 4.5, 5])) and row.n is None and row.few is None
 
 
+def test_safe_corr_of_a_constant_over_partitions(spark):
+    """49 * (1 / 49) is not 1: the mean of a constant differs between partitions of 49 rows, so its deviation is not 0."""
+    df = spark.range(0, 98, 1, 2).select(F.col("id").cast("double").alias("x"), F.when(F.col("id") % 5 != 0, 0.1).alias("c"))
+    for a, b in (("x", F.lit(1.0)), (F.lit(1.0), "x"), ("x", "c")):
+        assert df.agg(stats.safe_corr(*(F.col(v) if isinstance(v, str) else v for v in (a, b))).alias("r")).first().r is None
+    assert df.agg(stats.safe_corr(F.col("x"), F.col("x") * 2).alias("r")).first().r == pytest.approx(1)
+
+
 def test_terciles(spark):
     for n in (1, 2, 5, 30, 100):
         v = [(i * 7 % 10) / 2 for i in range(n)]

@@ -24,11 +24,14 @@ def wilson(k: Column, n: Column, z: float = Z95, scale: float = 1.0) -> Column:
 
 
 def safe_corr(x: Column, y: Column, least: int = 3) -> Column:
-    """Pearson's correlation over rows where both are known; NULL for fewer than ``least`` or a constant side."""
+    """Pearson's correlation over rows where both are known; NULL for fewer than ``least`` or a constant side.
+
+    A side is constant when its least and greatest values are equal: the deviation of a constant, added up over partitions, need not be 0.
+    """
     both = x.isNotNull() & y.isNotNull()
     a, b = F.when(both, x.cast("double")), F.when(both, y.cast("double"))
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-    return F.when(F.count(F.when(both, 1)) >= least, r)
+    return F.when((F.count(F.when(both, 1)) >= least) & (F.min(a) < F.max(a)) & (F.min(b) < F.max(b)), r)
 
 
 def bucketize(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Column:
