@@ -3,6 +3,7 @@
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelight.operators import temporal
 from tracelight.streaming import stable_marks
@@ -98,6 +99,30 @@ def test_lines_and_greedy(spark):
     assert sorted((p.l, p.r) for p in temporal.match_one_to_one(pairs, ["k"], "l", "r", "d").collect()) == [("a", "y"), ("b", "x")]
 
 
+def test_equal_boxes_are_suppressed_in_a_fixed_order(spark):
+    """Of copies of a box the first by the other columns stays; nulls come last, and columns without an order do not count."""
+    rows = [(1, 0, 0, 10, 10, 0.9, name, i, [i]) for name, i in (("b", 1), (None, 0), ("a", 3), ("a", 2))]
+    for given in (rows, rows[::-1]):
+        boxes = spark.createDataFrame(given, "k int, x int, y int, w int, h int, score double, name string, id int, more array<int>").coalesce(1)
+        assert [(r.name, r.id) for r in temporal.greedy_suppress(boxes, ["k"]).collect()] == [("a", 2)]
+
+
+def test_nms_of_copied_parts(spark, sf, tmp_path):
+    """Parts repeated with shifted keys: the smallest key of equal boxes, as in the SQL."""
+    import duckdb
+
+    from tracelight import plans
+
+    plans.load()
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.crossJoin(spark.range(3).withColumnRenamed("id", "copy")).withColumn("p_partkey", F.col("p_partkey") + 6000 * (2 - F.col("copy"))).drop("copy").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    names = ["p_brand", "k", "x", "y", "w", "h", "score"]
+    got = [tuple(r) for r in plans.QUERIES["nms"](spark, str(tmp_path)).select(names).collect()]
+    assert sorted(got) == sorted(con.sql(plans.SQL["nms"]).select(*names).fetchall())
+
+
 def test_videos(spark, table):
     from tracelight.operators import video
 

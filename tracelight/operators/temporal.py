@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.geometry import iou
 from .registries import STABLE_GAP, STABLE_IOU, VIDEO_POLICIES
@@ -151,10 +152,13 @@ def line_groups(rows: DataFrame, keys: list[str], order: list[str], script: str,
 
 def greedy_suppress(boxes: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Greedy non-maximum suppression in each group: rows (x, y, w, h, score) that no better kept row overlaps. A kept row meets all
-    that are left at once, so the work of a group is its kept rows times its rows."""
+    that are left at once, so the work of a group is its kept rows times its rows. Of equal boxes with equal scores the first by the other
+    columns of plain types, in their order, is kept, however the rows arrive."""
+    order = ["score", "x", "y", "w", "h"]
+    order += [f.name for f in boxes.schema if f.name not in [*keys, *order] and isinstance(f.dataType, T.AtomicType) and not isinstance(f.dataType, T.BinaryType)]
 
     def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "x", "y", "w", "h"], ascending=[False, True, True, True, True])
+        pdf = pdf.sort_values(order, ascending=[c != "score" for c in order])
         x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
         kept, left = [], np.arange(len(pdf))
         while len(left):
