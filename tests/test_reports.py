@@ -1,5 +1,8 @@
 """Report operators on hand-made rows."""
 
+import math
+import random
+
 import pytest
 
 from tracelight.operators import reports
@@ -74,3 +77,71 @@ def test_first_wins(spark):
 
     row = spark.range(1).select(reports.first_wins([F.create_map(F.lit("a"), F.lit("1")), F.lit(None).cast("map<string,string>"), F.create_map(F.lit("a"), F.lit("2"), F.lit("b"), F.lit("3"))]).alias("m")).first()
     assert row.m == {"a": "1", "b": "3"}
+
+
+FACE = "k int, id int, x double, y double, w double, h double"
+
+
+def nearest_first(before, after, most=0.6):
+    """All pairs of a key, nearest first, each face once."""
+    pairs = []
+    for k, a, x, y, w, h in before:
+        for l, b, x2, y2, w2, h2 in after:
+            if k == l and None not in (x, x2):
+                dx, dy = x + w / 2 - x2 - w2 / 2, y + h / 2 - y2 - h2 / 2
+                d = math.sqrt(dx * dx + dy * dy)
+                if d <= most * math.sqrt(w * w + h * h):
+                    pairs.append((k, d, a, b))
+    used, out = set(), []
+    for k, d, a, b in sorted(pairs):
+        if not {(k, 0, a), (k, 1, b)} & used:
+            used |= {(k, 0, a), (k, 1, b)}
+            out.append((k, a, b, d))
+    return out
+
+
+def test_face_matches_by_brute_force(spark):
+    """Boxes of all sizes, copies, equal distances, ids in several boxes, nulls, points and keys of one side."""
+    r = random.Random(5)
+    sides = []
+    for side in (0, 1):
+        rows = [(k, i, r.uniform(-300, 300), r.uniform(-300, 300), s := 2.0 ** r.uniform(-6, 9), s * r.uniform(0.5, 2)) for k in (1, 2) for i in range(150)]
+        rows += [(3, r.randrange(400), *(float(r.randrange(n)) for n in (4, 4, 5, 3))) for _ in range(400)]  # few places, so many copies and ties
+        rows += [(3, 1000 + i, 8.0 * (i % 9) - 40, 16.0 * (i % 3), 10.0, 5.0) for i in range(40)]
+        sides.append([*rows, rows[0], (4 + side, 1, 0.0, 0.0, 5.0, 5.0), (1, 999, None, 0.0, 1.0, 1.0)])
+    want = nearest_first(*sides)
+    got = reports.match_faces(*(spark.createDataFrame(x, FACE) for x in sides), "k").collect()
+    assert {g.k for g in got} == {1, 2, 3} and len(want) > 300
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_copied_faces_meet_as_one(spark, monkeypatch):
+    """What is matched are pairs of boxes, not of their copies, and boxes out of reach of each other do not meet."""
+    from tracelight.operators import temporal
+
+    seen = []
+    for name in ("match_one_to_one", "match_classes"):
+        real = getattr(temporal, name, None)
+        monkeypatch.setattr(temporal, name, lambda pairs, *a, real=real: seen.append(pairs) or real(pairs, *a), raising=False)
+    faces = spark.range(400).selectExpr("1 k", "id", "(id % 4) * 100 x", "0 y", "20 w", "20 h")
+    got = reports.match_faces(faces, faces.selectExpr("k", "id + 1000 id", "x + 1 x", "y", "w", "h"), "k").collect()
+    assert sorted((g.a, g.b, g.distance) for g in got) == [(i, i + 1000, 1.0) for i in range(400)]
+    (pairs,) = seen
+    assert pairs.count() == 4
+    joins = [line for line in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
+    assert any("i#" in j and "j#" in j for j in joins), joins
+
+
+def test_face_matches_of_copied_parts(spark, sf, tmp_path):
+    """Parts repeated with shifted keys: copies and equal distances, against the SQL."""
+    import duckdb
+
+    from tracelight import plans
+
+    plans.load()
+    part = spark.read.parquet(f"{sf}/part.parquet").where("p_partkey < 150")
+    part.crossJoin(spark.range(4).withColumnRenamed("id", "copy")).selectExpr("p_partkey + 6000 * copy AS p_partkey", "concat('Brand#', p_partkey div 2 % 2) AS p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    got = [tuple(r) for r in plans.QUERIES["face_matches"](spark, str(tmp_path)).select("k", "a", "b", "distance").collect()]
+    assert got and sorted(got) == sorted(con.sql(plans.SQL["face_matches"]).select("k", "a", "b", "distance").fetchall())

@@ -61,14 +61,31 @@ def sidecar_provenance(truth: DataFrame, sidecars: DataFrame) -> DataFrame:
 
 def match_faces(before: DataFrame, after: DataFrame, key: str, most: float = 0.6) -> DataFrame:
     """(key, a, b, distance): faces (key, id, x, y, w, h) of two versions of an image, nearest centres first, each once, and none farther
-    than a share of the first one's diagonal."""
-    from ..functions.geometry import centre_distance
-    from .temporal import match_one_to_one
-
-    box = F.struct("x", "y", "w", "h")
-    pairs = before.select(key, F.col("id").alias("a"), box.alias("_p")).join(after.select(key, F.col("id").alias("b"), box.alias("_q")), key)
-    pairs = pairs.withColumn("distance", centre_distance(F.col("_p"), F.col("_q"))).where(F.col("distance") <= most * F.hypot(F.col("_p.w"), F.col("_p.h")))
-    return match_one_to_one(pairs.select(key, "a", "b", "distance"), [key], "a", "b", "distance")
+    than a share of the first one's diagonal.
+
+    Faces of equal boxes meet as one. A box looks in the nine cells around its centre of a grid whose step is the next power of two above
+    its reach; the other side is in the grid of each step that its key has.
+    """
+    from ..functions.geometry import centre_distance, diagonal
+    from .temporal import match_classes
+
+    def boxes(faces: DataFrame) -> DataFrame:
+        sets = faces.dropna(subset=[key, *"xywh"]).groupBy(key, *"xywh").agg(F.collect_set("id").alias("ids"))
+        return sets.select(key, "ids", F.concat_ws(",", *"xywh").alias("class"), F.struct(*"xywh").alias("box"))
+
+    def cell(at: str, size: str) -> Column:
+        return F.floor((F.col(f"box.{at}") + F.col(f"box.{size}") / 2) / F.pow(F.lit(2.0), F.col("level")))
+
+    around = lambda c: F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda n: c + n))
+    p, q = boxes(before).withColumn("reach", most * diagonal(F.col("box"))), boxes(after)
+    level = F.coalesce(F.floor(F.log2(F.col("reach") * 1.01)) + 1, F.lit(0))  # a hundredth more than needed, for rounding
+    steps = p.select(key, level.alias("level"))
+    asked = p.withColumn("level", level).withColumn("i", around(cell("x", "w"))).withColumn("j", around(cell("y", "h")))
+    asked = asked.select(key, "level", "i", "j", "reach", F.col("class").alias("a"), F.col("box").alias("_p"))
+    held = q.join(steps.distinct(), key).select(key, "level", cell("x", "w").alias("i"), cell("y", "h").alias("j"), F.col("class").alias("b"), F.col("box").alias("_q"))
+    pairs = asked.join(held, [key, "level", "i", "j"]).withColumn("distance", centre_distance(F.col("_p"), F.col("_q"))).where("distance <= reach")
+    members = p.select(key, "class", F.col("ids").alias("left")).unionByName(q.select(key, "class", F.col("ids").alias("right")), allowMissingColumns=True)
+    return match_classes(pairs.select(key, "a", "b", "distance"), members, key)
 
 
 def sidecar_status(sidecars: DataFrame, fresh: DataFrame) -> DataFrame:

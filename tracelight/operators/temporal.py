@@ -7,6 +7,10 @@ current run and is a group function over one (video, mark).
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+from itertools import groupby
+from operator import itemgetter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -188,3 +192,52 @@ def match_one_to_one(pairs: DataFrame, keys: list[str], left: str, right: str, d
         return pdf.loc[kept]
 
     return pairs.groupBy(*keys).applyInPandas(assign, pairs.schema)
+
+
+def match_classes(pairs: DataFrame, members: DataFrame, key: str) -> DataFrame:
+    """The assignment of ``match_one_to_one`` where equal rows meet as a class: ``pairs`` (key, a, b, distance) are of classes, and
+    ``members`` (key, class, left, right) has the ids of each, in ``left`` for classes of a and in ``right`` for those of b. Rows
+    (key, a, b, distance) are of ids.
+
+    At each distance the smallest free id that has a free one in reach takes the smallest of these, class by class from the front, so the
+    work of a group is its pairs of classes and its matches, not its pairs of ids.
+    """
+    ids = lambda c: members.schema[c].dataType.elementType
+    schema = T.StructType([pairs.schema[key], T.StructField("a", ids("left")), T.StructField("b", ids("right")), pairs.schema["distance"]])
+
+    def assign(of: tuple, pairs: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
+        left, right = ({c: sorted(v.tolist(), reverse=True) for c, v in zip(members["class"], members[side], strict=True) if v is not None} for side in ("left", "right"))
+        used_l, used_r, out = set(), set(), []
+
+        def first(free: list, used: set) -> list:
+            """The smallest id that is free, as a list of at most one."""
+            while free and free[-1] in used:  # an id can be in several classes
+                free.pop()
+            return free[-1:]
+
+        pairs = pairs.sort_values("distance")
+        for distance, level in groupby(zip(pairs["distance"].tolist(), pairs["a"], pairs["b"], strict=True), itemgetter(0)):
+            near = {}
+            for _, a, b in level:
+                near.setdefault(a, []).append(b)
+            waiting = [(i, a) for a in near for i in first(left[a], used_l)]
+            heapify(waiting)
+            while waiting:
+                i, a = heappop(waiting)
+                of_i = [a]
+                while waiting and waiting[0][0] == i:
+                    of_i.append(heappop(waiting)[1])
+                found = [(j, a) for a in of_i for b in near[a] for j in first(right[b], used_r)]
+                if not found:
+                    continue
+                j = min(found)[0]
+                used_l.add(i)
+                used_r.add(j)
+                out.append((*of, i, j, distance))
+                for a in {a for _, a in found}:
+                    for i in first(left[a], used_l):
+                        heappush(waiting, (i, a))
+        return pd.DataFrame(out, columns=schema.names)
+
+    members = members.select(F.col(key).alias("_key"), "class", "left", "right")  # another name, as both come from the same rows
+    return pairs.groupBy(key).cogroup(members.groupBy("_key")).applyInPandas(assign, schema)
